@@ -6,9 +6,9 @@ shingles.  Fewer words give one shingle of the whole sequence; no words (empty o
 text) give fingerprint zero, which links like any other.
 
 Self-join: distinct fingerprints form a binary trie.  Its upper part is cut where a
-node holds at most ``leaf_rows`` fingerprints (a hot region is cut deeper, down to the last
-level), node pairs of the cut whose prefixes differ in at most ``budget`` bits become tasks'
-groups, and in each group the two subtrees are walked together: a pair of nodes splits
+node holds at most ``leaf_rows`` fingerprints (and at 2^6 nodes at least, to share the work; a
+hot region is cut deeper, down to single fingerprints), node pairs of the cut whose
+prefixes differ in at most ``budget`` bits become tasks' groups, and in each group the two subtrees are walked together: a pair of nodes splits
 into its children's pairs, differing bits add up, and a pair over the budget is pruned.
 Groups return a spanning forest of what they link, not all pairs, so that a large
 group of near copies stays linear; components are then joined over all groups.
@@ -30,8 +30,8 @@ from nodeloom.llm.storage import checkpointed
 from nodeloom.llm.wordhash import ascii_words
 
 BITS = 64
-#: Depths at which the trie's upper part may be cut.
-LEVELS = (6, 12, 18, 24, 32, 40, 48, 64)
+#: The trie is cut at this depth at least.
+LEAST_DEPTH = 6
 #: Shingles hashed at a time, so that a very long text stays small in memory.
 CHUNK = 1 << 16
 #: Node pairs walked, or leaf pairs verified, at a time.
@@ -72,24 +72,31 @@ def _prefix(fp: Column | str, depth: int) -> Column:
     return F.shiftrightunsigned(fp, BITS - depth) if depth < BITS else F.col(fp)
 
 
-def trie_cut(fps: DataFrame, leaf_rows: int) -> DataFrame:
-    """``fp``, ``depth``, ``prefix``: the shallowest level whose node holds at most ``leaf_rows``."""
-    settled, open_rows = None, fps.select("fp")
-    for depth in LEVELS:
-        nodes = open_rows.groupBy(_prefix("fp", depth).alias("prefix")).agg(F.count("*").alias("n"))
-        if depth == LEVELS[-1]:
-            small, large = nodes.select("prefix"), None
-        else:
-            small, large = nodes.where(F.col("n") <= leaf_rows).select("prefix"), nodes.where(F.col("n") > leaf_rows).select("prefix")
+def cut_levels(n: int, leaf_rows: int) -> list[int]:
+    """Depths at which the trie may be cut: first where ``n`` evenly spread fingerprints half fill the nodes, then deeper."""
+    first = LEAST_DEPTH
+    while first < BITS and n >> first > leaf_rows // 2:
+        first += 1
+    return sorted({min(BITS, first + more) for more in (0, 4, 8, 16, 24, 32, 40, 48, BITS)})
+
+
+def trie_cut(fps: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[int]]:
+    """(``fp``, ``depth``, ``prefix`` at the shallowest level whose node holds at most ``leaf_rows``; the levels)."""
+    open_rows = checkpointed(fps.select("fp"))
+    levels, settled = cut_levels(open_rows.count(), leaf_rows), None
+    for depth in levels:
         with_prefix = open_rows.withColumn("prefix", _prefix("fp", depth))
-        here = with_prefix.join(small, "prefix").select("fp", F.lit(depth).alias("depth"), "prefix")
+        nodes = with_prefix.groupBy("prefix").agg(F.count("*").alias("n"))
+        last = depth == BITS
+        small = nodes if last else nodes.where(F.col("n") <= leaf_rows)
+        here = with_prefix.join(small.select("prefix"), "prefix").select("fp", F.lit(depth).alias("depth"), "prefix")
         settled = here if settled is None else settled.unionByName(here)
-        if large is None:
+        if last:
             break
-        open_rows = checkpointed(with_prefix.join(large, "prefix").select("fp"))
+        open_rows = checkpointed(with_prefix.join(nodes.where(F.col("n") > leaf_rows).select("prefix"), "prefix").select("fp"))
         if open_rows.isEmpty():
             break
-    return settled
+    return settled, levels
 
 
 def _flips(depth: int, budget: int) -> np.ndarray:
@@ -100,16 +107,16 @@ def _flips(depth: int, budget: int) -> np.ndarray:
     return np.array(sorted(masks), np.uint64)
 
 
-def _node_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+def _node_pairs(nodes: DataFrame, budget: int, levels: list[int]) -> DataFrame:
     """Pairs of cut nodes (left at least as deep) whose common prefix differs in few bits."""
 
     @F.pandas_udf("array<struct<depth:int,prefix:bigint>>")
     def near(depths: pd.Series, prefixes: pd.Series) -> pd.Series:
-        masks = {d: _flips(d, budget) for d in LEVELS}
+        masks = {d: _flips(d, budget) for d in levels}
         out = []
         for depth, prefix in zip(depths, prefixes, strict=True):
             p = np.uint64(prefix & (1 << BITS) - 1)
-            out.append([{"depth": d, "prefix": int(q)} for d in LEVELS if d <= depth for q in ((p >> np.uint64(depth - d)) ^ masks[d]).view(np.int64)])
+            out.append([{"depth": d, "prefix": int(q)} for d in levels if d <= depth for q in ((p >> np.uint64(depth - d)) ^ masks[d]).view(np.int64)])
         return pd.Series(out)
 
     left = nodes.select("depth", "prefix", F.explode(near("depth", "prefix")).alias("other"))
@@ -200,8 +207,8 @@ def _linked(budget: int):
         """Groups arrive sorted by node pair; a group may span batches."""
 
         def done(left: list, right: list) -> pd.DataFrame | None:
-            a = np.unique(np.array(left, np.int64).view(np.uint64))
-            b = np.unique(np.array(right, np.int64).view(np.uint64))
+            a = np.unique(np.concatenate(left).view(np.uint64)) if left else np.zeros(0, np.uint64)
+            b = np.unique(np.concatenate(right).view(np.uint64)) if right else np.zeros(0, np.uint64)
             if right:
                 fps = np.concatenate([a, b])
                 parent = walk_trie(fps, budget, len(a))
@@ -220,18 +227,21 @@ def _linked(budget: int):
                     if group is not None and (out := done(left, right)) is not None:
                         yield out
                     group, left, right = name, [], []
-                left.extend(part.fp[part.side == 0])
-                right.extend(part.fp[part.side == 1])
+                fp, side = part["fp"].to_numpy(np.int64), part["side"].to_numpy()
+                for into, of in ((left, 0), (right, 1)):
+                    if (side == of).any():
+                        into.append(fp[side == of])
         if group is not None and (out := done(left, right)) is not None:
             yield out
 
     return links
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 65_536) -> DataFrame:
     """``a``, ``b``: a set of links that connects what is within ``budget`` bits (signed longs)."""
-    cut = checkpointed(trie_cut(fps.select("fp").where("fp is not null").distinct(), leaf_rows))
-    pairs = checkpointed(_node_pairs(cut.select("depth", "prefix").distinct(), budget))
+    settled, levels = trie_cut(fps.select("fp").where("fp is not null").distinct(), leaf_rows)
+    cut = checkpointed(settled)
+    pairs = checkpointed(_node_pairs(cut.select("depth", "prefix").distinct(), budget, levels))
     names = ["depth", "prefix", "depth2", "prefix2"]
     first = cut.join(pairs, ["depth", "prefix"]).withColumn("side", F.lit(0))
     second = cut.select("fp", F.col("depth").alias("depth2"), F.col("prefix").alias("prefix2")).join(pairs.where("depth <> depth2 or prefix <> prefix2"), ["depth2", "prefix2"]).withColumn("side", F.lit(1))
@@ -239,7 +249,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 4096) ->
     return members.repartition(*names).sortWithinPartitions(*names, "side").mapInPandas(_linked(budget), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 65_536) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
     ``component_id`` is the least key reachable by links, the row's own included (nulls
