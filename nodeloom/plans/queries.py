@@ -410,7 +410,7 @@ def uniform_residual_mse_by_marker(spark, d):
 @query(
     f"""{ALL}, {RES}, h AS (SELECT marker_id, least(floor((r_model + 200) / 10.0), 39)::INTEGER AS bin FROM res WHERE r_model BETWEEN -200 AND 200), c AS (SELECT marker_id, bin, count(*) AS count FROM h GROUP BY ALL)
 """
-    + out("SELECT CAST(marker_id AS INTEGER) AS marker_id, bin, -200 + bin * 10.0 AS edge_lo, -200 + (bin + 1) * 10.0 AS edge_hi, count, count / (sum(count) OVER (PARTITION BY marker_id) * 10.0) AS density FROM c", "marker_id bin count|edge_lo edge_hi density")
+    + out("SELECT CAST(marker_id AS INTEGER) AS marker_id, bin, (-200 + bin * 10)::DOUBLE AS edge_lo, (-200 + (bin + 1) * 10)::DOUBLE AS edge_hi, count, count / (sum(count) OVER (PARTITION BY marker_id) * 10.0) AS density FROM c", "marker_id bin count|edge_lo edge_hi density")
 )
 def residual_histogram(spark, d):
     return bins.histogram(markers.marker_residuals(fx.event_predictions(spark, d)), "r_model", -200.0, 200.0, 40, ["marker_id"])
