@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.components import connected_components
 from nodeloom.llm.storage import checkpointed
+from nodeloom.operators.components import connected_components
 
 #: Candidates within this of the threshold in single precision are verified in double.
 SLACK = 1e-4
@@ -271,7 +271,8 @@ def near_duplicates(
     components = connected_components(found.where("n = 0"))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     reps = distinct.select(*same, "rep", "copies").join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    # A table of its own, so that the join below is between plain exchanges and Spark can split a hot vector.
     reps = reps.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(reps, same, "left")
+    out = rows.join(checkpointed(reps), same, "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))

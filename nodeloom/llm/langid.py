@@ -101,8 +101,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.col(lang) != "und"))
     if allowed is not None:
         known = known.where(allowed)
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    sample = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("_key", "_lang")
+    keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_at", F.xxhash64("_key"))
+    # Of a language's hash range so much that about 4 * per_lang rows remain: what is ranked stays small at any size.
+    sizes = keys.groupBy("_lang").agg(F.count("*").alias("_size"))
+    few = keys.join(sizes, "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
+    first = Window.partitionBy("_lang").orderBy("_at", "_key")
+    sample = few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("_key", "_lang")
     texts = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_l"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").where("_l = _lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nodeloom.llm.components import connected_components
 from nodeloom.llm.storage import checkpointed
 from nodeloom.llm.wordhash import ascii_words
+from nodeloom.operators.components import connected_components
 
 BITS = 64
 #: The trie is cut at this depth at least.
@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     linked = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").select("fp", "least")
-    by_fp = firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # A table of its own, so that the join below is between plain exchanges and Spark can split a hot fingerprint.
+    by_fp = checkpointed(firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(by_fp, "fp").select(key, hexed.alias("fingerprint"), "component_id")
 
@@ -271,9 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the one with the least key.
 
-    Rows with a null key stay only where no row of their component has a key; of rows that
-    repeat a key and text, one stays.
+    Rows with a null key all stay, and rows that share the key of one that stays stay with it.
     """
     judged = near_duplicates(docs, key, text, **options)
-    gone = judged.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_key"))
-    return docs.join(gone, docs[key] == F.col("_key"), "left_anti")
+    return docs.join(judged.where(F.col(key) != F.col("component_id")).select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

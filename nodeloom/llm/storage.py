@@ -1,31 +1,15 @@
-"""Shared storage for results that must survive the loss of executors."""
+"""Shared folder paths, bounded Arrow batches, and the hold-out rule of the queries."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.storage import checkpointed, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is absent (tests), a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="nodeloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["bounded_batches", "checkpointed", "fresh_path", "held_out", "shared_dir"]
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:

@@ -66,7 +66,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     if allowed is not None:
         known = known.where(allowed)
-    sample = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
+    rows = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label")).withColumn("_at", F.xxhash64("_key"))
+    # Of the hash range so much that about 2 * max_rows keys remain: what is sorted stays small at any size.
+    share = 2.0 * max_rows / max(known.count(), 1)
+    sample = rows.where(F.col("_at") / 2.0**64 + 0.5 <= share).orderBy("_at", "_key").limit(max_rows).select("_key", "_label")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
