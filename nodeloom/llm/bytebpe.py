@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.storage import unused_name
+
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's memo; it is emptied when full.
@@ -159,7 +161,8 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, i
         raw = [v.encode(t or "") for t in texts]
         return pd.DataFrame({ids: [np.frombuffer(b, "<i4") for b in raw], decoded: [v.decode(b) for b in raw]})
 
-    return kept.withColumn("_coded", coded(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"_coded.{ids}").alias(ids), F.col(f"_coded.{decoded}").alias(decoded))
+    both = unused_name(kept, "_coded")
+    return kept.withColumn(both, coded(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"{both}.{ids}").alias(ids), F.col(f"{both}.{decoded}").alias(decoded))
 
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

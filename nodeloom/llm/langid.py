@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.llm.storage import checkpointed
+from nodeloom.llm.storage import checkpointed, unused_name
 from nodeloom.llm.wordhash import mixed
 
 DIMS_BITS = 12
@@ -149,10 +149,11 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", min_cosine:
         langs, scores = Centroids(*shared.value).predict(texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    out = kept.withColumn("_said", predicted(F.col(text)))
+    said = unused_name(kept, "_said")
+    out = kept.withColumn(said, predicted(F.col(text)))
     return out.select(
         *[F.col(f"`{c}`") for c in kept.columns],
-        F.col("_said.lang_pred").alias("lang_pred"),
-        F.col("_said.score").alias("score"),
-        ((F.col("_said.lang_pred") == "und") | (F.col("_said.score") < min_cosine)).alias("rejected"),
+        F.col(f"{said}.lang_pred").alias("lang_pred"),
+        F.col(f"{said}.score").alias("score"),
+        ((F.col(f"{said}.lang_pred") == "und") | (F.col(f"{said}.score") < min_cosine)).alias("rejected"),
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.storage import checkpointed, shared_dir
 
-__all__ = ["bounded_batches", "checkpointed", "fresh_path", "held_out", "shared_dir"]
+__all__ = ["bounded_batches", "checkpointed", "fresh_path", "held_out", "shared_dir", "unused_name"]
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
@@ -27,3 +27,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the key as text leaves ``remainder``; a null key is not held out."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))
+
+
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while base.lower() in {c.lower() for c in df.columns}:
+        base += "_"
+    return base

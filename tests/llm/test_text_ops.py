@@ -16,7 +16,7 @@ from nodeloom.llm import bytebpe, decontam, langid, ngram_lm, queries, sharding,
 from nodeloom.llm.storage import held_out
 from tests.conftest import SF
 
-SCHEMA = "doc_id bigint, text string, lang string, key string, h long, score double, _key string"
+SCHEMA = "doc_id bigint, text string, lang string, key string, h long, score double, _said string"
 LONG = "lorem ipsum dolor sit amet " * 30_000  # 810,000 characters
 
 
