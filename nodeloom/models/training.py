@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import deepcopy
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.models.message_passing import Sage
+from nodeloom.operators.markers import marker_baseline, relative_mse_across_graphs, residualize
 from nodeloom.sources.builders import with_minibatch
 from nodeloom.storage import checkpointed
 
@@ -186,8 +187,6 @@ def step_sums(model: Sage, packed: DataFrame, cfg: TrainConfig, learn: bool, epo
         if m[0]:
             penalty, slope = penalty_and_slope(m, cfg.calibration_mode)
 
-    total = {"n": 0}
-
     def sums(batch: pd.DataFrame) -> np.ndarray:
         tape, y = tape_of(batch)
         loss, d = loss_and_slope(tape.output, y, cfg, pos_weight)
@@ -201,7 +200,6 @@ def step_sums(model: Sage, packed: DataFrame, cfg: TrainConfig, learn: bool, epo
 
     v = _summed(packed, sums, width)
     n = max(int(v[2]), 1)
-    total["n"] = int(v[2])
     gradient = None
     if learn:
         flat = v[3:] / n
@@ -219,7 +217,7 @@ def step_sums(model: Sage, packed: DataFrame, cfg: TrainConfig, learn: bool, epo
             size = model.weights[k].size
             gradient[k] = flat[at : at + size].reshape(model.weights[k].shape)
             at += size
-    return v[0] / n + cfg.calibration_weight * penalty, v[1] / n, total["n"], gradient
+    return v[0] / n + cfg.calibration_weight * penalty, v[1] / n, int(v[2]), gradient
 
 
 class AdamW:
@@ -271,10 +269,97 @@ def predict_markers(model: Sage, nodes: DataFrame, edges: DataFrame, threshold:
     return scored.withColumn("prob", prob).withColumn("pred", F.transform("prob", lambda p: (p >= threshold).cast("int")))
 
 
-def depth_scan(depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], n_markers: int, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0) -> list[dict]:
-    """One trained model per depth: rows of depth, parameters and best validation error."""
+def lbfgs(model: Sage, train_set: tuple[DataFrame, DataFrame], steps: int = 50, memory: int = 10, cfg: TrainConfig = TrainConfig(huber_delta=0.0), tolerance: float = 1e-12) -> tuple[Sage, list[dict]]:
+    """Full-batch quasi-Newton training without dropout; each loss and gradient is one Spark job.
+
+    Steps are shortened until the loss falls enough (Armijo); it stops when the loss changes by less than
+    ``tolerance``.  Returns the model of the least mean absolute error and a row per step.
+    """
+    packed, names = checkpointed(packed_graphs(*train_set)), list(model.weights)
+    shapes = [model.weights[k].shape for k in names]
+
+    def put(flat: np.ndarray) -> None:
+        at = 0
+        for k, shape in zip(names, shapes, strict=True):
+            size = int(np.prod(shape))
+            model.weights[k] = flat[at : at + size].reshape(shape)
+            at += size
+
+    def at_point(flat: np.ndarray) -> tuple[float, float, np.ndarray]:
+        put(flat)
+        loss, error, _, g = step_sums(model, packed, cfg, True, 0)
+        return loss, error, np.concatenate([g[k].ravel() for k in names])
+
+    x = np.concatenate([model.weights[k].ravel() for k in names])
+    loss, error, g = at_point(x)
+    best, best_error, pairs, history = x, error, [], [{"epoch": 0, "train_loss": loss, "train_mae": error}]
+    for step in range(1, steps + 1):
+        d, alphas = -g, []
+        for s, y in reversed(pairs):
+            alphas.append((s @ d) / (s @ y))
+            d = d - alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(alphas), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        t = 1.0 if pairs else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+        for _ in range(20):
+            new_loss, new_error, new_g = at_point(x + t * d)
+            if new_loss <= loss + 1e-4 * t * (g @ d):
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * d, new_g - g
+        if s @ y > 1e-10:
+            pairs = [*pairs, (s, y)][-memory:]
+        changed, x, loss, error, g = abs(new_loss - loss), x + s, new_loss, new_error, new_g
+        history.append({"epoch": step, "train_loss": loss, "train_mae": error})
+        if error < best_error:
+            best, best_error = x, error
+        if changed < tolerance:
+            break
+    put(best)
+    return model, history
+
+
+def epoch_sweep(budgets: list[int], data: tuple[DataFrame, DataFrame], n_markers: int, hidden: int = 16, layers: int = 2, cfg: TrainConfig = TrainConfig(), seed: int = 0) -> list[dict]:
+    """One model per epoch budget, fitted to and scored on the same graphs: rows of epochs, mse, mae."""
     rows = []
-    for depth in depths:
-        model, metrics, history = train(Sage(n_markers, hidden, depth).init(seed), train_set, val_set, cfg)
-        rows.append({"depth": depth, "parameters": model.num_parameters(), "epochs": len(history), **metrics})
+    for epochs in budgets:
+        model, _, _ = train(Sage(n_markers, hidden, layers).init(seed), data, data, replace(cfg, epochs=epochs, patience=epochs))
+        e = F.col("yhat") - F.col("y")
+        mse, mae = model.transform(*data).agg(F.avg(e * e), F.avg(F.abs(e))).first()
+        rows.append({"epochs": epochs, "mse": mse, "mae": mae})
     return rows
+
+
+def depth_scan(depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], markers: DataFrame, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0, min_pos: int = 10) -> DataFrame:
+    """Relative MSE per marker over graphs, for models of several depths fitted to the raw and to the residual target.
+
+    Rows: ``kind`` ('baseline', 'raw' or 'residual'), ``split``, ``depth`` (0 for the baseline), ``marker_id``, ``rel_mean``,
+    ``rel_sem``, ``n_graphs``.  Marker means come from the training nodes; residual predictions have the baseline added back.
+    """
+    baseline = checkpointed(marker_baseline(train_set[0], markers))
+    n_markers = baseline.count()
+    based = {"train": (residualize(train_set[0], baseline), train_set[1]), "val": (residualize(val_set[0], baseline), val_set[1])}
+    raw = {"train": train_set, "val": val_set}
+    out: DataFrame | None = None
+
+    def add(kind: str, split: str, depth: int, scored: DataFrame, against: str = "model") -> None:
+        nonlocal out
+        rows = relative_mse_across_graphs(scored, baseline, min_pos, against=against)
+        rows = rows.select(F.lit(kind).alias("kind"), F.lit(split).alias("split"), F.lit(depth).alias("depth"), "marker_id", "rel_mean", "rel_sem", "n_graphs")
+        out = rows if out is None else out.unionByName(rows)
+
+    for split, (nodes, _) in raw.items():
+        add("baseline", split, 0, nodes.withColumn("yhat", F.col("y")), "baseline")
+    for depth in depths:
+        of_raw, _, _ = train(Sage(n_markers, hidden, depth).init(seed), raw["train"], raw["val"], cfg)
+        of_rest, _, _ = train(Sage(n_markers, hidden, depth).init(seed), based["train"], based["val"], cfg)
+        for split in raw:
+            add("raw", split, depth, of_raw.transform(*raw[split]))
+            rest = of_rest.transform(*based[split])
+            add("residual", split, depth, rest.withColumn("yhat", F.col("yhat") + F.col("y_base")).withColumn("y", F.col("y_orig")))
+    return out

@@ -109,3 +109,9 @@ def marker_pairs(markers: DataFrame, k: int) -> DataFrame:
     """The first ``k`` pairs i < j in lexicographic order."""
     a, b = markers.select(F.col("marker_id").alias("i"), F.col("name").alias("name_i")), markers.select(F.col("marker_id").alias("j"), F.col("name").alias("name_j"))
     return a.join(b, F.col("i") < F.col("j")).orderBy("i", "j").limit(k)
+
+
+def top_coefficients(coefficients: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest absolute weights of each ``kind`` ('self', 'neighbour', 'cross'), with ``rank``; ties by name."""
+    order = Window.partitionBy("kind").orderBy(F.desc_nulls_last(F.abs("weight")), "name")
+    return coefficients.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import inverse_transform
@@ -588,3 +588,105 @@ SELECT graph_id, node_id, round(y, 6) AS y, CAST(list_sum(x) AS BIGINT) AS n_pos
 )
 def permuted_features(spark, d):
     return audit.permuted_features(fx.event_nodes(spark, d)).select("graph_id", "node_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
+
+
+@query(META + "SELECT matched, count(*) AS n FROM m GROUP BY matched")
+def metadata_matches(spark, d):
+    return _meta_graphs(spark, d).groupBy("matched").agg(F.count("*").alias("n"))
+
+
+@query(f"{SMALL} SELECT graph_id, CAST(marker_id AS INTEGER) AS marker_id, round(avg(CAST(v > 0.5 AS DOUBLE)), 6) AS share FROM long GROUP BY ALL")
+def graph_positive_share(spark, d):
+    return audit.positive_share(fx.event_nodes(spark, d))
+
+
+@query(f"{EDGED} SELECT DISTINCT a.graph_id, a.src, b.dst FROM edges a JOIN edges b ON a.graph_id = b.graph_id AND a.dst = b.src WHERE a.src <> b.dst")
+def two_hop_pairs(spark, d):
+    return graphs.two_hop_pairs(_graph(spark, d)[1])
+
+
+@query(f"{SMALL} SELECT CAST(marker_id AS INTEGER) AS marker_id, name, n_pos FROM mu ORDER BY n_pos DESC, marker_id LIMIT 3")
+def top_markers_by_count(spark, d):
+    return prep.top_by(markers.positive_counts(fx.event_nodes(spark, d), fx.event_markers(spark)), "n_pos", 3)
+
+
+@query(ORACLE_SQL["ego_nodes"].rsplit("SELECT * FROM ego", 1)[0] + "SELECT ego.*, round(n.y, 6) AS y, CAST(list_sum(n.x) AS BIGINT) AS n_positive FROM ego JOIN nodes n USING (graph_id, node_id)")
+def ego_dataset(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graphs.ego_dataset(nodes, edges, 2, 3)[0].select("graph_id", "center", "node_id", "hop", "local_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
+
+
+@query(f"{SMALL} SELECT w.ordinal, w.name, CAST(m.marker_id AS INTEGER) AS marker_id FROM (VALUES (0, 'night'), (1, 'absent'), (2, 'click')) w(ordinal, name) LEFT JOIN markers m USING (name)")
+def wanted_markers(spark, d):
+    return markers.wanted_markers(fx.event_markers(spark), ["night", "absent", "click"])
+
+
+@query(f"{ALL} SELECT count(*) AS n, round(avg(y), 6) AS y_mean, round(avg(yhat), 6) AS yhat_mean, count(DISTINCT graph_id) AS graphs FROM pred")
+def pooled_predictions(spark, d):
+    return fx.event_predictions(spark, d).agg(F.count("*").alias("n"), F.avg("y").alias("y_mean"), F.avg("yhat").alias("yhat_mean"), F.count_distinct("graph_id").alias("graphs"))
+
+
+@query(f"WITH {NODES}, lo AS (SELECT graph_id, median(y) AS m FROM nodes GROUP BY graph_id), t AS (SELECT quantile_cont(m, 0.25) AS q FROM lo) SELECT graph_id, count(*) AS n_nodes FROM nodes WHERE graph_id IN (SELECT graph_id FROM lo, t WHERE m >= q) GROUP BY graph_id")
+def filter_outliers_one_sided(spark, d):
+    return fx.event_graphs(prep.filter_outliers(fx.event_nodes(spark, d), 25, None)[0])
+
+
+@query()
+def audit_sampled_graphs(spark, d):
+    nodes, edges = _graph(spark, d)
+    return audit.audit_graphs(fx.event_graphs(nodes), nodes, checkpointed(edges), sample_k=5)
+
+
+# --- models (no SQL: tests hold scores against NumPy and gradients against finite differences) ------
+
+
+@query()
+def sage_scores(spark, d):
+    """A seeded two-layer SAGE over wide features and the embeddings' nearest neighbours in a ring of ids."""
+    from nodeloom.models.message_passing import Sage
+
+    nodes, edges = _ring(spark, d)
+    return Sage(64, 16, 2).init(1).transform(nodes, edges).select("graph_id", "node_id", "yhat")
+
+
+@query()
+def gin_scores(spark, d):
+    from nodeloom.models.message_passing import Gin
+
+    nodes, edges = _ring(spark, d)
+    return Gin(64, 16, 2).init(1).transform(nodes, edges).select("graph_id", "node_id", "yhat")
+
+
+def _ring(spark, d):
+    """Nodes of the embeddings table, each joined to the next of its label in the order of ids."""
+    nodes = fx.embedding_nodes(spark, d)
+    after = F.lead("node_id").over(Window.partitionBy("graph_id").orderBy("node_id"))
+    raw = nodes.select("graph_id", F.col("node_id").alias("u"), after.alias("v")).where("v is not null")
+    return nodes, graphs.normalise_edges(raw)
+
+
+def _event_sets(spark, d):
+    nodes, edges = _graph(spark, d)
+    split = checkpointed(prep.split_graphs(nodes.select("graph_id")))
+    scaled = prep.standardize(nodes, prep.target_scaling(nodes.join(split.where("split = 'train'"), "graph_id", "left_semi")))
+    part = lambda name: tuple(t.join(split.where(F.col("split") == name), "graph_id", "left_semi") for t in (scaled, edges))
+    return part("train"), part("val")
+
+
+@query()
+def training_history(spark, d):
+    """Loss and error of three epochs on standardised targets."""
+    from nodeloom import schema
+    from nodeloom.models.message_passing import Sage
+    from nodeloom.models.training import TrainConfig, train
+
+    _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=3))
+    return spark.createDataFrame([tuple(float(v) if k != "epoch" else v for k, v in h.items()) for h in history], schema.HISTORY)
+
+
+@query()
+def depth_comparison(spark, d):
+    """Relative errors of the baseline and of models fitted to the raw and the residual target."""
+    from nodeloom.models.training import TrainConfig, depth_scan
+
+    return depth_scan([1, 2], *_event_sets(spark, d), fx.event_markers(spark), 8, TrainConfig(epochs=2))

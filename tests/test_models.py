@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from nodeloom.models.message_passing import Gin, Sage
-from nodeloom.models.training import AdamW, Tape, TrainConfig, depth_scan, loss_and_slope, packed_graphs, penalty_and_slope, predict_markers, step_sums, train
+from nodeloom.models.training import AdamW, Tape, TrainConfig, depth_scan, epoch_sweep, lbfgs, loss_and_slope, packed_graphs, penalty_and_slope, predict_markers, step_sums, train
 from nodeloom.operators.graphs import normalise_edges
+from nodeloom.operators.markers import marker_dimension
 from nodeloom.sources.builders import build_graph
 
 
@@ -115,10 +116,23 @@ def test_multilabel(spark, small):
     assert len(row.prob) == 2 and all(0 <= p <= 1 for p in row.prob) and set(row.pred) <= {0, 1}
 
 
-def test_depth_scan_and_clipping(spark, small):
+def test_depth_scan(spark, small):
     nodes, edges, *_ = small
-    got = depth_scan([1, 2], (nodes, edges), (nodes, edges), 3, 4, TrainConfig(epochs=2))
-    assert [r["depth"] for r in got] == [1, 2] and got[1]["parameters"] > got[0]["parameters"]
+    dim = marker_dimension(spark, ["a", "b", "c"])
+    got = depth_scan([1, 2], (nodes, edges), (nodes, edges), dim, 4, TrainConfig(epochs=2), min_pos=1).collect()
+    assert {(r.kind, r.split, r.depth) for r in got} == {("baseline", s, 0) for s in ("train", "val")} | {(k, s, d) for k in ("raw", "residual") for s in ("train", "val") for d in (1, 2)}
+    assert all(r.rel_mean >= 0 and r.rel_sem == 0 and r.n_graphs == 1 for r in got)
+
+
+def test_lbfgs_and_sweep(small):
+    nodes, edges, *_ = small
+    model, history = lbfgs(Sage(3, 6, 1, norm=None).init(0), (nodes, edges), steps=15)
+    assert history[-1]["train_loss"] < 0.2 * history[0]["train_loss"] and all(b["train_loss"] <= a["train_loss"] for a, b in zip(history, history[1:]))
+    rows = epoch_sweep([1, 12], (nodes, edges), 3, 6, 1, TrainConfig(lr=0.05))
+    assert [r["epochs"] for r in rows] == [1, 12] and rows[1]["mae"] < rows[0]["mae"]
+
+
+def test_clipping():
     w = {"a": np.zeros(2)}
     AdamW(TrainConfig(lr=0.1)).step(w, {"a": np.array([300.0, 400.0])})
     np.testing.assert_allclose(w["a"], [-0.1, -0.1], atol=1e-6)

@@ -225,3 +225,8 @@ def test_stream_of_node_files(spark, tmp_path):
     write_marker_stats(node_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r.marker_id: (r.n_pos, r.y_mean) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (2, 2.0), 1: (2, 4.0)}
+
+
+def test_top_coefficients(spark):
+    df = spark.createDataFrame([("self", "a", -3.0), ("self", "b", 2.0), ("self", "c", None), ("cross", "a:b", 1.0)], "kind string, name string, weight double")
+    assert {(r.kind, r.name, r["rank"]) for r in prep.top_coefficients(df, 2).collect()} == {("self", "a", 1), ("self", "b", 2), ("cross", "a:b", 1)}

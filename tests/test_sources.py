@@ -51,8 +51,8 @@ def test_invalid_node_tables(spark):
 def test_sidecars(spark, folder):
     assert sidecars.read_marker_names(spark, str(folder)).count() == 0
     (folder / "z_markers.json").write_text('["late"]')
-    (folder / "a_markers.json").write_text('["LGR5", "AldoB"]')
-    assert [(r.marker_id, r.name) for r in sidecars.read_marker_names(spark, str(folder)).orderBy("marker_id").collect()] == [(0, "LGR5"), (1, "AldoB")]
+    (folder / "a_markers.json").write_text('["alpha", "beta"]')
+    assert [(r.marker_id, r.name) for r in sidecars.read_marker_names(spark, str(folder)).orderBy("marker_id").collect()] == [(0, "alpha"), (1, "beta")]
     (folder / "organoid_a_aux.json").write_text(json.dumps({"organoid_id": "A", "total_volume": 3, "complexity": [0.5], "ok": True, "note": "text", "pair": [1, 2]}))
     (folder / "organoid_b_aux.json").write_text('{"total_volume": 1.5}')
     (folder / "organoid_c_aux.json").write_text("broken")
