@@ -322,7 +322,8 @@ def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "u
     # Digests only are shuffled to find copies; the pages meet the decisions by row, not by payload.
     small = rows.where(F.col("bytes") >= least_bytes).select("key", "digest")
     first = small.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    again = small.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select(F.xxhash64("key", "digest").alias("row"), "digest", "first").distinct()
+    # A table of its own, so that the join is between plain exchanges and Spark can split a hot payload.
+    again = small.join(checkpointed(first), "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select(F.xxhash64("key", "digest").alias("row"), "digest", "first").distinct()
     told = rows.withColumn("row", F.xxhash64("key", "digest")).join(checkpointed(again), ["row", "digest"], "left")
     is_again = F.col("first").isNotNull()
     record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("key").cast("string"), F.lit("none")), F.lit(">"))
