@@ -198,8 +198,8 @@ def near_duplicates(
     least_shards: int = 4,
     block: int = 16_384,
     beam: int = 32,
-    audited: int = 32,
-    recall: float = 0.98,
+    audited: int = 64,
+    recall: float = 0.999,
 ) -> DataFrame:
     """``key``, ``n_links``, ``component_id``, ``kept`` (key = component_id), one row per row.
 
