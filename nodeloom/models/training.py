@@ -42,7 +42,7 @@ class TrainConfig:
 
 
 def packed_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a graph: ``x``, ``y`` (arrays in the order of node_id), ``src``, ``dst`` (positions).
+    """One row a graph: ``ids`` (ascending), ``x``, ``y`` in their order, ``src``, ``dst`` (ids).
 
     ``y`` may be a number or an array per node.  A graph must fit in a row.
     """
@@ -50,9 +50,10 @@ def packed_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = nodes.select("graph_id", "node_id", F.struct("node_id", F.transform("x", lambda v: v.cast("double")).alias("x"), F.transform(y, lambda v: v.cast("double")).alias("y")).alias("_n"))
     packed = rows.groupBy("graph_id").agg(F.array_sort(F.collect_list("_n")).alias("_n"))
     ends = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("_e"))
-    at = lambda c: F.transform(F.coalesce("_e", F.array()), lambda e: (F.array_position("_ids", e[c]) - 1).cast("int"))
-    met = packed.join(ends, "graph_id", "left").withColumn("_ids", F.transform("_n", lambda n: n["node_id"]))
-    return met.select("graph_id", F.transform("_n", lambda n: n["x"]).alias("x"), F.transform("_n", lambda n: n["y"]).alias("y"), at("src").alias("src"), at("dst").alias("dst"))
+    met = packed.join(ends, "graph_id", "left")
+    end = lambda c: F.transform(F.coalesce("_e", F.array()), lambda e: e[c]).alias(c)
+    part = lambda c: F.transform("_n", lambda n: n[c]).alias("ids" if c == "node_id" else c)
+    return met.select("graph_id", part("node_id"), part("x"), part("y"), end("src"), end("dst"))
 
 
 class Tape:
@@ -120,9 +121,8 @@ def union_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     first = np.cumsum([0, *sizes[:-1]])
     x = np.concatenate([np.stack(v) for v in batch["x"]])
     y = np.concatenate([np.stack(v) for v in batch["y"]])
-    src = np.concatenate([np.asarray(s, int) + f for s, f in zip(batch["src"], first, strict=True)])
-    dst = np.concatenate([np.asarray(s, int) + f for s, f in zip(batch["dst"], first, strict=True)])
-    return x, y, src, dst
+    at = lambda c: np.concatenate([np.searchsorted(i, np.asarray(s, np.int64)) + f for i, s, f in zip(batch["ids"], batch[c], first, strict=True)])
+    return x, y, at("src"), at("dst")
 
 
 def loss_and_slope(out: np.ndarray, y: np.ndarray, cfg: TrainConfig, pos_weight: np.ndarray | None) -> tuple[float, np.ndarray]:

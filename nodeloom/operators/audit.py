@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import is_positive
 from nodeloom.operators.components import connected_components
-from nodeloom.operators.quantiles import exact_quantiles
+from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 
 
 def edge_integrity(graphs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_ids(labelled: DataFrame) -> DataFrame:
     """``component_id`` 0.. in the order of the components' least nodes."""
     roots = labelled.select("graph_id", "root").distinct()
-    ids = roots.withColumn("component_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("root")) - 1)
+    ids = row_ranks(roots, "graph_id", F.col("root"), ["root"]).select("graph_id", "root", (F.col("rank") - 1).cast("int").alias("component_id"))
     return labelled.join(ids, ["graph_id", "root"])
 
 
@@ -139,12 +139,11 @@ def audit_graphs(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, sample_k
 
 
 def permuted_features(nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """x shuffled among the nodes of each graph (ranks by id meet ranks by hash)."""
-    by_id = Window.partitionBy("graph_id").orderBy("node_id")
-    by_hash = Window.partitionBy("graph_id").orderBy(F.md5(F.concat_ws(":", F.col("node_id").cast("string"), F.lit(str(seed)))), "node_id")
-    to = nodes.drop("x").withColumn("_r", F.row_number().over(by_id))
-    of = nodes.select("graph_id", "x", F.row_number().over(by_hash).alias("_r"))
-    return to.join(of, ["graph_id", "_r"]).drop("_r")
+    """x shuffled among the nodes of each graph (ranks by id meet ranks by md5 of id and seed)."""
+    digest = F.md5(F.concat_ws(":", F.col("node_id").cast("string"), F.lit(str(seed))))
+    to = row_ranks(nodes.drop("x"), "graph_id", F.col("node_id"), ["node_id"], "_rank")
+    of = row_ranks(nodes.select("graph_id", "node_id", "x", digest.alias("_h")), "graph_id", F.conv(F.substring("_h", 1, 12), 16, 10), ["_h", "node_id"], "_rank")
+    return to.join(of.select("graph_id", "x", "_rank"), ["graph_id", "_rank"]).drop("_rank")
 
 
 def positive_share(nodes: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Binning by the true value: edges, binned error curves, uniform-weighted errors, histograms.
 
 Bins are half-open; a value at the last edge is in no bin, so quantile edges drop the maximum.
-Edges are a small table (one array per series); rows meet them by series and find their
-bin by counting edges, so there is no range join.
+Edges are a table of one array per series, computed once; rows meet it by series (broadcast if it is
+counted small) and find their bin by counting edges, so there is no range join.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import digitize, linspace, sem
 from nodeloom.operators.quantiles import exact_quantiles
+from nodeloom.storage import checkpointed, small_side
 
 
 def edges_of(df: DataFrame, value: str = "y", nbins: int = 12, strategy: str = "quantile", by: Sequence[str] = (), clip: tuple[float, float] = (1, 99), fallback: str = "clipped") -> DataFrame:
@@ -33,12 +34,12 @@ def edges_of(df: DataFrame, value: str = "y", nbins: int = 12, strategy: str = "
     equal = linspace(lo, hi, nbins)
     enough = nbins + 1 if fallback == "clipped" else 3
     edges = equal if strategy == "uniform" else F.when(F.size(quantiles) < enough, equal).otherwise(quantiles)
-    return q.select(*by, "n", edges.alias("edges"))
+    return checkpointed(q.select(*by, "n", edges.alias("edges")))
 
 
 def in_bins(df: DataFrame, edges: DataFrame, value: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Rows that fall in a bin, with ``bin``."""
-    small = F.broadcast(edges.select(*by, "edges")) if not by else edges.select(*by, "edges")
+    small = F.broadcast(edges.select("edges")) if not by else small_side(edges.select(*by, "edges"))
     met = df.join(small, list(by)) if by else df.crossJoin(small)  # one row of edges
     return met.withColumn("bin", digitize(F.col(value), F.col("edges"))).drop("edges").where("bin is not null")
 

@@ -1,4 +1,4 @@
-"""Exact linear-interpolation quantiles of groups of any size.
+"""Exact linear-interpolation quantiles, and row ranks, of groups of any size.
 
 A group's values are cut into chunks at approximate quantiles (a bounded sketch); chunk
 sizes give each chunk's first rank, ranks inside a chunk come from a running count over its
@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.storage import checkpointed, small_side
+
 CHUNKS = 64
 
 
@@ -25,7 +27,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(value).cast("double") + 0.0).alias("_v")).where("_v is not null")
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    splits = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / chunks for i in range(1, chunks)], 1000).alias("_s"), F.count("*").alias("_n"))
+    splits = checkpointed(rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / chunks for i in range(1, chunks)], 1000).alias("_s"), F.count("*").alias("_n")))
 
     def same(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select(*[F.col(k).alias(f"{k}b") for k in keys], *[c for c in b.columns if c not in keys])
@@ -35,7 +37,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         out = a.join(b, on) if keys else a.crossJoin(F.broadcast(b))  # one row
         return out.drop(*[f"{k}b" for k in keys])
 
-    placed = same(counts, splits).withColumn("_chunk", F.size(F.filter("_s", lambda s: s <= F.col("_v")))).drop("_s")
+    placed = same(counts, small_side(splits) if keys else splits).withColumn("_chunk", F.size(F.filter("_s", lambda s: s <= F.col("_v")))).drop("_s")
     sizes = placed.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_size"))  # at most `chunks` rows a group
     first = sizes.withColumn("_first", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("_size")).drop("_size")
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_v")
@@ -57,3 +59,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     pairs = pairs.withColumn("_q", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * between))
     out = pairs.groupBy(*keys, "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_q"))
     return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], F.col("_n").alias("n"), F.transform("_q", lambda s: s["_q"]).alias("q"))
+
+
+def row_ranks(df: DataFrame, by: str, chunk_on: Column, order: Sequence[str | Column], name: str = "rank", chunks: int = CHUNKS) -> DataFrame:
+    """``df`` with each row's number from 1 within its group, in ``order``.
+
+    ``chunk_on`` is a number that never falls along the order; rows are numbered inside chunks of it and offset
+    by the chunks before.  Null group keys are left out.
+    """
+    rows = df.withColumn("_at", chunk_on.cast("double"))
+    splits = checkpointed(rows.groupBy(by).agg(F.percentile_approx("_at", [i / chunks for i in range(1, chunks)], 1000).alias("_s")))
+    placed = rows.join(small_side(splits), by).withColumn("_chunk", F.size(F.filter("_s", lambda s: s <= F.col("_at")))).drop("_s", "_at")
+    sizes = placed.groupBy(by, "_chunk").agg(F.count("*").alias("_size"))  # at most `chunks` rows a group
+    first = checkpointed(sizes.select(by, "_chunk", (F.sum("_size").over(Window.partitionBy(by).orderBy("_chunk")) - F.col("_size")).alias("_first")))
+    inside = F.row_number().over(Window.partitionBy(by, "_chunk").orderBy(*order))
+    return placed.withColumn("_r", inside).join(small_side(first), [by, "_chunk"]).withColumn(name, F.col("_first") + F.col("_r")).drop("_r", "_first", "_chunk")

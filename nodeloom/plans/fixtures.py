@@ -59,3 +59,14 @@ def embedding_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph for each label with wide x: sign of each component; y is the first component."""
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("graph_id"), F.col("vec_id").alias("node_id"), F.transform(e, lambda v: (v > 0).cast("float")).alias("x"), F.get(e, F.lit(0)).cast("double").alias("y"))
+
+
+def copurchase_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, symmetric edges): a graph for each customer, a node for each part bought, an edge between parts of one order.
+
+    An order has a handful of lines, so its pairs stay few.
+    """
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = lines.select(F.col("o_custkey").cast("string").alias("graph_id"), F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("node_id")).distinct()
+    raw = bought.join(bought.withColumnRenamed("node_id", "v"), ["graph_id", "order"]).where("node_id < v").select("graph_id", F.col("node_id").alias("u"), "v")
+    return bought.select("graph_id", "node_id").distinct(), graphs.normalise_edges(raw)

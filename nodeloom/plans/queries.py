@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import inverse_transform
+from nodeloom.models.training import packed_graphs
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep
 from nodeloom.plans import fixtures as fx
+from nodeloom.sources import npz
 from nodeloom.storage import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -637,6 +639,35 @@ def audit_sampled_graphs(spark, d):
     return audit.audit_graphs(fx.event_graphs(nodes), nodes, checkpointed(edges), sample_k=5)
 
 
+COPURCHASE = """WITH bought AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS graph_id, l_orderkey AS o, l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), nodes AS (SELECT DISTINCT graph_id, node_id FROM bought),
+edges AS (SELECT DISTINCT a.graph_id, a.node_id AS src, b.node_id AS dst FROM bought a JOIN bought b ON a.graph_id = b.graph_id AND a.o = b.o AND a.node_id <> b.node_id)"""
+
+
+@query(f"{COPURCHASE}, {DEG} SELECT graph_id, round(avg((deg = 0)::DOUBLE), 6) AS deg0_frac, round(avg(deg), 6) AS deg_mean, round(quantile_cont(deg, 0.5), 6) AS deg_p50, round(quantile_cont(deg, 0.9), 6) AS deg_p90, max(deg) AS deg_max FROM deg GROUP BY graph_id")
+def copurchase_degree_stats(spark, d):
+    return audit.degree_stats(*fx.copurchase_graph(spark, d))
+
+
+@query(f"{COPURCHASE}, g AS (SELECT graph_id, count(*) AS n_nodes FROM nodes GROUP BY graph_id) SELECT graph_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM g LEFT JOIN (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY graph_id) USING (graph_id)")
+def copurchase_sizes(spark, d):
+    nodes, edges = fx.copurchase_graph(spark, d)
+    return fx.event_graphs(nodes).join(edges.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id", "left").fillna(0, subset=["n_edges"])
+
+
+@query(f"WITH {NODES} SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS node_id, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 6) AS y, CAST(list_sum(x) AS BIGINT) AS n_positive FROM nodes")
+def npz_nodes(spark, d):
+    """Graphs packed as NPZ bytes and decoded again; node ids become positions."""
+    decoded = npz.decode_contents(npz.pack(packed_graphs(*_graph(spark, d))))
+    nodes = npz.tables_of(decoded)[1]
+    return nodes.select("graph_id", "node_id", F.col("y").cast("double").alias("y"), F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
+
+
+@query(f"""{EDGED}, place AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS i FROM nodes)
+SELECT p.graph_id, a.i AS u, b.i AS v FROM pairs p JOIN place a ON a.graph_id = p.graph_id AND a.node_id = p.u JOIN place b ON b.graph_id = p.graph_id AND b.node_id = p.v""")
+def npz_edges(spark, d):
+    return npz.tables_of(npz.decode_contents(npz.pack(packed_graphs(*_graph(spark, d)))))[2]
+
+
 # --- models (no SQL: tests hold scores against NumPy and gradients against finite differences) ------
 
 

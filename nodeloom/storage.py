@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side that is broadcast after it has been counted.
+MOST_BROADCAST = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +25,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A checkpointed join side: broadcast if it has at most ``most`` rows, else left to a shuffle that Spark can split."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

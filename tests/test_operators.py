@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep
 from nodeloom.operators.components import connected_components
-from nodeloom.operators.quantiles import exact_quantiles
+from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.sources.builders import build_graph, with_minibatch
 
 
@@ -230,3 +230,10 @@ def test_stream_of_node_files(spark, tmp_path):
 def test_top_coefficients(spark):
     df = spark.createDataFrame([("self", "a", -3.0), ("self", "b", 2.0), ("self", "c", None), ("cross", "a:b", 1.0)], "kind string, name string, weight double")
     assert {(r.kind, r.name, r["rank"]) for r in prep.top_coefficients(df, 2).collect()} == {("self", "a", 1), ("self", "b", 2), ("cross", "a:b", 1)}
+
+
+def test_row_ranks_of_a_hot_group(spark):
+    df = spark.createDataFrame([("hot", (i * 7919) % 1000) for i in range(1000)] + [("a", 5), ("a", 2), (None, 1)], "g string, v int")
+    got = row_ranks(df, "g", df.v, ["v"], chunks=8)
+    assert all(r["rank"] == r.v + 1 for r in got.where("g = 'hot'").collect())
+    assert {(r.v, r["rank"]) for r in got.where("g = 'a'").collect()} == {(2, 1), (5, 2)} and got.count() == 1002
