@@ -22,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.llm.storage import checkpointed, unused_name
+from nodeloom.llm.storage import checkpointed, small_side, unused_name
 from nodeloom.llm.wordhash import mixed
 
 DIMS_BITS = 12
 DIMS = 1 << DIMS_BITS
 other_than_letters = re.compile(r"[\W\d_]+")
-#: Languages whose sizes are broadcast when the sample is drawn.
-MOST_BROADCAST = 100_000
 #: Characters hashed at a time, so that very long texts stay small in memory.
 CHUNK = 1 << 18
 
@@ -106,12 +104,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_at", F.xxhash64("_key"))
     # Of a language's hash range so much that about 4 * per_lang rows remain: what is ranked stays small at any size.
     sizes = checkpointed(keys.groupBy("_lang").agg(F.count("*").alias("_size")))
-    if sizes.count() <= MOST_BROADCAST:  # else Spark joins by language
-        sizes = F.broadcast(sizes)
-    few = keys.join(sizes, "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
+    few = keys.join(small_side(sizes), "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
     first = Window.partitionBy("_lang").orderBy("_at", "_key")
     sample = few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("_key", "_lang")
-    texts = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_l"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").where("_l = _lang")
+    texts = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_l"), F.col(text).alias("_text")).join(small_side(checkpointed(sample)), "_key").where("_l = _lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

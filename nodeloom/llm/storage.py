@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.storage import checkpointed, shared_dir
+from nodeloom.storage import checkpointed, shared_dir, small_side
 
-__all__ = ["bounded_batches", "checkpointed", "fresh_path", "held_out", "shared_dir", "unused_name"]
+__all__ = ["bounded_batches", "checkpointed", "fresh_path", "held_out", "shared_dir", "small_side", "unused_name"]
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
