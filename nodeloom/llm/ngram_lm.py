@@ -3,17 +3,21 @@
 Tokens: words between ASCII white space with A-Z lower-cased, then one end token.  A null
 text is empty (its only token is the end).
 
-Counting covers every training text.  With N training tokens, an n-gram is *frequent* if it
-occurs at least N / ``max_entries`` times, so by arithmetic there are at most ``max_entries``
-frequent words and as many frequent bigrams at any input size: that bounds all that is
-broadcast.  The filter holds, for each frequent word and bigram of count c, the keys
-(n-gram, 1) .. (n-gram, q), q = 1 + floor(log(c / least) / log(``base``)), so its
+Counting covers every word and bigram of every training text.  With N training tokens, an n-gram is
+*frequent* if it occurs at least N / ``max_entries`` times, so by arithmetic there are at most
+``max_entries`` frequent words and as many frequent bigrams at any input size: that bounds all
+that is broadcast.  Frequent words keep exact counts.  The filter holds, for each frequent bigram of
+count c, the keys (bigram, 1) .. (bigram, q), q = 1 + floor(log(c / least) / log(``base``)), so its
 insertions are bounded too; a count is read back by probing level after level until one is missing.
 
-Score of a token w after v: log10((1 - ``share``) * P1(w) + ``share`` * c(v, w) / c(v)) with counts
-from the filter and P1(w) = (c(w) + 1) / (N + V + 1).  Words that aren't frequent have no
-bigram in the filter; their exact counts meet them in a join by word (no hot key is left in
-it: each has under N / ``max_entries`` occurrences).
+All other n-grams keep exact counts in tables: rare words meet the texts in a join by word (no hot key
+is left in it: each has under N / ``max_entries`` occurrences); bigrams lie in hash shards of about
+``shard_tokens`` training tokens, and the texts' bigrams that the filter doesn't hold are sent to
+their shards in packed rows, which return one sum a text.
+
+Score of a token w after v: log10((1 - ``share``) * P1(w) + ``share`` * c(v, w) / c(v)) with
+P1(w) = (c(w) + 1) / (N + V + 1).  A shard keeps what a bigram adds to the score of w alone, its *gain*:
+log10(1 + ``share`` * c(v, w) / c(v) / ((1 - ``share``) * P1(w))).  A text's first word is scored alone.
 
 Words are identified by XXH64 (two of a million distinct words share one with odds of 3e-8).
 """
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from nodeloom.llm.storage import checkpointed
 from nodeloom.llm.wordhash import ascii_words, joined, mixed, word_hashes
 
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+END = np.uint64(0x454E44)
 PROBES, BITS_PER_KEY, SEGMENT_BITS = 4, 10, 1 << 17
 #: Tokens gathered before they are counted and sent on.
 FLUSH = 1 << 22
@@ -44,8 +48,8 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def bigrams(h: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it."""
-    return joined(np.concatenate(([START], h[:-1])), h)
+    """Hash of each token but the first with the one before it."""
+    return joined(h[:-1], h[1:])
 
 
 def positions(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -106,10 +110,83 @@ def _counted(what: Callable[[np.ndarray], np.ndarray]):
 
 
 class Model:
-    """Counts and filter of a training corpus; ``rare`` is a DataFrame, the rest is bounded."""
+    """Counts and filter of a training corpus; ``rare`` and ``gains`` are DataFrames, the rest is bounded.
+
+    ``gains`` has the bigrams that aren't frequent, by shard: single ones (h, gain) and packed ones (hs, gs).
+    """
+
+    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], rare: DataFrame, counts: LogFrequencyFilter, share: float, gains: DataFrame | None, shards: int):
+        self.n, self.v, self.frequent, self.rare, self.counts, self.share, self.gains, self.shards = n, v, frequent, rare, counts, share, gains, shards
+
+
+def _codes(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word is in the sorted frequent ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)
+    return at, known[at] == h.view(np.int64)
+
 
-    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], rare: DataFrame, counts: LogFrequencyFilter, share: float):
-        self.n, self.v, self.frequent, self.rare, self.counts, self.share = n, v, frequent, rare, counts, share
+def _shard(v: np.ndarray, w: np.ndarray, rare_v: np.ndarray, rare_w: np.ndarray, pair: np.ndarray, shards: int) -> np.ndarray:
+    """A bigram's shard: that of its rare word (the second, if both are), so that the word's count is there too."""
+    route = np.where(rare_w, w, np.where(rare_v, v, pair))
+    return ((route >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that occur, each with where it does, in order."""
+    if not len(shard):
+        return iter(())
+    order = np.argsort(shard, kind="stable")
+    ids, first = np.unique(shard[order], return_index=True)
+    return zip(ids.tolist(), np.split(order, first[1:]), strict=True)
+
+
+def _packed_pairs(words, shards: int):
+    """Counted bigrams of a task's texts, packed by shard: words' hashes, or (``b`` empty) two places among the frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+
+        def flush(texts):
+            h = np.concatenate(texts)
+            follows = np.ones(len(h), bool)
+            follows[np.cumsum([0] + [len(t) for t in texts[:-1]])] = False
+            second = np.flatnonzero(follows)
+            pair, first, c = np.unique(joined(h[second - 1], h[second]), return_index=True, return_counts=True)
+            v, w = h[second[first] - 1], h[second[first]]
+            (v_at, v_ok), (w_at, w_ok) = _codes(v, known), _codes(w, known)
+            shard = _shard(v, w, ~v_ok, ~w_ok, pair, shards)
+            both = v_ok & w_ok
+            out = {name: [] for name in ("shard", "a", "b", "c")}
+            for dense in (True, False):
+                of = np.flatnonzero(both == dense)
+                for s, at in _split(shard[of]):
+                    at = of[at]
+                    out["shard"].append(s)
+                    out["a"].append((v_at[at] << 32 | w_at[at] if dense else v[at]).tobytes())
+                    out["b"].append(b"" if dense else w[at].tobytes())
+                    out["c"].append(c[at].astype(np.int32).tobytes())
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+        texts, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                texts.append(tokens(t.as_py()))
+                size += len(texts[-1])
+                if size >= FLUSH:
+                    yield flush(texts)
+                    texts, size = [], 0
+        if texts:
+            yield flush(texts)
+
+    return run
+
+
+def _gain(c: np.ndarray, c_v: np.ndarray, c_w: np.ndarray, total: int, share: float) -> np.ndarray:
+    """What bigrams of counts c add to the score of the second word alone."""
+    return np.log10(1 + share * np.minimum(1.0, c / np.maximum(c_v, 1.0)) * total / ((1 - share) * (c_w + 1.0)))
 
 
 def _filter(entries: DataFrame, least: int, base: float) -> LogFrequencyFilter:
@@ -138,7 +215,7 @@ def _filter(entries: DataFrame, least: int, base: float) -> LogFrequencyFilter:
     return LogFrequencyFilter(bits, segments, least, base)
 
 
-def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base: float = 1.5, share: float = 0.2) -> Model:
+def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base: float = 1.5, share: float = 0.2, shard_tokens: int = 1 << 22) -> Model:
     """The model of all texts of ``docs``; an empty table gives N = V = 0."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
@@ -147,20 +224,126 @@ def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base:
     least = max(1, ceil(n / max_entries))
     top = words.where(F.col("c") >= least).toPandas().sort_values("h")  # at most max_entries rows
     frequent = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(frequent[0])
-
-    def promising(h: np.ndarray) -> np.ndarray:
-        """Bigrams of two frequent words: no other can be frequent."""
-        known = shared.value
-        if not len(known):
-            return h[:0]
-        at = np.searchsorted(known, h.view(np.int64))
-        ok = known[np.minimum(at, len(known) - 1)] == h.view(np.int64)
-        return bigrams(h)[ok & np.concatenate(([True], ok[:-1]))]
-
-    pairs = texts.mapInArrow(_counted(promising), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    entries = words.where(F.col("c") >= least).unionByName(pairs)
-    return Model(n, v, frequent, words.where(F.col("c") < least), _filter(entries, least, base), share)
+    rare = words.where(F.col("c") < least)
+    if least == 1:  # every bigram is frequent, of frequent words
+        pairs = texts.mapInArrow(_counted(bigrams), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+        return Model(n, v, frequent, rare, _filter(pairs, least, base), share, None, 1)
+    total, shards = n + v + 1, ceil(n / shard_tokens)
+    shared, known = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(frequent[0])
+
+    def summed(packed: pd.DataFrame, rare_words: pd.DataFrame) -> pd.DataFrame:
+        """A shard's frequent bigrams (kind 0), those still to meet their first word's count (1), and the gains of the others (2)."""
+        none = {"kind": [], "shard": [], "h": [], "v": [], "c": [], "c_w": [], "hs": [], "gs": []}
+        if not len(packed):
+            return pd.DataFrame(none)
+        words, times = shared.value
+        dense = packed["b"].map(len).to_numpy() == 0
+
+        def whole(name, rows, kind):
+            return np.frombuffer(b"".join(packed[name][rows]), kind)
+
+        ids = whole("a", dense, np.int64)
+        a = np.concatenate([words[ids >> 32].view(np.uint64), whole("a", ~dense, np.uint64)])
+        b = np.concatenate([words[ids & 0xFFFFFFFF].view(np.uint64), whole("b", ~dense, np.uint64)])
+        counts = np.concatenate([whole("c", dense, np.int32), whole("c", ~dense, np.int32)])
+        h, first, back = np.unique(joined(a, b), return_index=True, return_inverse=True)
+        c = np.bincount(back, counts, len(h)).astype(np.int64)
+        a, b = a[first], b[first]
+        rare_words = rare_words.sort_values("h")
+        here, here_c = rare_words["h"].to_numpy(np.int64), rare_words["c"].to_numpy(np.int64)
+
+        def counted(x):
+            (at, ok), (near, there) = _codes(x, words), _codes(x, here)
+            found = np.zeros(len(x), np.int64)
+            found[ok] = times[at[ok]]
+            found[there] = here_c[near[there]]
+            return found, ok
+
+        (c_v, v_ok), (c_w, w_ok) = counted(a), counted(b)
+        top, later = c >= least, ~v_ok & ~w_ok
+        rest = ~top & ~later
+        parts = [
+            pd.DataFrame({"kind": 0, "shard": 0, "h": h[top].view(np.int64), "v": 0, "c": c[top], "c_w": 0}),
+            pd.DataFrame({"kind": 1, "shard": packed["shard"].iloc[0], "h": h[later].view(np.int64), "v": a[later].view(np.int64), "c": c[later], "c_w": c_w[later]}),
+        ]
+        out = pd.concat(parts, ignore_index=True)
+        out["hs"] = out["gs"] = None
+        gains = _gain(c[rest], c_v[rest], c_w[rest], total, share).astype(np.float32)
+        one = pd.DataFrame({**none, "kind": [2], "shard": packed["shard"].iloc[:1], "h": [0], "v": [0], "c": [0], "c_w": [0], "hs": [h[rest].tobytes()], "gs": [gains.tobytes()]})
+        return pd.concat([out, one], ignore_index=True)
+
+    packed = texts.mapInArrow(_packed_pairs(known, shards), "shard int, a binary, b binary, c binary")
+    placed = rare.withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int"))
+    every = checkpointed(packed.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(summed, "kind int, shard int, h bigint, v bigint, c bigint, c_w bigint, hs binary, gs binary"))
+    # Both words are rare: the first one's count comes by a join.
+    met = every.where("kind = 1").join(rare.select(F.col("h").alias("v"), F.col("c").alias("c_v")), "v")
+    ratio = F.lit(share) * F.least(F.lit(1.0), F.col("c") / F.col("c_v")) * F.lit(float(total)) / (F.lit(1 - share) * (F.col("c_w") + 1))
+    single = met.select("shard", "h", F.log10(1 + ratio).alias("gain"), F.lit(None).cast("binary").alias("hs"), F.lit(None).cast("binary").alias("gs"))
+    gains = single.unionByName(every.where("kind = 2").select("shard", "h", F.lit(0.0).alias("gain"), "hs", "gs"))
+    return Model(n, v, frequent, rare, _filter(every.where("kind = 0").select("h", "c"), least, base), share, gains, shards)
+
+
+def _shard_gains(rows: DataFrame, model: Model, shared) -> DataFrame:
+    """``id``, ``gain``: what the bigrams that the filter doesn't hold add to each text's score, in parts."""
+    shards = model.shards
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bigrams ``h`` for the shards: those of one text lie together, ``sizes`` of them for each of ``ids``."""
+        (known, _), counts = shared.value
+
+        def flush(ids, texts):
+            sizes = np.array([len(t) for t in texts])
+            h, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+            follows = np.ones(len(h), bool)
+            follows[np.cumsum(sizes) - sizes] = False
+            second = np.flatnonzero(follows)
+            v, w, row = h[second - 1], h[second], row[second]
+            ok = _codes(h, known)[1]
+            pair, v_ok, w_ok = joined(v, w), ok[second - 1], ok[second]
+            left = ~(v_ok & w_ok)
+            keys, back = np.unique(pair[~left], return_inverse=True)
+            left[~left] = (counts.counts(keys) == 0)[back]
+            v, w, row, pair, v_ok, w_ok = (x[left] for x in (v, w, row, pair, v_ok, w_ok))
+            out = {name: [] for name in ("shard", "ids", "sizes", "h")}
+            for s, at in _split(_shard(v, w, ~v_ok, ~w_ok, pair, shards)):
+                texts_here, n = np.unique(row[at], return_counts=True)
+                out["shard"].append(s)
+                out["ids"].append(ids[texts_here].tobytes())
+                out["sizes"].append(n.astype(np.int32).tobytes())
+                out["h"].append(pair[at].tobytes())
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            texts += [tokens(t.as_py()) for t in batch.column(1)]
+            size = size + sum(map(len, texts[len(texts) - batch.num_rows :]))
+            if size >= FLUSH:
+                yield flush(np.concatenate(ids), texts)
+                ids, texts, size = [], [], 0
+        if texts:
+            yield flush(np.concatenate(ids), texts)
+
+    def answered(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        packed = table["hs"].notna()
+        h = np.concatenate([table["h"][~packed].to_numpy(np.int64).view(np.uint64), *(np.frombuffer(x, np.uint64) for x in table["hs"][packed])])
+        gain = np.concatenate([table["gain"][~packed].to_numpy(np.float64), *(np.frombuffer(x, np.float32) for x in table["gs"][packed])])
+        if not len(h) or not len(requests):
+            return pd.DataFrame({"id": [], "gain": []})
+        order = np.argsort(h)
+        h, gain = h[order], gain[order]
+        ids, sums = [], []
+        for i, sizes, pairs in zip(requests["ids"], requests["sizes"], requests["h"], strict=True):
+            pairs, sizes = np.frombuffer(pairs, np.uint64), np.frombuffer(sizes, np.int32)
+            at = np.minimum(np.searchsorted(h, pairs), len(h) - 1)
+            ids.append(np.frombuffer(i, np.int64))
+            sums.append(np.add.reduceat(np.where(h[at] == pairs, gain[at], 0.0), np.cumsum(sizes) - sizes))
+        out = pd.DataFrame({"id": np.concatenate(ids), "gain": np.concatenate(sums)})
+        return out[out["gain"] > 0].groupby("id", as_index=False).sum()
+
+    requests = rows.select("id", "text").mapInArrow(asked, "shard int, ids binary, sizes binary, h binary")
+    return requests.groupBy("shard").cogroup(model.gains.groupBy("shard")).applyInPandas(answered, "id bigint, gain double")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,28 +358,25 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, count), counts = shared.value
-        # What the filter says of the frequent words (and of the start) is probed once a task.
-        filtered = counts.counts(known.view(np.uint64))
         for batch in batches:
             texts = [tokens(t.as_py()) for t in batch.column(2)]
             sizes = np.array([len(h) for h in texts])
             h = np.concatenate(texts)
             row = np.repeat(np.arange(len(texts)), sizes)
-            at = np.minimum(np.searchsorted(known, h.view(np.int64)), max(0, len(known) - 1))
-            ok = known[at] == h.view(np.int64) if len(known) else np.zeros(len(h), bool)
+            at, ok = _codes(h, known)
             base, value = np.zeros(len(h)), np.zeros(len(h))
             base[ok] = np.log10(count[at[ok]] + 1)
             # A bigram of two frequent words is probed, each distinct one once a batch.
             first = np.cumsum(sizes) - sizes
             before = np.concatenate(([0], np.arange(len(h) - 1)))
             both = ok & ok[before]
-            both[first] = False  # no count of the start is kept: a first word is scored alone
+            both[first] = False  # a first word is scored alone
             pair = np.zeros(len(h))
             if both.any():
                 keys, back = np.unique(joined(h[before[both]], h[both]), return_inverse=True)
                 seen = counts.counts(keys)[back]
-                pair[both] = np.minimum(1.0, seen / np.maximum(filtered[at[before[both]]], 1.0))
-            value[ok] = np.log10((1 - share) * (filtered[at[ok]] + 1) / 10**unit + share * pair[ok])
+                pair[both] = np.minimum(1.0, seen / count[at[before[both]]])
+            value[ok] = np.log10((1 - share) * (count[at[ok]] + 1) / 10**unit + share * pair[ok])
             value[~ok] = log10(1 - share) - unit  # the word's own count is added by the join
             sums = [np.bincount(row, x, len(texts)) for x in (base, value, ok)]
             rows = len(texts)
@@ -232,6 +412,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         F.sum(F.col("base") + more).alias("base"),
         F.sum(F.col("value") + more).alias("value"),
     )
+    if model.gains is not None:
+        gained = _shard_gains(rows, model, shared).groupBy("id").agg(F.sum("gain").alias("gain"))
+        sums = sums.join(gained, "id", "left").withColumn("value", F.col("value") + F.coalesce("gain", F.lit(0.0)))
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return each.select(
         F.col("key").alias(key),

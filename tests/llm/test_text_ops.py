@@ -257,6 +257,32 @@ def test_lm_base_score_and_perplexity(spark, docs, texts, max_entries):
     assert sum(got[i].score for i in unseen) > 1.03 * sum(got[i].base_score for i in unseen)  # not far below the base on unseen texts
 
 
+@pytest.mark.parametrize("max_entries", [1 << 21, 500, 1])
+def test_lm_counts_all_bigrams(spark, docs, texts, max_entries):
+    """Bigrams below the line of frequent ones count too, whichever of their words are rare."""
+    c, pairs = Counter(), Counter()
+    for t in texts.values():
+        h = ngram_lm.tokens(t).tolist()
+        c.update(h)
+        pairs.update(zip(h[:-1], h[1:], strict=True))
+    total, share = sum(c.values()) + len(c) + 1, 0.2
+    model = ngram_lm.train(docs, max_entries=max_entries, shard_tokens=20_000)
+    from pyspark.sql import functions as F
+
+    odd = docs.unionByName(docs.select("doc_id", F.reverse("text").alias("text")).withColumn("doc_id", -1 - F.col("doc_id")), allowMissingColumns=True)
+    got = {r.doc_id: r.score for r in ngram_lm.score(odd, model).collect()}
+    for i, t in [*texts.items(), *((-1 - i, t and t[::-1]) for i, t in texts.items())]:
+        h = ngram_lm.tokens(t)
+        said = np.append(0, model.counts.counts(ngram_lm.bigrams(h)))
+        known = set(model.frequent[0].view(np.uint64).tolist())
+        want, v = 0, None
+        for w, quantised in zip(h.tolist(), said.tolist(), strict=True):
+            n = quantised if v in known and w in known and quantised else pairs[v, w]
+            want += math.log10((1 - share) * (c[w] + 1) / total + share * min(1, n / max(1, c[v])))
+            v = w
+        assert got[i] == pytest.approx(want, rel=1e-6)
+
+
 def test_lm_filter_counts_are_within_a_level(spark):
     rng = np.random.default_rng(0)
     h, c = rng.integers(-(2**63), 2**63, 4000), rng.integers(1, 3000, 4000)
