@@ -4,8 +4,8 @@ Vectors of one label (and length) are hashed into shards, each with its own grap
 block of query vectors is sent to every shard of its label.  A query descends the layers, fills
 a beam, and then floods over neighbours at or above the threshold, so its answer isn't
 capped by the beam.  Each (block, shard) task audits itself against brute force
-on a few of its queries and doubles its beam until the audit's recall passes (at the shard's
-size it is brute force).  Candidates are verified by cosine in double precision.
+on queries that have links beyond themselves and doubles its beam until recall, query by query and for
+few and many links alike, passes (at the shard's size it is brute force; so it is where too few queries have links).  Candidates are verified by cosine in double precision.
 
 Equal vectors are represented once, and tasks return link counts and a spanning forest,
 not all pairs, so groups of copies stay linear.  Shards hold at most about ``capacity``
@@ -165,21 +165,46 @@ class Hnsw:
         return np.concatenate(found)
 
 
-def linked_in_shard(index: Hnsw, x: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audited: int, recall: float) -> list[np.ndarray]:
-    """For each query (unit, double) the shard's vectors at or above ``threshold``."""
+def _good_recall(shares: np.ndarray, links: np.ndarray, recall: float, worst: float) -> bool:
+    """Whether the mean share of links found is at least ``recall`` for queries of each order of link numbers (1, 2-3, 4-7, ..) and no query's is below ``worst``."""
+    orders = np.log2(links).astype(int)
+    return shares.min() >= worst and all(shares[orders == o].mean() >= recall for o in np.unique(orders))
+
+
+def linked_in_shard(
+    index: Hnsw, x: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audited: int, recall: float, own: np.ndarray | None = None, worst: float = 0.9
+) -> list[np.ndarray]:
+    """For each query (unit, double) the shard's vectors at or above ``threshold``.
+
+    ``own`` is where a query itself is in the shard (-1: nowhere); that hit is no evidence of recall.
+    """
     floor = threshold - SLACK
+    own = np.full(len(queries), -1) if own is None else own
 
     def verified(q: np.ndarray, near: np.ndarray) -> np.ndarray:
         return near[x[near] @ q >= threshold]
 
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audited, len(queries))).astype(int))
-    truth = [np.flatnonzero(x @ queries[i] >= threshold) for i in sample]
+    # Brute force in a fixed shuffled order until enough linked queries were seen; if there are too few, it has answered all.
+    truth: dict[int, np.ndarray] = {}
+    linked: list[int] = []
+    order = np.random.default_rng(7).permutation(len(queries))
+    for start in range(0, len(order), 64):
+        some = order[start : start + 64]
+        for i, near in zip(some.tolist(), queries[some] @ x.T >= threshold, strict=True):
+            truth[i] = np.flatnonzero(near)
+            if (truth[i] != own[i]).any():
+                linked.append(i)
+        if len(linked) >= audited:
+            break
+    if len(truth) == len(queries):
+        return [truth[i] for i in range(len(queries))]
+    links = np.array([(truth[i] != own[i]).sum() for i in linked])
     while beam < len(x):
-        found = sum(len(verified(queries[i], index.within(queries[i].astype(np.float32), floor, beam))) for i in sample)
-        if found >= recall * sum(map(len, truth)):
-            return [verified(q, index.within(q.astype(np.float32), floor, beam)) for q in queries]
+        found = np.array([(verified(queries[i], index.within(queries[i].astype(np.float32), floor, beam)) != own[i]).sum() for i in linked])
+        if _good_recall(found / links, links, recall, worst):
+            return [truth[i] if i in truth else verified(q, index.within(q.astype(np.float32), floor, beam)) for i, q in enumerate(queries)]
         beam *= 2
-    return [np.flatnonzero(x @ q >= threshold) for q in queries]
+    return [truth[i] if i in truth else np.flatnonzero(x @ q >= threshold) for i, q in enumerate(queries)]
 
 
 def _root(parent: dict, a):
@@ -245,7 +270,9 @@ def near_duplicates(
         ids, copies, x, hnsw = pickle.loads(graph["index"].iloc[0])
         queries = queries.sort_values("rep", kind="stable")
         reps = queries["rep"].tolist()
-        links = linked_in_shard(hnsw, x, unit(np.stack(queries["embedding"].to_numpy())), threshold_, beam_, audited_, recall_)
+        place = {rep: i for i, rep in enumerate(ids)}
+        own = np.array([place.get(rep, -1) for rep in reps])
+        links = linked_in_shard(hnsw, x, unit(np.stack(queries["embedding"].to_numpy())), threshold_, beam_, audited_, recall_, own)
         a, b, n, parent = [], [], [], {}
         for rep, near in zip(reps, links, strict=True):
             own, times = 0, 0

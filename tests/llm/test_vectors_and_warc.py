@@ -46,6 +46,28 @@ def clustered(n, seed=0):
     return x.astype(np.float32)
 
 
+class NarrowIndex:
+    """Finds only the large group of near copies and a query itself until its beam is wide."""
+
+    def __init__(self, x, group):
+        self.x, self.group = x, group
+
+    def within(self, q, floor, beam):
+        near = np.flatnonzero(self.x @ q >= floor)
+        return near if beam >= 256 else near[(near < self.group) | (self.x[near] @ q > 1 - 1e-6)]
+
+
+@pytest.mark.parametrize("group,pairs,fresh", [(1200, 100, 0), (1200, 100, 800), (0, 1, 998)])
+def test_hnsw_audit_counts_queries_with_few_links(group, pairs, fresh):
+    """Links of a large group of copies, self hits and blocks (nearly) without links don't hide what is missed."""
+    rng = np.random.default_rng(3)
+    ends = hnsw.unit(rng.normal(size=(pairs, 64)))
+    x = np.concatenate([hnsw.unit(np.eye(1, 64) + rng.normal(size=(group, 64)) * 0.005), ends, hnsw.unit(rng.normal(size=(fresh, 64))), hnsw.unit(ends + rng.normal(size=ends.shape) * 0.005)])
+    want = [np.flatnonzero(x @ q >= 0.93).tolist() for q in x]
+    found = hnsw.linked_in_shard(NarrowIndex(x, group), x, x, 0.93, 32, 64, 0.999, np.arange(len(x)))
+    assert [f.tolist() for f in found] == want
+
+
 @pytest.mark.parametrize("least_shards,block", [(1, 100_000), (4, 150)])
 def test_hnsw_recall(spark, least_shards, block):
     x = clustered(900)
