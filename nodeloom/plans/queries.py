@@ -618,6 +618,26 @@ def ego_dataset(spark, d):
     return graphs.ego_dataset(nodes, edges, 2, 3)[0].select("graph_id", "center", "node_id", "hop", "local_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
 
 
+# The reference's default: every node is a centre. The three ego queries above use its sampling option (3 centres a graph).
+
+
+@query(ORACLE_SQL["ego_nodes"].replace(" WHERE r <= 3", ""))
+def ego_nodes_all(spark, d):
+    return graphs.ego_nodes(*_graph(spark, d), 2)
+
+
+@query(ORACLE_SQL["ego_edges"].replace(" WHERE r <= 3", ""))
+def ego_edges_all(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graphs.ego_edges(checkpointed(graphs.ego_nodes(nodes, edges, 2)), edges)
+
+
+@query(ORACLE_SQL["ego_dataset"].replace(" WHERE r <= 3", ""))
+def ego_dataset_all(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graphs.ego_dataset(nodes, edges, 2)[0].select("graph_id", "center", "node_id", "hop", "local_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
+
+
 @query(f"{SMALL} SELECT w.ordinal, w.name, CAST(m.marker_id AS INTEGER) AS marker_id FROM (VALUES (0, 'night'), (1, 'absent'), (2, 'click')) w(ordinal, name) LEFT JOIN markers m USING (name)")
 def wanted_markers(spark, d):
     return markers.wanted_markers(fx.event_markers(spark), ["night", "absent", "click"])

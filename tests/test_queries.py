@@ -2,6 +2,7 @@
 
 import pytest
 
+from nodeloom.plans import fixtures
 from nodeloom.plans import queries as q
 from tests.conftest import SF, same_rows
 
@@ -21,3 +22,9 @@ def test_entry_is_not_empty(spark):
 
     assert e.entry(spark).count() == 6
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["ego_nodes_all", "ego_dataset_all"])
+def test_every_node_is_an_ego_centre(spark, name):
+    nodes = fixtures.event_nodes(spark, SF).select("graph_id", "node_id").distinct().count()
+    assert q.QUERIES[name](spark, SF).where("center = node_id and hop = 0").count() == nodes
