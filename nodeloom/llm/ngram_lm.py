@@ -1,45 +1,60 @@
-"""Bigram language model whose counts sit, quantised, in a log-frequency Bloom filter.
+"""Bigram language model whose counts sit, quantised, in log-frequency Bloom filters.
 
 Tokens: words between ASCII white space with A-Z lower-cased, then one end token.  A null
 text is empty (its only token is the end).
 
-Counting covers every word and bigram of every training text.  With N training tokens, an n-gram is
-*frequent* if it occurs at least N / ``max_entries`` times, so by arithmetic there are at most
-``max_entries`` frequent words and as many frequent bigrams at any input size: that bounds all
-that is broadcast.  Frequent words keep exact counts.  The filter holds, for each frequent bigram of
-count c, the keys (bigram, 1) .. (bigram, q), q = 1 + floor(log(c / least) / log(``base``)), so its
-insertions are bounded too; a count is read back by probing level after level until one is missing.
-
-All other n-grams keep exact counts in tables: rare words meet the texts in a join by word (no hot key
-is left in it: each has under N / ``max_entries`` occurrences); bigrams lie in hash shards of about
-``shard_tokens`` training tokens, and the texts' bigrams that the filter doesn't hold are sent to
-their shards in packed rows, which return one sum a text.
-
-Score of a token w after v: log10((1 - ``share``) * P1(w) + ``share`` * c(v, w) / c(v)) with
-P1(w) = (c(w) + 1) / (N + V + 1).  A shard keeps what a bigram adds to the score of w alone, its *gain*:
-log10(1 + ``share`` * c(v, w) / c(v) / ((1 - ``share``) * P1(w))).  A text's first word is scored alone.
-
-Words are identified by XXH64 (two of a million distinct words share one with odds of 3e-8).
+Every word and bigram of every training text is counted, and every bigram is in a filter.  A filter
+holds, for a bigram of count c, the keys (bigram, 1) .. (bigram, q), where q is the number of
+``scale`` values that c reaches; a count is read back by probing level after level until one is
+missing, and reads as the least count of its last level, so never above the true one (but for false positives).
+
+With N training tokens, an n-gram is *frequent* if it occurs at least N / ``max_entries`` times: by
+arithmetic at most ``max_entries`` words and as many bigrams, at any input size.  Frequent words (exact
+counts, 16 bytes each) and the filter of frequent bigrams (1.5 bytes a level) are broadcast, which bounds what is broadcast
+at 16 * ``max_entries`` bytes and a sixth of that.  All other bigrams have their filter in segments, one for each hash
+shard of about ``shard_tokens`` training tokens; probes of what the broadcast filter doesn't hold
+are sent to their segment, packed by ``FLUSH`` tokens of texts, and answers return, packed too, as one sum a text.  A bigram with
+a rare word lies in that word's shard (the second's, if both are rare), where the exact counts of the shard's rare
+words are; of two rare words, the segment holds the first one's count too, quantised upwards.
+
+Score of a token w after v: P(w | v) = (1 - ``share``) * P1(w) + ``share`` * c(v, w) / c(v), with
+P1(w) = (c(w) + 1) / (N + V + 1), where V words and one for all unseen ones share the mass; P(w | v) = P1(w) for
+a text's first token and after a word never seen.  As counts read low, the sum of P(. | v) over all
+words is 1 - ``share`` * (c(v) - sum of read counts of v's bigrams) / c(v): at least 1 - ``share`` / 3 at the scale's steps of 1.5.
+
+Words are identified by XXH64 (two of a million distinct words share one with odds of 3e-8), bigrams
+by their shard and 32 bits (in a shard of four million, one of a thousand shares them with another).
+Equal texts have equal scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from math import ceil, log, log10
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.storage import checkpointed
 from nodeloom.llm.wordhash import ascii_words, joined, mixed, word_hashes
 
 END = np.uint64(0x454E44)
-PROBES, BITS_PER_KEY, SEGMENT_BITS = 4, 10, 1 << 17
-#: Tokens gathered before they are counted and sent on.
-FLUSH = 1 << 22
+PROBES, BITS_PER_KEY = 5, 12
+#: Tokens gathered before they are counted or looked up.
+FLUSH = 1 << 20
+LOW = np.uint64(0xFFFFFFFF)
+#: Steps of a factor's natural logarithm in a request (16 bits, to 0.1 %).
+STEPS = 512
+#: Kinds of a shard's rows, in the order in which a task reads them: its two filters, its rare words, requests, and rows that pass through.
+COUNTS, CONTEXTS, WORDS, REQUEST, PASSED = 0, 1, 2, 3, 4
+#: Kinds that only training sees: frequent bigrams, and contexts of two rare words.
+FREQUENT, RARE_PAIRS = 5, 6
+#: What a request asks for: a bigram by which of its words are rare, or (a rare first word) a word alone; 0: nothing.
+NONE_RARE, SECOND_RARE, FIRST_RARE, BOTH_RARE, WORD_ALONE = 1, 2, 3, 4, 5
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -47,90 +62,119 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(ascii_words(text)), END)
 
 
-def bigrams(h: np.ndarray) -> np.ndarray:
-    """Hash of each token but the first with the one before it."""
-    return joined(h[:-1], h[1:])
-
-
-def positions(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of (n-gram, level) keys: a hash that picks the segment, and bit positions within it."""
-    with np.errstate(over="ignore"):
-        h = mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-    low, step = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-    return keys >> np.uint64(20), [((low + np.uint64(i) * step) % np.uint64(SEGMENT_BITS)).astype(np.int64) for i in range(PROBES)]
+def scale(least: int, most: int, base: float) -> np.ndarray:
+    """The least count of each level: ``least`` times powers of ``base``, rounded up, until one is above ``most``."""
+    top = int(log(max(most, least) / least) / log(base) + 1e-9) + 2
+    return np.unique(np.ceil(least * base ** np.arange(top) - 1e-9).astype(np.int64))
 
 
 class LogFrequencyFilter:
-    """Bits in segments, and the scale of the levels."""
-
-    def __init__(self, bits: np.ndarray, segments: int, least: int, base: float):
-        self.bits, self.segments, self.least, self.base = bits, segments, least, base
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts (0: not frequent) by repeated membership probes."""
-        level = np.zeros(len(keys), np.int64)
-        going = np.arange(len(keys))
-        if not self.segments:
-            return level.astype(float)
-        j = 1
-        while len(going):
-            segment, at = positions(keys[going], j)
-            start = (segment % np.uint64(self.segments)).astype(np.int64) * SEGMENT_BITS
+    """Bits of (key, level) pairs and the scale of the levels."""
+
+    def __init__(self, bits: np.ndarray, levels: np.ndarray):
+        self.bits, self.levels = bits, levels
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, least: int, base: float) -> LogFrequencyFilter:
+        """A filter of distinct keys with counts of at least ``least``."""
+        levels = scale(least, int(counts.max(initial=least)), base)
+        q = np.searchsorted(levels, counts, "right")
+        size = ceil(int(q.sum()) * BITS_PER_KEY / 8) * 8
+        bits = np.zeros(size, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            held = keys[q >= level]
+            for start in range(0, len(held), FLUSH // 4):
+                for at in cls._places(held[start : start + FLUSH // 4], level, size):
+                    bits[at] = True
+        return cls(np.packbits(bits, bitorder="little"), levels)
+
+    @staticmethod
+    def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            h = mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level))
+        low, step = h & LOW, h >> np.uint64(32) | np.uint64(1)
+        for i in range(PROBES):
+            yield ((low + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """The last level held of each key (0: none), by repeated membership probes."""
+        out, going, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+        while len(self.bits) and len(going) and j <= len(self.levels):
             there = np.ones(len(going), bool)
-            for p in at:
-                bit = start + p
-                there &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            for at in self._places(keys[going], j, len(self.bits) * 8):
+                there &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
             going = going[there]
-            level[going] = j
+            out[going] = j
             j += 1
-        # The middle (geometric) of the counts that share a level.
-        return np.where(level > 0, np.maximum(self.least, self.least * self.base ** (level - 0.5)), 0.0)
+        return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts rounded down to the scale (0: not held)."""
+        return np.concatenate(([0], self.levels))[self.level(keys)].astype(float)
 
-def _counted(what: Callable[[np.ndarray], np.ndarray]):
-    """Counts of what each text's tokens give, gathered over a task's texts."""
+    def counts_above(self, keys: np.ndarray) -> np.ndarray:
+        """Counts rounded up to the last of their level (0: not held)."""
+        return np.concatenate(([0], self.levels[1:] - 1, self.levels[-1:]))[self.level(keys)].astype(float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts):
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "c"])
+    def packed(self) -> tuple[bytes, bytes]:
+        return self.bits.tobytes(), self.levels.tobytes()
 
-        parts, size = [], 0
-        for batch in batches:
-            for t in batch.column(0):
-                parts.append(what(tokens(t.as_py())))
-                size += len(parts[-1])
-                if size >= FLUSH:
-                    yield flush(parts)
-                    parts, size = [], 0
-        if parts:
-            yield flush(parts)
+    @classmethod
+    def unpacked(cls, bits: bytes, levels: bytes) -> LogFrequencyFilter:
+        return cls(np.frombuffer(bits, np.uint8), np.frombuffer(levels, np.int64))
 
-    return run
+
+EMPTY = LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(0, np.int64))
 
 
 class Model:
-    """Counts and filter of a training corpus; ``rare`` and ``gains`` are DataFrames, the rest is bounded.
+    """A training corpus: ``frequent`` (sorted words, counts) and ``counts`` are bounded; ``segments`` is a DataFrame of (shard, kind, a, b)."""
 
-    ``gains`` has the bigrams that aren't frequent, by shard: single ones (h, gain) and packed ones (hs, gs).
-    """
+    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], counts: LogFrequencyFilter, share: float, segments: DataFrame, shards: int):
+        self.n, self.v, self.frequent, self.counts, self.share, self.segments, self.shards = n, v, frequent, counts, share, segments, shards
 
-    def __init__(self, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray], rare: DataFrame, counts: LogFrequencyFilter, share: float, gains: DataFrame | None, shards: int):
-        self.n, self.v, self.frequent, self.rare, self.counts, self.share, self.gains, self.shards = n, v, frequent, rare, counts, share, gains, shards
+
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Batches with the tokens of all their texts, and each text's number of tokens, when about ``FLUSH`` tokens have come."""
+    some, texts, size = [], [], 0
+    for batch in batches:
+        start = 0
+        for i, t in enumerate(batch.column(text)):
+            texts.append(tokens(t.as_py()))
+            size += len(texts[-1])
+            if size >= FLUSH:
+                some.append(batch.slice(start, i + 1 - start))
+                yield some, np.concatenate(texts), np.array([len(h) for h in texts])
+                some, texts, size, start = [], [], 0, i + 1
+        if start < batch.num_rows:
+            some.append(batch.slice(start))
+    if texts:
+        yield some, np.concatenate(texts), np.array([len(h) for h in texts])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, h, _ in gathered(batches, 0):
+        keys, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "c"])
 
 
 def _codes(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word is in the sorted frequent ones, and whether it is there."""
+    """Where each hash is in the sorted known ones, and whether it is there."""
     if not len(known):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     at = np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)
     return at, known[at] == h.view(np.int64)
 
 
-def _shard(v: np.ndarray, w: np.ndarray, rare_v: np.ndarray, rare_w: np.ndarray, pair: np.ndarray, shards: int) -> np.ndarray:
-    """A bigram's shard: that of its rare word (the second, if both are), so that the word's count is there too."""
-    route = np.where(rare_w, w, np.where(rare_v, v, pair))
-    return ((route >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def _times(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts of hashes among the sorted known ones, 0 for others."""
+    at, ok = _codes(h, known[0])
+    return np.where(ok, known[1][at], 0) if len(known[1]) else np.zeros(len(h), np.int64)
+
+
+def shard_of(pair: np.ndarray, v: np.ndarray, w: np.ndarray, v_rare: np.ndarray, w_rare: np.ndarray, shards: int) -> np.ndarray:
+    """A bigram's shard: that of its rare word (the second, if both are), else its own."""
+    return ((np.where(w_rare, w, np.where(v_rare, v, pair)) & LOW) % np.uint64(shards)).astype(np.int64)
 
 
 def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -142,208 +186,246 @@ def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return zip(ids.tolist(), np.split(order, first[1:]), strict=True)
 
 
+def squeezed(fp: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers, by their differences."""
+    return zlib.compress(np.diff(fp, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+PAIRS = pa.schema([("shard", pa.int32()), ("fp", pa.binary()), ("c", pa.binary()), ("v", pa.binary())])
+
+
 def _packed_pairs(words, shards: int):
-    """Counted bigrams of a task's texts, packed by shard: words' hashes, or (``b`` empty) two places among the frequent ones."""
+    """Counted bigrams of a task's texts, packed by shard: 32 bits and counts, and (two rare words) the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
-
-        def flush(texts):
-            h = np.concatenate(texts)
-            follows = np.ones(len(h), bool)
-            follows[np.cumsum([0] + [len(t) for t in texts[:-1]])] = False
-            second = np.flatnonzero(follows)
-            pair, first, c = np.unique(joined(h[second - 1], h[second]), return_index=True, return_counts=True)
-            v, w = h[second[first] - 1], h[second[first]]
-            (v_at, v_ok), (w_at, w_ok) = _codes(v, known), _codes(w, known)
-            shard = _shard(v, w, ~v_ok, ~w_ok, pair, shards)
-            both = v_ok & w_ok
-            out = {name: [] for name in ("shard", "a", "b", "c")}
-            for dense in (True, False):
-                of = np.flatnonzero(both == dense)
-                for s, at in _split(shard[of]):
-                    at = of[at]
-                    out["shard"].append(s)
-                    out["a"].append((v_at[at] << 32 | w_at[at] if dense else v[at]).tobytes())
-                    out["b"].append(b"" if dense else w[at].tobytes())
-                    out["c"].append(c[at].astype(np.int32).tobytes())
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-        texts, size = [], 0
+        known = words.value[0]
+        for _, h, sizes in gathered(batches, 0):
+            rare = ~_codes(h, known)[1]
+            second = np.delete(np.arange(len(h)), np.cumsum(sizes) - sizes)
+            pair, at, c = np.unique(joined(h[second - 1], h[second]), return_index=True, return_counts=True)
+            at = second[at]
+            v, w, v_rare, w_rare = h[at - 1], h[at], rare[at - 1], rare[at]
+            shard, fp, both = shard_of(pair, v, w, v_rare, w_rare, shards), (pair >> np.uint64(32)).astype(np.uint32), v_rare & w_rare
+            rows = []
+            for is_both in (False, True):
+                of = np.flatnonzero(both == is_both)
+                for s, i in _split(shard[of]):
+                    i = of[i]
+                    rows.append({"shard": s, "fp": squeezed(fp[i]), "c": c[i].astype(np.int32).tobytes(), "v": v[i].tobytes() if is_both else b""})
+            if rows:
+                yield _batch(rows, PAIRS)
+
+    return run
+
+
+SEGMENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+SEGMENT_DDL = "shard int, kind int, a binary, b binary"
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of one shard after another; they arrive sorted by shard."""
+    shard, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["shard"] != shard and rows:
+                yield shard, rows
+                rows = []
+            shard = row["shard"]
+            rows.append(row)
+    if rows:
+        yield shard, rows
+
+
+def _joined_bytes(rows: list[dict], name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+
+
+def _segments(least: int, base: float):
+    """A shard's filter, its frequent bigrams, and the bigrams of two rare words with the first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _by_shard(batches):
+            # Sorted in place as fp and count together, so that a shard needs little memory.
+            each = np.concatenate([expanded(r["fp"]) for r in rows]).astype(np.uint64) << np.uint64(32) | _joined_bytes(rows, "c", np.uint32)
+            each.sort()
+            start = np.flatnonzero(np.diff(each >> np.uint64(32), prepend=np.uint64(1 << 32)))
+            fp, c = (each[start] >> np.uint64(32)).astype(np.uint32), np.add.reduceat((each & LOW).astype(np.int64), start)
+            del each, start
+            top = c >= least
+            key = np.uint64(shard) << np.uint64(32) | fp.astype(np.uint64)
+            bits, levels = LogFrequencyFilter.of(key[~top], c[~top], 1, base).packed()
+            out = [{"shard": shard, "kind": COUNTS, "a": bits, "b": levels}]
+            if top.any():
+                out.append({"shard": shard, "kind": FREQUENT, "a": key[top].tobytes(), "b": c[top].tobytes()})
+            if two := [r for r in rows if r["v"]]:
+                fp, at = np.unique(np.concatenate([expanded(r["fp"]) for r in two]), return_index=True)
+                out.append({"shard": shard, "kind": RARE_PAIRS, "a": fp.tobytes(), "b": _joined_bytes(two, "v", np.uint64)[at].tobytes()})
+            yield _batch(out, SEGMENT)
+
+    return run
+
+
+def _rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            fp = np.frombuffer(row["a"], np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), row["shard"], np.int32)), pa.array(fp.astype(np.int64)), pa.array(np.frombuffer(row["b"], np.int64))], names=["shard", "fp", "v"])
+
+
+def _contexts(base: float):
+    """A shard's filter of the first word's count of bigrams of two rare words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            fp, c = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
+            bits, levels = LogFrequencyFilter.of(np.uint64(shard) << np.uint64(32) | fp.astype(np.uint64), c, 1, base).packed()
+            return _batch([{"shard": shard, "kind": CONTEXTS, "a": bits, "b": levels}], SEGMENT)
+
+        last, parts = None, []
         for batch in batches:
-            for t in batch.column(0):
-                texts.append(tokens(t.as_py()))
-                size += len(texts[-1])
-                if size >= FLUSH:
-                    yield flush(texts)
-                    texts, size = [], 0
-        if texts:
-            yield flush(texts)
+            for shard, at in _split(batch.column(0).to_numpy()):
+                if shard != last and parts:
+                    yield made(last, parts)
+                    parts = []
+                last = shard
+                parts.append(batch.slice(at[0], len(at)))
+        if parts:
+            yield made(last, parts)
 
     return run
 
 
-def _gain(c: np.ndarray, c_v: np.ndarray, c_w: np.ndarray, total: int, share: float) -> np.ndarray:
-    """What bigrams of counts c add to the score of the second word alone."""
-    return np.log10(1 + share * np.minimum(1.0, c / np.maximum(c_v, 1.0)) * total / ((1 - share) * (c_w + 1.0)))
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rare words packed by shard, about a million at a time."""
 
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard, h, c = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
+        return _batch([{"shard": s, "kind": WORDS, "a": h[at].tobytes(), "b": c[at].tobytes()} for s, at in _split(shard)], SEGMENT)
 
-def _filter(entries: DataFrame, least: int, base: float) -> LogFrequencyFilter:
-    """The filter of (h, c) entries with c >= least; tasks build segments."""
-    level = (F.floor(F.log(F.col("c") / F.lit(float(least))) / F.lit(log(base)) + F.lit(1e-9)) + 1).cast("int")
-    entries = checkpointed(entries.select("h", level.alias("q")))
-    keys = entries.agg(F.sum("q")).first()[0] or 0
-    segments = ceil(keys * BITS_PER_KEY / SEGMENT_BITS)
-    if not segments:
-        return LogFrequencyFilter(np.zeros(0, np.uint8), 0, least, base)
+    parts, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+            size += batch.num_rows
+        if size >= FLUSH:
+            yield packed(parts)
+            parts, size = [], 0
+    if parts:
+        yield packed(parts)
 
-    def built(group: pd.DataFrame) -> pd.DataFrame:
-        h, q = group["h"].to_numpy(np.int64).view(np.uint64), group["q"].to_numpy()
-        each = np.repeat(h, q)
-        levels = np.arange(len(each)) - np.repeat(np.cumsum(q) - q, q) + 1
-        bits = np.zeros(SEGMENT_BITS, np.uint8)
-        for at in positions(each, levels)[1]:
-            bits[at] = 1
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    by_segment = entries.withColumn("segment", F.pmod(F.shiftrightunsigned("h", 20), F.lit(segments)))
-    made = by_segment.groupBy("segment").applyInPandas(built, "segment bigint, bits binary").toPandas()
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for segment, part in zip(made["segment"], made["bits"], strict=True):
-        bits[segment * SEGMENT_BITS // 8 : (segment + 1) * SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
-    return LogFrequencyFilter(bits, segments, least, base)
+def _shard(h: str | Column, shards: int) -> Column:
+    return (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)) % shards).cast("int")
 
 
 def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base: float = 1.5, share: float = 0.2, shard_tokens: int = 1 << 22) -> Model:
     """The model of all texts of ``docs``; an empty table gives N = V = 0."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
-    words = checkpointed(texts.mapInArrow(_counted(lambda h: h), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+    words = checkpointed(texts.mapInArrow(_word_counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, ceil(n / max_entries))
+    least, shards = max(1, ceil(n / max_entries)), max(1, ceil(n / shard_tokens))
     top = words.where(F.col("c") >= least).toPandas().sort_values("h")  # at most max_entries rows
     frequent = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    rare = words.where(F.col("c") < least)
-    if least == 1:  # every bigram is frequent, of frequent words
-        pairs = texts.mapInArrow(_counted(bigrams), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-        return Model(n, v, frequent, rare, _filter(pairs, least, base), share, None, 1)
-    total, shards = n + v + 1, ceil(n / shard_tokens)
-    shared, known = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(frequent[0])
-
-    def summed(packed: pd.DataFrame, rare_words: pd.DataFrame) -> pd.DataFrame:
-        """A shard's frequent bigrams (kind 0), those still to meet their first word's count (1), and the gains of the others (2)."""
-        none = {"kind": [], "shard": [], "h": [], "v": [], "c": [], "c_w": [], "hs": [], "gs": []}
-        if not len(packed):
-            return pd.DataFrame(none)
-        words, times = shared.value
-        dense = packed["b"].map(len).to_numpy() == 0
-
-        def whole(name, rows, kind):
-            return np.frombuffer(b"".join(packed[name][rows]), kind)
-
-        ids = whole("a", dense, np.int64)
-        a = np.concatenate([words[ids >> 32].view(np.uint64), whole("a", ~dense, np.uint64)])
-        b = np.concatenate([words[ids & 0xFFFFFFFF].view(np.uint64), whole("b", ~dense, np.uint64)])
-        counts = np.concatenate([whole("c", dense, np.int32), whole("c", ~dense, np.int32)])
-        h, first, back = np.unique(joined(a, b), return_index=True, return_inverse=True)
-        c = np.bincount(back, counts, len(h)).astype(np.int64)
-        a, b = a[first], b[first]
-        rare_words = rare_words.sort_values("h")
-        here, here_c = rare_words["h"].to_numpy(np.int64), rare_words["c"].to_numpy(np.int64)
-
-        def counted(x):
-            (at, ok), (near, there) = _codes(x, words), _codes(x, here)
-            found = np.zeros(len(x), np.int64)
-            found[ok] = times[at[ok]]
-            found[there] = here_c[near[there]]
-            return found, ok
-
-        (c_v, v_ok), (c_w, w_ok) = counted(a), counted(b)
-        top, later = c >= least, ~v_ok & ~w_ok
-        rest = ~top & ~later
-        parts = [
-            pd.DataFrame({"kind": 0, "shard": 0, "h": h[top].view(np.int64), "v": 0, "c": c[top], "c_w": 0}),
-            pd.DataFrame({"kind": 1, "shard": packed["shard"].iloc[0], "h": h[later].view(np.int64), "v": a[later].view(np.int64), "c": c[later], "c_w": c_w[later]}),
-        ]
-        out = pd.concat(parts, ignore_index=True)
-        out["hs"] = out["gs"] = None
-        gains = _gain(c[rest], c_v[rest], c_w[rest], total, share).astype(np.float32)
-        one = pd.DataFrame({**none, "kind": [2], "shard": packed["shard"].iloc[:1], "h": [0], "v": [0], "c": [0], "c_w": [0], "hs": [h[rest].tobytes()], "gs": [gains.tobytes()]})
-        return pd.concat([out, one], ignore_index=True)
-
-    packed = texts.mapInArrow(_packed_pairs(known, shards), "shard int, a binary, b binary, c binary")
-    placed = rare.withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int"))
-    every = checkpointed(packed.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(summed, "kind int, shard int, h bigint, v bigint, c bigint, c_w bigint, hs binary, gs binary"))
-    # Both words are rare: the first one's count comes by a join.
-    met = every.where("kind = 1").join(rare.select(F.col("h").alias("v"), F.col("c").alias("c_v")), "v")
-    ratio = F.lit(share) * F.least(F.lit(1.0), F.col("c") / F.col("c_v")) * F.lit(float(total)) / (F.lit(1 - share) * (F.col("c_w") + 1))
-    single = met.select("shard", "h", F.log10(1 + ratio).alias("gain"), F.lit(None).cast("binary").alias("hs"), F.lit(None).cast("binary").alias("gs"))
-    gains = single.unionByName(every.where("kind = 2").select("shard", "h", F.lit(0.0).alias("gain"), "hs", "gs"))
-    return Model(n, v, frequent, rare, _filter(every.where("kind = 0").select("h", "c"), least, base), share, gains, shards)
-
-
-def _shard_gains(rows: DataFrame, model: Model, shared) -> DataFrame:
-    """``id``, ``gain``: what the bigrams that the filter doesn't hold add to each text's score, in parts."""
-    shards = model.shards
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigrams ``h`` for the shards: those of one text lie together, ``sizes`` of them for each of ``ids``."""
-        (known, _), counts = shared.value
-
-        def flush(ids, texts):
-            sizes = np.array([len(t) for t in texts])
-            h, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
-            follows = np.ones(len(h), bool)
-            follows[np.cumsum(sizes) - sizes] = False
-            second = np.flatnonzero(follows)
-            v, w, row = h[second - 1], h[second], row[second]
-            ok = _codes(h, known)[1]
-            pair, v_ok, w_ok = joined(v, w), ok[second - 1], ok[second]
-            left = ~(v_ok & w_ok)
-            keys, back = np.unique(pair[~left], return_inverse=True)
-            left[~left] = (counts.counts(keys) == 0)[back]
-            v, w, row, pair, v_ok, w_ok = (x[left] for x in (v, w, row, pair, v_ok, w_ok))
-            out = {name: [] for name in ("shard", "ids", "sizes", "h")}
-            for s, at in _split(_shard(v, w, ~v_ok, ~w_ok, pair, shards)):
-                texts_here, n = np.unique(row[at], return_counts=True)
-                out["shard"].append(s)
-                out["ids"].append(ids[texts_here].tobytes())
-                out["sizes"].append(n.astype(np.int32).tobytes())
-                out["h"].append(pair[at].tobytes())
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            ids.append(batch.column(0).to_numpy())
-            texts += [tokens(t.as_py()) for t in batch.column(1)]
-            size = size + sum(map(len, texts[len(texts) - batch.num_rows :]))
-            if size >= FLUSH:
-                yield flush(np.concatenate(ids), texts)
-                ids, texts, size = [], [], 0
-        if texts:
-            yield flush(np.concatenate(ids), texts)
-
-    def answered(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        packed = table["hs"].notna()
-        h = np.concatenate([table["h"][~packed].to_numpy(np.int64).view(np.uint64), *(np.frombuffer(x, np.uint64) for x in table["hs"][packed])])
-        gain = np.concatenate([table["gain"][~packed].to_numpy(np.float64), *(np.frombuffer(x, np.float32) for x in table["gs"][packed])])
-        if not len(h) or not len(requests):
-            return pd.DataFrame({"id": [], "gain": []})
-        order = np.argsort(h)
-        h, gain = h[order], gain[order]
-        ids, sums = [], []
-        for i, sizes, pairs in zip(requests["ids"], requests["sizes"], requests["h"], strict=True):
-            pairs, sizes = np.frombuffer(pairs, np.uint64), np.frombuffer(sizes, np.int32)
-            at = np.minimum(np.searchsorted(h, pairs), len(h) - 1)
-            ids.append(np.frombuffer(i, np.int64))
-            sums.append(np.add.reduceat(np.where(h[at] == pairs, gain[at], 0.0), np.cumsum(sizes) - sizes))
-        out = pd.DataFrame({"id": np.concatenate(ids), "gain": np.concatenate(sums)})
-        return out[out["gain"] > 0].groupby("id", as_index=False).sum()
-
-    requests = rows.select("id", "text").mapInArrow(asked, "shard int, ids binary, sizes binary, h binary")
-    return requests.groupBy("shard").cogroup(model.gains.groupBy("shard")).applyInPandas(answered, "id bigint, gain double")
+    rare = words.where(F.col("c") < least).select(_shard("h", shards).alias("shard"), "h", "c")
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+
+    packed = texts.mapInArrow(_packed_pairs(shared, shards), "shard int, fp binary, c binary, v binary")
+    made = checkpointed(dealt(packed).mapInArrow(_segments(least, base), SEGMENT_DDL))
+    # Of two rare words, the first one's count comes by a join (no word of it is hot: each occurs less than N / max_entries times).
+    two = made.where(F.col("kind") == RARE_PAIRS).select("shard", "a", "b").mapInArrow(_rare_pairs, "shard int, fp bigint, v bigint")
+    met = two.join(rare.select(F.col("h").alias("v"), "c"), "v").select("shard", "fp", "c")
+    contexts = checkpointed(dealt(met).mapInArrow(_contexts(base), SEGMENT_DDL))
+    many = made.where(F.col("kind") == FREQUENT).select("a", "b").toPandas()  # at most max_entries bigrams
+    keys, counts = (np.frombuffer(b"".join(many[c]), kind) for c, kind in (("a", np.uint64), ("b", np.int64)))
+    segments = made.where(F.col("kind") == COUNTS).unionByName(contexts).unionByName(rare.mapInArrow(_packed_words, SEGMENT_DDL))
+    return Model(n, v, frequent, LogFrequencyFilter.of(keys, counts, least, base), share, segments, shards)
+
+
+def _requests(h: np.ndarray, sizes: np.ndarray, ids: np.ndarray, model: tuple) -> tuple[list[dict], tuple[np.ndarray, ...]]:
+    """(a request to each shard that texts' tokens need, and for each text: known tokens, base and gain as far as broadcast counts tell)."""
+    known, counts, total, share, shards = model
+    row, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    c = _times(h, known)
+    rare = c == 0
+    base = np.where(rare, 0.0, np.log10(c + 1.0))
+    # A token and the one before it; a first token has none.
+    before = np.concatenate(([0], np.arange(len(h) - 1)))
+    starts = np.zeros(len(h), bool)
+    starts[first] = True
+    v_rare = rare[before] & ~starts
+    pair = joined(h[before], h)
+    shard = shard_of(pair, h[before], h, v_rare, rare, shards)
+    pair >>= np.uint64(32)
+    # log of the factor of c(v, w) in its share of P(w | v) over that of P1(w), without what only a shard knows.
+    factor = log(share / (1 - share) * total) - np.where(v_rare, 0.0, np.log(np.maximum(c[before], 1))) - np.where(rare, 0.0, np.log(c + 1.0))
+    kind = np.where(starts, np.where(rare, WORD_ALONE, 0), np.where(rare, np.where(v_rare, BOTH_RARE, SECOND_RARE), np.where(v_rare, FIRST_RARE, NONE_RARE))).astype(np.uint8)
+    both = np.flatnonzero(kind == NONE_RARE)
+    keys, back = np.unique(shard[both].astype(np.uint64) << np.uint64(32) | pair[both], return_inverse=True)
+    seen = np.minimum(counts.counts(keys)[back], c[before[both]])
+    kind[both[seen > 0]] = 0
+    gain = np.bincount(row[both], np.log10(1 + seen * np.exp(factor[both])), len(sizes)).astype(float)
+    out, asked = [], np.flatnonzero(kind)
+    for s, at in _split(shard[asked]):
+        at = asked[at]  # in the order of texts
+        texts, start = np.unique(row[at], return_index=True)
+        kinds, worded = kind[at], at[kind[at] != NONE_RARE]
+        columns = {
+            "ids": ids[texts],
+            "sizes": np.diff(np.append(start, len(at))).astype(np.int32),
+            "a": kinds,
+            "b": pair[at].astype(np.uint32),
+            "steps": np.rint(factor[at] * STEPS).astype(np.int16),
+            "word": np.where(rare[worded], h[worded], h[before[worded]]),
+        }
+        out.append({"shard": s, "kind": REQUEST, **{n: x.tobytes() for n, x in columns.items()}})
+    return out, (np.bincount(row, ~rare, len(sizes)), np.bincount(row, base, len(sizes)), gain)
+
+
+def _answer(row: dict, counts: LogFrequencyFilter, contexts: LogFrequencyFilter, words: tuple[np.ndarray, np.ndarray]) -> dict:
+    """One request's sums by text: ids and gains where there are any, and ids, known tokens and base where a rare word is known."""
+    ids, sizes, kind = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["a"], np.uint8)
+    times = np.zeros(len(kind), np.int64)
+    times[kind != NONE_RARE] = _times(np.frombuffer(row["word"], np.uint64), words)
+    of_word = np.where(kind == FIRST_RARE, 0, times)
+    key = np.uint64(row["shard"]) << np.uint64(32) | np.frombuffer(row["b"], np.uint32).astype(np.uint64)
+    seen = np.where(kind == WORD_ALONE, 0.0, counts.counts(key))
+    before = np.where(kind == FIRST_RARE, times, 1.0)
+    two = np.flatnonzero(kind == BOTH_RARE)
+    before[two] = contexts.counts_above(key[two])
+    less = (kind == FIRST_RARE) | (kind == BOTH_RARE)
+    seen = np.where(less, np.minimum(seen, before) / np.maximum(before, 1), seen) / (of_word + 1.0)
+    gain = np.log10(1 + seen * np.exp(np.frombuffer(row["steps"], np.int16).astype(float) / STEPS))
+    start = np.cumsum(sizes) - sizes
+    gain, known, base = (np.add.reduceat(x, start) for x in (gain, (of_word > 0).astype(np.int32), np.log10(of_word + 1.0)))
+    has_gain, has_word = gain > 0, known > 0
+    packed = {"ids": ids[has_gain], "a": gain[has_gain].astype(np.float32), "word": ids[has_word], "sizes": known[has_word].astype(np.int32), "b": base[has_word]}
+    return {"tag": row["tag"], "kind": REQUEST, **{n: x.tobytes() for n, x in packed.items()}}
+
+
+OWN = ("key", "id", "copies", "n_tokens", "n_known", "base", "gain")
+
+
+def _sums(rows: list[dict], like: pa.Schema) -> pa.RecordBatch:
+    """Answers of one tag as a row for each text."""
+    of = {n: np.frombuffer(b"".join(r[n] for r in rows), kind) for n, kind in (("ids", np.int64), ("a", np.float32), ("word", np.int64), ("sizes", np.int32), ("b", np.float64))}
+    ids, at = np.unique(np.concatenate([of["ids"], of["word"]]), return_inverse=True)
+    gained, worded, n = at[: len(of["ids"])], at[len(of["ids"]) :], len(ids)
+    zeros = pa.array(np.zeros(n, np.int64))
+    known, base, gain = np.bincount(worded, of["sizes"], n).astype(np.int64), np.bincount(worded, of["b"], n).astype(float), np.bincount(gained, of["a"], n).astype(float)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, like.field("key").type), pa.array(ids), zeros, zeros, pa.array(known), pa.array(base), pa.array(gain)], schema=pa.schema([like.field(c) for c in OWN]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,75 +434,91 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Base: sum over tokens of log10((c + 1) / (N + V + 1)) with exact counts.  Repeated rows
     (equal key and text) are kept.
     """
-    n, v, share = model.n, model.v, model.share
-    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.counts))
-    unit = log10(n + v + 1)
+    n, v, share, shards = model.n, model.v, model.share, model.shards
+    total = n + v + 1
+    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.counts, total, share, shards))
+    key_type = docs.schema[key].dataType.simpleString()
+    own_ddl = f"key {key_type}, id bigint, copies bigint, n_tokens bigint, n_known bigint, base double, gain double"
+    packed_ddl = "shard int, kind int, tag bigint, a binary, b binary, steps binary, word binary, ids binary, sizes binary"
+    packed = [c.split()[0] for c in packed_ddl.split(", ")]
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, count), counts = shared.value
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Requests, and for each text a row that passes its shard unchanged."""
+        from pyspark import TaskContext
+
+        flush = 0
+        for some, h, sizes in gathered(batches, 2):
+            # Answers to one flush are summed together; that is all the tag is for, so it may differ if the task runs again.
+            tag = (TaskContext.get().partitionId() << 32) + flush
+            flush += 1
+            keys = pa.concat_arrays([b.column(0) for b in some])
+            ids = np.concatenate([b.column(1).to_numpy() for b in some])
+            rows, (known, base, gain) = _requests(h, sizes, ids, shared.value)
+            m = len(sizes)
+            columns = {"shard": np.full(m, tag % shards, np.int32), "kind": np.full(m, PASSED, np.int32), "tag": np.full(m, tag)}
+            own = [keys, *map(pa.array, (ids, np.ones(m, np.int64), sizes, known.astype(np.int64), base, gain))]
+            own = [*(pa.array(columns[c]) if c in columns else pa.nulls(m, pa.binary()) for c in packed), *own]
+            schema = pa.schema([pa.field(c, a.type) for c, a in zip((*packed, *OWN), own, strict=True)])
+            yield pa.RecordBatch.from_arrays(own, schema=schema)
+            if rows:
+                yield _batch([{**r, "tag": tag} for r in rows], schema)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive by shard and kind: filters and rare words, then requests, then rows that pass."""
+        shard, counts, contexts, words, parts = None, EMPTY, EMPTY, None, []
         for batch in batches:
-            texts = [tokens(t.as_py()) for t in batch.column(2)]
-            sizes = np.array([len(h) for h in texts])
-            h = np.concatenate(texts)
-            row = np.repeat(np.arange(len(texts)), sizes)
-            at, ok = _codes(h, known)
-            base, value = np.zeros(len(h)), np.zeros(len(h))
-            base[ok] = np.log10(count[at[ok]] + 1)
-            # A bigram of two frequent words is probed, each distinct one once a batch.
-            first = np.cumsum(sizes) - sizes
-            before = np.concatenate(([0], np.arange(len(h) - 1)))
-            both = ok & ok[before]
-            both[first] = False  # a first word is scored alone
-            pair = np.zeros(len(h))
-            if both.any():
-                keys, back = np.unique(joined(h[before[both]], h[both]), return_inverse=True)
-                seen = counts.counts(keys)[back]
-                pair[both] = np.minimum(1.0, seen / count[at[before[both]]])
-            value[ok] = np.log10((1 - share) * (count[at[ok]] + 1) / 10**unit + share * pair[ok])
-            value[~ok] = log10(1 - share) - unit  # the word's own count is added by the join
-            sums = [np.bincount(row, x, len(texts)) for x in (base, value, ok)]
-            rows = len(texts)
-            rare, times = np.unique(np.stack([row[~ok].astype(np.uint64), h[~ok]]), axis=1, return_counts=True) if not ok.all() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            index = pa.array(np.concatenate([np.arange(rows), rare[0].astype(np.int64)]))
-            zeros = np.zeros(len(times))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(index),
-                    batch.column(1).take(index),
-                    pa.array(np.concatenate([np.zeros(rows, np.int32), np.ones(len(times), np.int32)])),
-                    pa.array(np.concatenate([batch.column(1).to_numpy(), rare[1].view(np.int64)])),
-                    pa.array(np.concatenate([np.zeros(rows, np.int64), times])),
-                    pa.array(np.concatenate([sizes, zeros.astype(np.int64)])),
-                    pa.array(np.concatenate([sums[2].astype(np.int64), zeros.astype(np.int64)])),
-                    pa.array(np.concatenate([sums[0], zeros])),
-                    pa.array(np.concatenate([sums[1], zeros])),
-                ],
-                names=["key", "id", "kind", "h", "times", "n_tokens", "n_known", "base", "value"],
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
+            passes, out = pa.array(batch.column("kind").to_numpy() == PASSED), []
+            for row in batch.filter(pa.compute.invert(passes)).to_pylist():
+                if row["shard"] != shard:
+                    shard, counts, contexts, words, parts = row["shard"], EMPTY, EMPTY, None, []
+                if row["kind"] == COUNTS:
+                    counts = LogFrequencyFilter.unpacked(row["a"], row["b"])
+                elif row["kind"] == CONTEXTS:
+                    contexts = LogFrequencyFilter.unpacked(row["a"], row["b"])
+                elif row["kind"] == WORDS:
+                    parts.append((np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)))
+                else:
+                    if words is None:
+                        h, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+                        order = np.argsort(h)
+                        words, parts = (h[order], c[order]), []
+                    out.append(_answer(row, counts, contexts, words))
+            if out:
+                yield _batch(out, batch.schema)
+            passed = batch.filter(passes)
+            if passed.num_rows:
+                yield passed
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers arrive by tag; rows that pass are between them."""
+        tag, rows = None, []
+        for batch in batches:
+            passes = pa.array(batch.column("kind").to_numpy() == PASSED)
+            for row in batch.filter(pa.compute.invert(passes)).to_pylist():
+                if row["tag"] != tag and rows:
+                    yield _sums(rows, batch.schema)
+                    rows = []
+                tag = row["tag"]
+                rows.append(row)
+            yield batch.filter(passes).select(list(OWN))
+        if rows:
+            yield _sums(rows, batch.schema)
+
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("id"), F.col(text).alias("text"))
-    # kind 0: a row for each text; kind 1: its words that aren't frequent, to be joined with their counts.
-    parts = rows.mapInArrow(scored, f"key {kind}, id bigint, kind int, h bigint, times bigint, n_tokens bigint, n_known bigint, base double, value double")
-    rare = model.rare.select(F.lit(1).alias("kind"), "h", "c")
-    met = parts.join(rare, ["kind", "h"], "left")
-    more = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
-    sums = met.groupBy("key", "id").agg(
-        F.sum(1 - F.col("kind")).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + more).alias("base"),
-        F.sum(F.col("value") + more).alias("value"),
-    )
-    if model.gains is not None:
-        gained = _shard_gains(rows, model, shared).groupBy("id").agg(F.sum("gain").alias("gain"))
-        sums = sums.join(gained, "id", "left").withColumn("value", F.col("value") + F.coalesce("gain", F.lit(0.0)))
+    requests = rows.mapInArrow(asked, f"{packed_ddl}, {own_ddl}")
+    by_shard = requests.unionByName(model.segments, allowMissingColumns=True).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+    by_tag = by_shard.mapInArrow(answered, f"{packed_ddl}, {own_ddl}").repartition("tag").sortWithinPartitions("tag", "kind")
+    parts = by_tag.mapInArrow(summed, own_ddl)
+    sums = parts.groupBy("id").agg(F.first("key", ignorenulls=True).alias("key"), *[F.sum(c).alias(c) for c in OWN[2:]])
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # Of a text's known tokens all but the end are contexts; after each, the unigram has 1 - share of the mass.
+    contexts = F.greatest(F.col("n_known") - F.col("copies"), F.lit(0)) * F.lit(log10(1 - share))
+    base = F.col("base") - F.col("n_tokens") * F.lit(log10(total))
     return each.select(
         F.col("key").alias(key),
         (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
         (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        ((F.col("base") - F.col("n_tokens") * F.lit(unit)) / F.col("copies")).alias("base_score"),
-        (F.col("value") / F.col("copies")).alias("score"),
+        (base / F.col("copies")).alias("base_score"),
+        ((base + contexts + F.col("gain")) / F.col("copies")).alias("score"),
     )
