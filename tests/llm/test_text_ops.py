@@ -1,6 +1,7 @@
 """Text operators against brute force and the tokenizers library, with odd rows."""
 
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -354,20 +355,61 @@ def test_sharding(spark, texts):
     assert set(loads) == set(range(16)) and max(loads.values()) < 1.1 * min(loads.values())
 
 
-def test_least_loaded_equals_a_plain_loop():
-    rng = random.Random(2)
-    items = [(i, rng.choice([1, 5, 5, 70, 900])) for i in range(200)]
-    got = sharding.least_loaded(items, 7)
-    loads = [0] * 7
-    for i, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        best = min(range(7), key=lambda s: (loads[s], s))
-        assert got[i] == best
-        loads[best] += size
-    assert sharding.least_loaded([], 3) == {}
+def plain_loads(sizes, shards):
+    """Loads, and shards of each size with how often, of a plain heap over all groups."""
+    heap, used = [(0, s) for s in range(shards)], Counter()
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        used[size, s] += 1
+        heapq.heappush(heap, (load + size, s))
+    return dict((s, load) for load, s in heap), used
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_classes_are_scheduled_as_a_plain_heap_schedules_groups(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 2, 7, 16])
+    sizes = [rng.choice([1, 5, 5, 70, 900, rng.randint(1, 2000)]) for _ in range(rng.choice([0, 3, 200, 3000]))]
+    _, used = plain_loads(sizes, shards)
+    got = Counter()
+    for size, at, ends in sharding.schedule(list(Counter(sizes).items()), shards):
+        got.update({(size, s): end - start for s, start, end in zip(at, [0, *ends[:-1]], ends, strict=True)})
+    assert got == used
+    loads = [rng.randint(0, 500) for _ in range(shards)]
+    for count in (0, 1, 4 * shards, 4 * shards + 1, 777):
+        want, heap = [0] * shards, [(load, s) for s, load in enumerate(loads)]
+        heapq.heapify(heap)
+        for _ in range(count):
+            load, s = heapq.heappop(heap)
+            want[s] += 1
+            heapq.heappush(heap, (load + 9, s))
+        assert sharding.filled(loads, 9, count) == want
+
+
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_shards_equal_a_plain_heap(spark, n):
+    """At few and at many groups (most of a few sizes), loads are those of a plain heap over all groups."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat(string(id % 9000), int(1 + pow(id % 13, 3) % 40))").alias("text"))
+    if n > 1000:
+        docs = docs.unionByName(spark.range(9000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+    rows = sharding.shard_documents(docs, shards=7).collect()
+    groups = Counter()
+    for r in docs.collect():
+        groups[r.text] += len(r.text) + 1
+    want, _ = plain_loads(groups.values(), 7)
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert len(rows) == docs.count() and {s: load for s, load in want.items() if load} == dict(loads)
+    for s in want:
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
 
 
 def test_sharding_odd_rows(odd):
-    got = sharding.shard_documents(odd, shards=3, bundles=8).collect()
+    got = sharding.shard_documents(odd, shards=3).collect()
     assert len(got) == 12 and len({r.shard for r in got if r.doc_id in (1, 2)}) == 1 and len({r.shard for r in got if r.doc_id in (3, 4)}) == 1
     for s in range(3):
         slots = sorted(r.slot for r in got if r.shard == s)
