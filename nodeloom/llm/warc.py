@@ -3,8 +3,14 @@
 Reading: the files of a folder are planned into partitions by size; predicates on record type,
 record id, target URI and date are pushed down and tested on the headers, which are
 parsed first; a payload that is not wanted (filtered record, or option ``payload`` = false) is
-not decoded.  Each gzip member carries its lengths in the 'sl' extra field, so skipping it is
-a seek; foreign archives without that field, and plain ``.warc`` files, are read too.
+not decoded.  ``records`` hands predicates over as an option of the load.  Spark's own filter pushdown is
+served too (option ``pushdown`` = true, and the session's spark.sql.python.filterPushdown.enabled), but Spark 4.1 keeps the
+filters that it pushed last for a loaded frame: with it, use each frame that ``load`` gives in one query only, or another query's
+filters apply.  Each gzip member carries its lengths in the 'sl' extra field, so skipping it is
+a seek; foreign archives without that field, with many records in a member or with empty members, and
+plain ``.warc`` files, are read too.  Names of headers have no case.  Folders are read with their subfolders.
+One task reads a file as a stream from its start (gzip can't be entered elsewhere), so files should stay at a few GB; the
+writer makes one of each task.  Only a record that is read is held whole.
 
 Writing: each task writes one file, one gzip member a record, under a name of its own;
 the driver moves the files of the tasks that committed into the folder.
@@ -14,6 +20,7 @@ Paths are opened with ``pyarrow.fs``, so any store it knows works.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -31,7 +38,7 @@ from nodeloom.llm.storage import checkpointed, fresh_path
 
 SCHEMA = "warc_type string, record_id string, target_uri string, warc_date string, content_length bigint, headers map<string,string>, http_headers string, payload binary"
 #: Header of each column that predicates are pushed down for.
-HEADER_OF = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date"}
+HEADER_OF = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date"}
 CHUNK = 1 << 16
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -60,89 +67,112 @@ def gzip_member(data: bytes, level: int) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-class MemberReader:
-    """Plain bytes of the records of one file, with a cheap way past a record's rest."""
+class PlainBytes:
+    """Plain bytes of one file, its gzip members (if it has any) one after another, with a cheap way past what isn't wanted."""
 
     def __init__(self, file, size: int):
-        self.file, self.size, self.at = file, size, 0
+        self.file, self.size, self.raw, self.buffer = file, size, 0, b""
         file.seek(0)
         self.zipped = file.read(2) == b"\x1f\x8b"
+        self.inflate, self.start, self.told, self.made = None, 0, None, 0
 
-    def records(self) -> Iterator[Record]:
-        while self.at < self.size:
-            record = Record(self)
-            if record.blank:
+    def fill(self) -> bool:
+        """Add plain bytes to the buffer; false at the file's end."""
+        if not self.zipped:
+            self.file.seek(self.raw)
+            data = self.file.read(CHUNK)
+            self.raw += len(data)
+            self.buffer += data
+            return bool(data)
+        while True:
+            if self.inflate is None or self.inflate.eof:
+                if self.inflate is not None:
+                    self.raw -= len(self.inflate.unused_data)
+                self.file.seek(self.raw)
+                head = self.file.read(24)
+                if not head.strip(b"\0"):
+                    return False
+                is_told = head[3:4] == b"\x04" and head[12:14] == b"sl" and head[10:12] == b"\x0c\x00"
+                self.start, self.made, self.told = self.raw, 0, struct.unpack("<II", head[16:24]) if is_told else None
+                self.inflate = zlib.decompressobj(31)
+            data = self.inflate.unconsumed_tail
+            if not data:
+                self.file.seek(self.raw)
+                data = self.file.read(CHUNK)
+                self.raw += len(data)
+            if not data:
+                raise ValueError(f"a gzip member is cut off: it starts at byte {self.start}")
+            plain = self.inflate.decompress(data, CHUNK)
+            self.made += len(plain)
+            if plain:
+                self.buffer += plain
+                return True
+
+    def header(self) -> bytes | None:
+        """The next record's header lines; None at the end."""
+        while True:
+            self.buffer = self.buffer.lstrip(b"\r\n")
+            cut = self.buffer.find(b"\r\n\r\n")
+            if cut >= 0:
+                head, self.buffer = self.buffer[:cut], self.buffer[cut + 4 :]
+                return head
+            if not self.fill():
+                if self.buffer.strip():
+                    raise ValueError(f"no end of the WARC headers before byte {self.raw}")
+                return None
+
+    def take(self, n: int) -> bytes:
+        parts = []
+        while n:
+            if not self.buffer and not self.fill():
+                raise ValueError(f"a record is cut off at byte {self.raw}")
+            parts.append(self.buffer[:n])
+            self.buffer = self.buffer[n:]
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        """Pass over ``n`` bytes; a seek in plain files, and to the end of a member that tells its lengths."""
+        while True:
+            passed = min(n, len(self.buffer))
+            self.buffer = self.buffer[passed:]
+            n -= passed
+            if not n:
                 return
+            if not self.zipped:
+                if self.raw + n > self.size:
+                    raise ValueError(f"a record is cut off at byte {self.size}")
+                self.raw += n
+                return
+            if self.inflate is not None and self.told and n >= self.told[1] - self.made > 0:
+                n -= self.told[1] - self.made
+                self.raw, self.inflate = self.start + self.told[0], None
+            elif not self.fill():
+                raise ValueError(f"a record is cut off at byte {self.raw}")
+
+    def records(self) -> Iterator[Record]:
+        while (head := self.header()) is not None:
+            record = Record(self, head)
             yield record
-            self.at = record.end()
+            self.skip(record.left)
 
 
 class Record:
-    """A record at the reader's place: headers first, the block on demand."""
-
-    def __init__(self, reader: MemberReader):
-        self.file, self.start = reader.file, reader.at
-        self.plain, self.raw_at, self.inflate, self.length = b"", reader.at, None, None
-        if reader.zipped:
-            self.file.seek(self.start)
-            head = self.file.read(24)
-            if head[3:4] == b"\x04" and head[12:14] == b"sl" and head[10:12] == b"\x0c\x00":
-                self.length = struct.unpack("<I", head[16:20])[0]
-            self.inflate = zlib.decompressobj(31)
-        while (cut := self.plain.find(b"\r\n\r\n", 4 if self.plain.startswith(b"\r\n\r\n") else 0)) < 0:
-            if not self._more():
-                break
-        self.blank = cut < 0 and not self.plain.strip()
-        if self.blank:
-            return
-        if cut < 0:
-            raise ValueError(f"no end of the WARC headers at byte {self.start}")
-        lines = self.plain[:cut].decode("utf-8", "replace").strip().split("\r\n")
+    """A record at its file's place: headers first, the block on demand."""
+
+    def __init__(self, source: PlainBytes, head: bytes):
+        lines = head.decode("utf-8", "replace").strip().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {self.start}")
+            raise ValueError(f"no WARC record before byte {source.raw}")
+        self.source = source
         self.headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        self.content_length = int(self.headers.get("Content-Length", 0))
-        self.block_at = cut + 4
-
-    def _more(self) -> bool:
-        if self.inflate is None:
-            self.file.seek(self.raw_at)
-            data = self.file.read(CHUNK)
-            self.raw_at += len(data)
-            self.plain += data
-            return bool(data)
-        if self.inflate.eof:
-            return False
-        data = self.inflate.unconsumed_tail
-        if not data:
-            self.file.seek(self.raw_at)
-            data = self.file.read(CHUNK)
-            self.raw_at += len(data)
-        if not data:
-            raise ValueError(f"a gzip member is cut off at byte {self.start}")
-        self.plain += self.inflate.decompress(data, CHUNK)
-        return True
+        #: By lower-case name: names of headers have no case.
+        self.named = {k.lower(): v for k, v in self.headers.items()}
+        self.content_length = self.left = int(self.named.get("content-length", 0))
 
     def block(self) -> bytes:
-        parts, size = [self.plain], len(self.plain)
-        while size < self.block_at + self.content_length:
-            self.plain = b""
-            if not self._more():
-                raise ValueError(f"a record is cut off at byte {self.start}")
-            parts.append(self.plain)
-            size += len(self.plain)
-        self.plain = b"".join(parts)
-        return self.plain[self.block_at : self.block_at + self.content_length]
-
-    def end(self) -> int:
-        if self.length:
-            return self.start + self.length
-        if self.inflate is None:
-            return self.start + self.block_at + self.content_length + 4
-        while not self.inflate.eof:
-            self.plain = b""
-            self._more()
-        return self.raw_at - len(self.inflate.unused_data)
+        n, self.left = self.left, 0
+        return self.source.take(n)
 
 
 def test_of(filter: Filter):
@@ -163,6 +193,16 @@ def test_of(filter: Filter):
     return header, tests[type(filter)]
 
 
+def header_tests(column: str, wanted: str | list[str] | dict[str, str]) -> list:
+    """(header, test) pairs of an option: a value, a list of values, or ``startsWith``, ``endsWith`` and ``contains``."""
+    header = HEADER_OF[column]
+    if not isinstance(wanted, dict):
+        values = {wanted} if isinstance(wanted, str) else set(wanted)
+        return [(header, lambda v: v in values)]
+    tests = {"startsWith": lambda x: lambda v: v.startswith(x), "endsWith": lambda x: lambda v: v.endswith(x), "contains": lambda x: lambda v: x in v}
+    return [(header, tests[kind](x)) for kind, x in wanted.items()]
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, int]]
@@ -172,19 +212,13 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
         self.partition_bytes = int(options.get("partitionbytes", 32 << 20))
+        self.headers = json.loads(options.get("headers", "{}"))
         self.filters: list[Filter] = []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if test_of(f):
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[Files]:
         fs, root = opened(self.path)
-        infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if fs.get_file_info(root).type != pafs.FileType.File else [fs.get_file_info(root)]
-        found = sorted((i.path, i.size) for i in infos if i.type == pafs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path))
+        infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True)) if fs.get_file_info(root).type != pafs.FileType.File else [fs.get_file_info(root)]
+        found = sorted((i.path, i.size) for i in infos if i.type == pafs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path) and "/_uncommitted-" not in i.path)
         plans, size = [[]], 0
         for path, n in found:
             if plans[-1] and size + n > self.partition_bytes:
@@ -195,23 +229,23 @@ class WarcReader(DataSourceReader):
         return [Files(p) for p in plans]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        tests = [test_of(f) for f in self.filters]
+        tests = [test_of(f) for f in self.filters] + [t for column, wanted in self.headers.items() for t in header_tests(column, wanted)]
         fs, _ = opened(self.path)
         rows, size = [], 0
         for path, n in partition.paths:
             with fs.open_input_file(path) as file:
-                for record in MemberReader(file, n).records():
-                    h = record.headers
+                for record in PlainBytes(file, n).records():
+                    h = record.named
                     if not all(name in h and test(h[name]) for name, test in tests):
                         continue
                     http = payload = None
                     if self.payload:
                         block = record.block()
-                        is_http = h.get("Content-Type", "").startswith("application/http")
+                        is_http = h.get("content-type", "").startswith("application/http")
                         head, _, payload = block.partition(b"\r\n\r\n") if is_http else (None, b"", block)
                         http = head.decode("utf-8", "replace") if head is not None else None
                         size += len(block)
-                    rows.append((h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), record.content_length, list(h.items()), http, payload))
+                    rows.append((*(h.get(name) for name in HEADER_OF.values()), record.content_length, list(record.headers.items()), http, payload))
                     if len(rows) >= 1000 or size >= 16 << 20:
                         yield record_batch(rows)
                         rows, size = [], 0
@@ -219,6 +253,15 @@ class WarcReader(DataSourceReader):
             yield record_batch(rows)
 
 
+class PushingWarcReader(WarcReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if test_of(f):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 def record_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string()] * 4 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -287,7 +330,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(path)``; options: payload, partitionBytes, level."""
+    """``spark.read.format("warc").load(path)``; options: payload, headers (JSON), pushdown, partitionBytes, level."""
 
     @classmethod
     def name(cls) -> str:
@@ -297,16 +340,28 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingWarcReader if options.get("pushdown") == "true" else WarcReader)(options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session, with predicate pushdown to Python sources."""
+    """Make the format known to the session."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def records(spark: SparkSession, path: str, payload: bool = True, **headers) -> DataFrame:
+    """Records of the archives at ``path`` whose headers pass: a value, a list of values, or a dict of
+    ``startsWith``, ``endsWith``, ``contains`` for any of ``warc_type``, ``record_id``, ``target_uri``, ``warc_date``.
+
+    A record without a tested header doesn't pass.
+    """
+    if unknown := set(headers) - set(HEADER_OF):
+        raise ValueError(f"no header predicates on {sorted(unknown)}")
+    register(spark)
+    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("headers", json.dumps(headers)).load()
 
 
 def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 100) -> None:
@@ -349,11 +404,13 @@ def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "u
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page records of an archive: ``page_id``, ``record_type``, ``refers_to``, ``payload`` (null for revisits), ``told_bytes`` and ``told_digest`` from the headers."""
-    register(spark)
-    records = spark.read.format("warc").option("path", path).load().where(F.col("warc_type").isin("response", "revisit"))
+    """Page records of an archive: ``page_id``, ``record_type``, ``refers_to``, ``payload`` (null for revisits), ``told_bytes`` and ``told_digest`` from the headers.
+
+    Page ids that aren't integers read as null (their record ids are in the ``warc`` source's ``record_id``).
+    """
+    found = records(spark, path, warc_type=["response", "revisit"])
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1), '') as bigint)")
-    return records.select(
+    return found.select(
         page("record_id").alias("page_id"),
         F.col("warc_type").alias("record_type"),
         page("headers['WARC-Refers-To']").alias("refers_to"),

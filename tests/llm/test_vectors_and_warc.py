@@ -187,13 +187,22 @@ def test_pushdown_and_headers_only(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 3}/p{i}", f"<p>{i % 5}" + "z" * 500) for i in range(30)], "page_id bigint, url string, html string")
     path = f"file://{tmp_path}/arc"
     warc.write_pages(pages, path)
-    records = spark.read.format("warc").option("path", path).option("partitionBytes", "1").load()
-    few = records.where("warc_type = 'revisit' and target_uri like 'http://h1/%'")
+    load = lambda: spark.read.format("warc").option("path", path).option("partitionBytes", "1").load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    few = spark.read.format("warc").option("path", path).option("partitionBytes", "1").option("pushdown", "true").load().where("warc_type = 'revisit' and target_uri like 'http://h1/%'")
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "BatchScan warc" in plan and "Filter (" not in plan and few.count() == sum(i % 3 == 1 for i in range(5, 30))
+    n = few.count()
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     heads = spark.read.format("warc").option("path", path).option("payload", "false").load()
     assert heads.where("payload is null").count() == 30 and heads.agg({"content_length": "sum"}).first()[0] > 0
-    assert records.where("record_id = '<urn:page:3>'").first().http_headers.startswith("HTTP/1.1 200")
+    assert load().where("record_id = '<urn:page:3>'").first().http_headers.startswith("HTTP/1.1 200")
+    # The same predicates by option; frames may be used again and joined.
+    again, first = warc.records(spark, path, warc_type="revisit", target_uri={"startsWith": "http://h1/"}), warc.records(spark, path, payload=False, warc_type=["response"])
+    assert again.count() == n and first.count() == 5 and again.unionByName(first).count() == n + 5 and again.count() == n
+    assert warc.records(spark, path, record_id={"endsWith": ":3>"}, warc_date={"contains": "1970"}).count() == 1
+    with pytest.raises(ValueError):
+        warc.records(spark, path, payload_digest="x")
 
 
 def test_plain_and_foreign_archives(spark, tmp_path):
@@ -203,3 +212,49 @@ def test_plain_and_foreign_archives(spark, tmp_path):
     got = spark.read.format("warc").option("path", f"file://{tmp_path}").load() if warc.register(spark) is None else None
     assert sorted((r.warc_type, len(r.payload)) for r in got.collect()) == [("metadata", 5), ("resource", 0), ("resource", 11), ("resource", 270_000), ("warcinfo", 11)]
     assert got.where("warc_type = 'metadata'").first().payload == bytearray(b"three")
+
+
+def _record(kind, body, more=None):
+    return warc.header_block(kind, {"WARC-Record-ID": "<urn:x>", "WARC-Date": warc.EPOCH, **(more or {})}, len(body)) + body + b"\r\n\r\n"
+
+
+def test_many_records_in_one_member_and_empty_members(spark, tmp_path):
+    warc.register(spark)
+    (tmp_path / "sub").mkdir()
+    three = [_record("resource", b"one"), _record("metadata", b"two" * 100_000), _record("resource", b"three")]
+    (tmp_path / "sub" / "a.warc.gz").write_bytes(gzip.compress(b"".join(three)))
+    # A record that goes over two members, empty members, and padding at the end.
+    split = _record("resource", b"four" * 50_000)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"") + gzip.compress(split[:1000]) + gzip.compress(split[1000:]) + gzip.compress(b"") + gzip.compress(_record("resource", b"five")) + b"\0" * 512)
+    # Two records in a member that tells its lengths.
+    (tmp_path / "c.warc.gz").write_bytes(warc.gzip_member(_record("metadata", b"six" * 70_000) + _record("resource", b"seven"), 3) + warc.gzip_member(_record("metadata", b"eight"), 3))
+    got = spark.read.format("warc").option("path", f"file://{tmp_path}").load()
+    want = [("metadata", 5), ("metadata", 210_000), ("metadata", 300_000), ("resource", 3), ("resource", 4), ("resource", 5), ("resource", 5), ("resource", 200_000)]
+    assert sorted((r.warc_type, len(r.payload)) for r in got.collect()) == want
+    assert sorted(bytes(r.payload) for r in got.where("warc_type = 'resource'").collect()) == [b"five", b"four" * 50_000, b"one", b"seven", b"three"]
+    heads = spark.read.format("warc").option("path", f"file://{tmp_path}").option("payload", "false").load()
+    assert heads.count() == 8 and heads.where("warc_type = 'metadata'").count() == 3
+
+
+def test_header_names_have_no_case(spark, tmp_path):
+    warc.register(spark)
+    body = b"lower case"
+    head = f"WARC/1.0\r\nwarc-type: resource\r\nWARC-RECORD-ID: <urn:y>\r\ncontent-length: {len(body)}\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(head + body + b"\r\n\r\n" + _record("metadata", b"next"))
+    got = spark.read.format("warc").option("path", f"file://{tmp_path}").load()
+    r = got.where("warc_type = 'resource' and record_id = '<urn:y>'").first()
+    assert bytes(r.payload) == body and r.content_length == len(body) and r.headers["warc-type"] == "resource" and got.count() == 2
+
+
+def test_page_ids_that_are_no_integers(spark):
+    pages = spark.createDataFrame([("a", "u", "x" * 200), ("b", "u", "x" * 200), ("3", "u", "short")], "page_id string, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()), key=str)
+    assert got == [(3, "response", None), (None, "response", None), (None, "revisit", None)]
+
+
+def test_cut_off_archives_raise(spark, tmp_path):
+    warc.register(spark)
+    whole = gzip.compress(_record("resource", b"x" * 1000))
+    (tmp_path / "a.warc.gz").write_bytes(whole[:-30])
+    with pytest.raises(Exception, match="cut off"):
+        spark.read.format("warc").option("path", f"file://{tmp_path}").load().collect()
