@@ -6,9 +6,14 @@ centroids from spherical k-means over a bounded sample; the prediction is the la
 of the nearest centroid by cosine.
 
 ``score`` is that cosine (0 to 1).  A text that is null or has no letter is ``und`` with
-score 0.  ``rejected`` marks ``und`` and texts farther than ``min_cosine`` allows.  Ties go to
-the centroid that sorts first by language.  With no labelled rows nothing can be
+score 0.  ``rejected`` marks ``und`` and texts whose cosine is below their language's limit.  Limits are
+learned: each half of a language's sample meets centroids of the other half, and the limit is ``margin`` times
+the first percentile of these cosines (of the language's own or of all languages', whichever is lower; 0 where no
+language has two rows).  Ties go to the centroid that sorts first by language.  With no labelled rows nothing can be
 learned and every text is ``und`` and rejected.
+
+The model has ``clusters`` centroids of 16 KB for at most ``max_langs`` languages: of more distinct ``lang``
+values, the most frequent are learned, so dirty values can't make it grow.
 """
 
 from __future__ import annotations
@@ -70,11 +75,20 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def crossed_cosines(x: np.ndarray, k: int) -> np.ndarray:
+    """Of each unit row, the cosine to the nearest of ``k`` centroids of the half that it isn't in; none for a single row."""
+    halves = x[::2], x[1::2]
+    return np.concatenate([(a @ spherical_means(b, k).T).max(1) for a, b in (halves, halves[::-1]) if len(b) and len(a)] or [np.zeros(0, np.float32)])
+
+
 class Centroids:
-    """Languages, their unit centroids, and the idf."""
+    """Languages, their unit centroids, the idf, and the least cosine by language."""
+
+    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, limits: dict[str, float]):
+        self.langs, self.centroids, self.idf, self.limits = langs, centroids, idf, limits
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray):
-        self.langs, self.centroids, self.idf = langs, centroids, idf
+    def rejects(self, lang: str, score: float) -> bool:
+        return lang == "und" or score < self.limits[lang]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -92,19 +106,19 @@ class Centroids:
         return langs, scores
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", allowed: Column | None = None, per_lang: int = 1000, clusters: int = 4) -> Centroids:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", allowed: Column | None = None, per_lang: int = 1000, clusters: int = 4, max_langs: int = 500, margin: float = 0.75) -> Centroids:
     """Centroids from rows whose ``lang`` and ``key`` are not null.
 
-    ``per_lang`` bounds the sample of each language: the first keys in the order of their hash.
-    Texts without letters are passed over.
+    ``per_lang`` bounds the sample of each language (the first keys in the order of their hash) and ``max_langs`` the
+    languages (the most frequent; ties by name).  Texts without letters are passed over.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.col(lang) != "und"))
     if allowed is not None:
         known = known.where(allowed)
     keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_at", F.xxhash64("_key"))
     # Of a language's hash range so much that about 4 * per_lang rows remain: what is ranked stays small at any size.
-    sizes = checkpointed(keys.groupBy("_lang").agg(F.count("*").alias("_size")))
-    few = keys.join(small_side(sizes), "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
+    sizes = checkpointed(keys.groupBy("_lang").agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "_lang").limit(max_langs))
+    few = keys.join(F.broadcast(sizes), "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
     first = Window.partitionBy("_lang").orderBy("_at", "_key")
     sample = few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("_key", "_lang")
     texts = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_l"), F.col(text).alias("_text")).join(small_side(checkpointed(sample)), "_key").where("_l = _lang")
@@ -131,29 +145,45 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         for i, (at, n) in enumerate(zip(group["at"], group["n"], strict=True)):
             counts[i, at] = n
         order = np.lexsort(counts[:, ::-64].T)  # the same at each run, whatever order the rows came in
-        centres = spherical_means(weighted(counts[order], idf), clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(centres)})
+        x = weighted(counts[order], idf)
+        centres = spherical_means(x, clusters)
+        cosines = [crossed_cosines(x, clusters).tolist()] + [None] * (len(centres) - 1)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(centres), "cosines": cosines})
 
-    found = rows.groupBy("lang").applyInPandas(clustered, "lang string, centroid array<float>").toPandas()
+    found = rows.groupBy("lang").applyInPandas(clustered, "lang string, centroid array<float>, cosines array<float>").toPandas()  # clusters * max_langs rows
     found = found.sort_values("lang", kind="stable")
-    return Centroids(found["lang"].tolist(), np.array(found["centroid"].tolist(), np.float32).reshape(-1, DIMS), idf)
+    own = {la: np.asarray(c) for la, c in zip(found["lang"], found["cosines"], strict=True) if c is not None}
+    every = np.concatenate([np.zeros(0), *own.values()])
+    low = lambda c: float(np.percentile(c, 1)) if len(c) else 1.0
+    limits = {la: margin * min(low(c), low(every)) if len(every) else 0.0 for la, c in own.items()}
+    return Centroids(found["lang"].tolist(), np.array(found["centroid"].tolist(), np.float32).reshape(-1, DIMS), idf, limits)
 
 
-def identify(docs: DataFrame, model: Centroids, text: str = "text", min_cosine: float = 0.1) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` (columns of these names are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.centroids, model.idf))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.centroids, model.idf, model.limits))
     kept = docs.drop("lang_pred", "score", "rejected")
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = Centroids(*shared.value).predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        model = Centroids(*shared.value)
+        langs, scores = model.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": [model.rejects(*x) for x in zip(langs, scores, strict=True)]})
 
     said = unused_name(kept, "_said")
     out = kept.withColumn(said, predicted(F.col(text)))
-    return out.select(
-        *[F.col(f"`{c}`") for c in kept.columns],
-        F.col(f"{said}.lang_pred").alias("lang_pred"),
-        F.col(f"{said}.score").alias("score"),
-        ((F.col(f"{said}.lang_pred") == "und") | (F.col(f"{said}.score") < min_cosine)).alias("rejected"),
-    )
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"{said}.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
+
+
+def without_unknown(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that aren't rejected, with their columns; all rows if ``model`` learned no language."""
+    if not model.langs:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.centroids, model.idf, model.limits))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        model = Centroids(*shared.value)
+        return pd.Series([not model.rejects(*x) for x in zip(*model.predict(texts.tolist()), strict=True)], dtype=bool)
+
+    return docs.where(known(F.col(text)))
