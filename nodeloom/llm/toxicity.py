@@ -4,7 +4,8 @@ Features: distinct words, pairs of adjacent words and pairs one word apart, hash
 2^``bits`` coordinates.  Training runs one online pass over a bounded, hash-ordered
 sample of labelled rows; per-coordinate learning rates and the L1 threshold leave few
 non-zero weights, which are broadcast (at most 2^``bits`` of them).  Whole texts are scored.
-Null and empty texts have no features and get the score of the intercept.
+Null and empty texts have no features and get the score of the intercept.  With no labelled rows
+nothing is learned: every score is 0 and no row is taken for toxic.
 """
 
 from __future__ import annotations
@@ -95,14 +96,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """``key`` and ``score`` (0 to 1) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``key`` and ``score`` (0 to 1; 0 if nothing was learned) of every row."""
+    shared, learned = docs.sparkSession.sparkContext.broadcast(model), len(model[0]) > 0
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits)
         dense[shared.value[0]] = shared.value[1]
         for batch in batches:
-            out = [probability(dense[features(t.as_py(), bits)].sum()) for t in batch.column(1)]
+            out = [probability(dense[features(t.as_py(), bits)].sum()) if learned else 0.0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -110,7 +111,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, with their columns."""
+    """Rows of ``docs`` that score below ``threshold``, with their columns; all rows if nothing was learned."""
+    if not len(model[0]):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
