@@ -249,7 +249,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 65_536)
     return members.repartition(*names).sortWithinPartitions(*names, "side").mapInPandas(_linked(budget), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 65_536) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 65_536, hot: int = 1000) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
     ``component_id`` is the least key reachable by links, the row's own included (nulls
@@ -259,20 +259,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = checkpointed(fingerprints(docs, key, text, width))
     nodes = connected_components(fingerprint_links(rows, budget, leaf_rows))
     # One row per distinct fingerprint: its least key, then the least key of its component.
-    firsts = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    firsts = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")))
     linked = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").select("fp", "least")
-    # A table of its own, so that the join below is between plain exchanges and Spark can split a hot fingerprint.
-    by_fp = checkpointed(firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(by_fp, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+    by_fp = checkpointed(firsts.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
+    # Fingerprints of over 1 / hot of all rows (fewer than ``hot`` of them) meet their rows by a broadcast, the others by a shuffle.
+    total = rows.count()
+    is_hot = F.col("n") * hot > total
+    told = rows.join(F.broadcast(by_fp.where(is_hot).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))), "fp", "left")
+    cold = told.where("_is_hot is null").select(key, "fp").join(by_fp.where(~is_hot).select("fp", "component_id"), "fp")
+    every = cold.select(key, "fp", "component_id").unionByName(told.where("_is_hot").select(key, "fp", F.col("_hot").alias("component_id")))
+    return every.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the one with the least key.
 
-    Rows with a null key all stay, and rows that share the key of one that stays stay with it.
+    Rows with a null key all stay, and rows that share the key of one that stays stay with it (a key
+    may have several texts; it goes if none of them is its component's first).
     """
     judged = near_duplicates(docs, key, text, **options)
-    return docs.join(judged.where(F.col(key) != F.col("component_id")).select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = judged.groupBy(key).agg(F.max(F.col(key) == F.col("component_id")).alias("_first")).where("not _first").select(key)
+    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
