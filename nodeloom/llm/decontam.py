@@ -6,9 +6,12 @@ and is split into k + 1 pieces: if a text holds a passage within k edits of the
 piece stands in it unchanged.  Windows of words that hash to a piece give candidate places,
 and Myers' bit-parallel distance (words as symbols) verifies each.
 
-Items are broadcast in blocks of at most ``block_words`` words, so a benchmark of any size
-needs bounded memory; each block is matched with every whole text.  Items without words
-(null, empty, punctuation) match nothing, nor do null or empty texts.
+An item may be cut anywhere, so of a few cuts the one is taken whose pieces fewest items share: a
+phrase that many items have in common makes few candidates.
+
+Items are broadcast in blocks of at most ``block_words`` words (all usual benchmarks are one block), so a benchmark of any size
+needs bounded memory; each block is one pass over every whole text.  A worker builds a block's tables
+once.  Items without words (null, empty, punctuation) match nothing, nor do null or empty texts.
 """
 
 from __future__ import annotations
@@ -62,23 +65,46 @@ def best_match(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def cuts(m: int, pieces: int) -> list[list[int]]:
+    """A few ways to cut m words into ``pieces`` (at most m) runs of a word at least: even ones, and some with a shorter or longer first run."""
+    even = [m * i // pieces for i in range(pieces + 1)]
+    out = [even]
+    if pieces > 1:
+        for shift in (-(-m // pieces) // 2, 1, -1):
+            moved = [0, *(b + shift for b in even[1:-1]), m]
+            if all(a < b for a, b in zip(moved, moved[1:])) and moved not in out:
+                out.append(moved)
+    return out
+
+
 class Pieces:
     """Pieces of a block of items, by width."""
 
     def __init__(self, items: list[tuple], error: float):
-        self.items = []
-        by_width: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.items, ways = [], []
+        shared: dict[tuple[int, int], int] = {}
         for item_id, text in items:
             words = text_words(text)
-            m = len(words)
-            if not m:
+            if not len(words):
                 continue
-            k = int(error * m + 1e-9)
-            bounds = [m * i // (k + 1) for i in range(k + 2)]
-            for start, stop in zip(bounds, bounds[1:]):
-                h = int(window_hashes(words[start:stop], stop - start)[0])
-                by_width.setdefault(stop - start, {}).setdefault(h, []).append((len(self.items), start))
+            k = int(error * len(words) + 1e-9)
+            hashes = {}  # by width: of each run of the item's words
+            of_item = []
+            for bounds in cuts(len(words), k + 1):
+                way = []
+                for start, stop in zip(bounds, bounds[1:]):
+                    if stop - start not in hashes:
+                        hashes[stop - start] = window_hashes(words, stop - start)
+                    way.append((stop - start, int(hashes[stop - start][start]), start))
+                of_item.append(way)
+            for piece in {(width, h) for way in of_item for width, h, _ in way}:
+                shared[piece] = shared.get(piece, 0) + 1
             self.items.append((item_id, words, k))
+            ways.append(of_item)
+        by_width: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for i, of_item in enumerate(ways):
+            for width, h, start in min(of_item, key=lambda way: sum(shared[w, h] for w, h, _ in way)):
+                by_width.setdefault(width, {}).setdefault(h, []).append((i, start))
         self.by_width = by_width
         self.tables = {}
         for width, places in by_width.items():
@@ -109,6 +135,16 @@ class Pieces:
         return [(self.items[i][0], first, end + 1, edits) for i, (edits, first, end) in sorted(best.items())]
 
 
+_last: list = []
+
+
+def pieces_of(block: list[tuple], error: float) -> Pieces:
+    """The block's pieces; a worker keeps those that it made last."""
+    if not _last or _last[0] is not block or _last[1] != error:
+        _last[:] = [block, error, Pieces(block, error)]
+    return _last[2]
+
+
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple]]:
     """Items streamed to the driver in blocks of bounded size (one item at least)."""
     block, words = [], 0
@@ -139,7 +175,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            pieces = Pieces(shared.value, error)
+            pieces = pieces_of(shared.value, error)
             for batch in batches:
                 keys, hits = [], []
                 for i, t in enumerate(batch.column(1)):
@@ -164,7 +200,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 def _clean_of(shared, error: float):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        pieces = Pieces(shared.value, error)
+        pieces = pieces_of(shared.value, error)
         return pd.Series([not pieces.matches(t) for t in texts], dtype=bool)
 
     return clean
