@@ -8,35 +8,57 @@ go; the rest is encoded and decoded.  ``lang`` and ``toxic`` labels are used for
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nodeloom.llm import bytebpe, decontam, langid, simhash, toxicity
 from nodeloom.llm.storage import bounded_batches, fresh_path
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below 0.3 by a model of the ``labels`` of the rows at hand.
+
+    Null and empty texts score by the intercept.  Without labels nothing is learned and all rows stay.  Repeated
+    rows are judged alike; all columns stay as they are, whatever their names.
+    """
     bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is close enough to a language learned from the rows' own ``lang``.
+
+    Texts that are null or have no letter go.  If no row has a ``lang``, nothing is learned and all rows stay.  Repeated
+    rows are judged alike; all columns (a ``score`` of the caller's too) stay as they are.
+    """
     bounded_batches(spark)
-    model = langid.train(docs)
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return langid.without_unknown(docs, langid.train(docs))
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, the one with the least doc_id, by the rule of op2 (3-word shingles, 2 bits).
+
+    That rule joins exact copies and copies with very few edits: a changed word in a text of 100 words flips about
+    five bits, so most edited copies stay.  Texts without words are one component.  Rows with a null doc_id
+    stay; rows that share the doc_id of one that stays, repeated rows among them, stay with it.
+    """
     bounded_batches(spark)
     return simhash.without_near_duplicates(docs)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no item of ``benchmark`` within 20 % of its words in edits.
+
+    Null and empty texts, and items without words, match nothing; with an empty benchmark all rows stay.
+    """
     bounded_batches(spark)
     return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's text encoded and decoded: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    A null text is empty: no tokens and the digests of nothing.  Repeated rows give repeated results.
+    """
     bounded_batches(spark)
     return bytebpe.token_digests(docs)
 
