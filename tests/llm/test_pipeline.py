@@ -62,10 +62,59 @@ def test_last_stage_and_run(spark, steps):
     assert 4 <= len(p.STAGES) <= 5 and p.ORACLE_SQL is None
 
 
-def test_odd_and_empty_documents(spark, steps):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, None), (2, "the house", None, None, 3), (2, "the house", None, None, 3)], steps[0].schema)
-    for table in (docs, docs.where("false"), steps[0].limit(20).unionByName(docs)):
-        now = table
-        for _, stage in p.STAGES:
-            now = stage(spark, now, SF)
-        assert now.count() >= 0
+def odd_table(spark, schema):
+    """Nulls, empty and very long texts, ties, repeated rows, one doc_id with two texts, and columns whose names clash."""
+    rows = [(None, None, None, None, None), (1, "", None, None, None), (2, "the house", None, None, 3), (2, "the house", None, None, 3), (3, "the house", "en", "s", 9), (900001, "the house", None, None, 9)]
+    rows += [(900001, "quite another text of its own stands here", None, None, 1), (900002, "lorem ipsum dolor sit amet " * 20_000, None, None, 1)]
+    return spark.createDataFrame(rows, schema).selectExpr("*", "'mine' AS score", "7L AS rejected", "doc_id AS component_id", "'x' AS fp", "'y' AS lang_pred", "'z' AS _said", "1 AS n")
+
+
+def test_odd_documents_have_defined_results(spark, steps):
+    docs = odd_table(spark, steps[0].schema)
+    more = steps[0].selectExpr("*", "'mine' AS score", "7L AS rejected", "doc_id AS component_id", "'x' AS fp", "'y' AS lang_pred", "'z' AS _said", "1 AS n").where("doc_id > 3").unionByName(docs)
+    given = {(r.doc_id, r.text): r for r in more.collect()}
+    now = more
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == more.columns, name
+        kept = now.collect()
+        assert kept and all(given[r.doc_id, r.text] == r for r in kept), name  # all columns as they came
+    left = [(r.doc_id, r.text) for r in now.where("doc_id < 4 or doc_id > 900000 or doc_id is null").collect()]
+    assert not [x for x in left if not x[1]]  # without a letter: no language
+    assert [x[0] for x in left if x[1] == "the house"] in ([], [2, 2], [2, 2, 900001])
+    assert {r.doc_id for r in p.STAGES[-1][1](spark, now, SF).collect()} == {r.doc_id for r in now.collect()}
+
+
+def test_simhash_stage_keeps_a_key_with_a_first_text(spark, steps):
+    docs = odd_table(spark, steps[0].schema)
+    kept = sorted(((r.doc_id, r.text) for r in p.stage_simhash(spark, docs, SF).collect()), key=str)
+    # 3 has the text of 2; 900001 has that text too, but its other text is a first one.
+    assert [x[0] for x in kept] == [1, 2, 2, 900001, 900001, 900002, None]
+
+
+def test_nothing_to_learn_keeps_all_documents(spark, steps, tmp_path):
+    """No labels, no languages, no benchmark: the filtering stages drop nothing."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    docs, sf = steps[0], f"file://{tmp_path}"
+    assert p.stage_toxicity(spark, docs, sf).count() == docs.count() == p.stage_decontamination(spark, docs, sf).count()
+    assert p.stage_language(spark, docs.selectExpr("doc_id", "text", "string(null) AS lang", "source", "n_chars"), sf).count() == docs.count()
+
+
+def test_empty_documents(spark, steps):
+    now = steps[0].where("false")
+    for _, stage in p.STAGES:
+        now = stage(spark, now, SF)
+        assert now.count() == 0
+
+
+def test_stages_say_what_odd_rows_give():
+    assert all(len(stage.__doc__) > 100 for _, stage in p.STAGES)
+
+
+def test_language_stage_drops_unlearned_languages(spark, steps):
+    import tests.llm.test_text_ops as text_ops
+
+    docs = steps[0].limit(150).unionByName(spark.createDataFrame([(800000 + i, t, None, None, 1) for i, t in enumerate(text_ops.UNLEARNED.values())], steps[0].schema))
+    kept = ids(p.stage_language(spark, docs, SF))
+    assert not [i for i in kept if i >= 800000] and len(kept) >= 148

@@ -169,6 +169,23 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert got == want and want
 
 
+def test_pieces_avoid_shared_phrases_and_miss_nothing():
+    """Items that begin alike: cuts differ where pieces are shared, and every passage within the budget is found."""
+    rng = random.Random(3)
+    items = [(i, "which of the following is true about the " + " ".join(f"t{i}x{j}" for j in range(rng.randint(1, 12)))) for i in range(60)]
+    p = decontam.Pieces(items, 0.2)
+    for i, text in items:
+        words = text.split()
+        k = int(0.2 * len(words))
+        for _ in range(5):
+            w = words[:]
+            for at in rng.sample(range(len(w)), k):
+                w[at] = "other"
+            assert i in {hit[0] for hit in p.matches("some " + " ".join(w) + " text")}
+    assert all(sum(a < b for a, b in zip(c, c[1:])) == 4 and c[0] == 0 and c[-1] == 17 for c in decontam.cuts(17, 4)) and decontam.cuts(3, 3)[0] == [0, 1, 2, 3]
+    assert decontam.pieces_of(items, 0.2) is decontam.pieces_of(items, 0.2)
+
+
 def test_decontamination_of_edited_passages_and_odd_rows(spark, odd):
     item = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "..."), (1, item)], "item_id int, text string")
@@ -203,12 +220,51 @@ def test_ftrl_step_by_hand():
     assert m.weights(np.array([0]))[0] == pytest.approx(0.5 / (1 + 0.5))
 
 
+def test_ftrl_equals_a_plain_loop(spark, docs, texts):
+    """Weights and scores against a loop over dicts: z and n by coordinate, in the order of the keys' hashes."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    order = [(r.doc_id, r.toxic) for r in labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).collect()]
+    z, n, grams = {}, {}, {}
+
+    def features_of(t):
+        words = re.findall(r"\w+", (t or "").lower())
+        h = [xxh64_intdigest(w) for w in words]
+        one = lambda v: np.array([v], np.uint64)
+        at = {int(toxicity.mixed(one(a))[0]) >> 44 for a in h}
+        at |= {int(toxicity.joined(one(a), one(b), 1)[0]) >> 44 for a, b in zip(h, h[1:])}
+        at |= {int(toxicity.joined(one(a), one(b), 2)[0]) >> 44 for a, b in zip(h, h[2:])}
+        return sorted(at | {0})
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i == 0 else 3.0
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / (1.0 + math.sqrt(n.get(i, 0.0)))
+
+    for doc, y in order[:60]:
+        at = grams.setdefault(doc, features_of(texts[doc]))
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in at:
+            change = math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))
+            z[i] = z.get(i, 0.0) + g - change * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    model = toxicity.train(docs, labels, max_rows=min(60, len(order)))
+    got = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.limit(10), model).collect()}
+    for doc, s in scores.items():
+        assert s == pytest.approx(1 / (1 + math.exp(-sum(want.get(i, 0.0) for i in features_of(texts[doc])))), rel=1e-9)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, 0), (99, 1), (4, None), (8, 5), (2, 0)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)
     scored = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
     assert len(scored) == 11 and all(0 <= s <= 1 for s in scored.values()) and scored[3] == scored[4]
-    assert toxicity.score(odd, toxicity.train(odd, labels.where("false"))).where("score = 0.5").count() == 12
+    nothing = toxicity.train(odd, labels.where("false"))
+    assert toxicity.score(odd, nothing).where("score = 0").count() == 12 and toxicity.without_toxic(odd, nothing).count() == 12
     assert toxicity.score(odd.where("false"), model).count() == 0
     assert toxicity.without_toxic(odd, model, threshold=2.0).columns == odd.columns
 
@@ -221,6 +277,85 @@ def test_language_held_out(spark):
     assert sum(r.rejected for r in rows) < 0.005 * len(rows) and got.where("score < 0 or score > 1").count() == 0
 
 
+#: Article 1 of the Universal Declaration of Human Rights in languages that the tables don't have.
+UNLEARNED = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_rejection_of_unlearned_languages(spark, sf):
+    """Lettered texts of unlearned languages, Latin script included, are rejected; held rows of the learned ones are kept."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = langid.train(docs, allowed=~held)
+    others = spark.createDataFrame(list(UNLEARNED.items()), "name string, text string")
+    assert langid.identify(others, model).where("rejected").count() == len(UNLEARNED) and langid.without_unknown(others, model).count() == 0
+    rows = langid.identify(docs.where(held).where("text rlike '[a-zA-Z]{4}'"), model)
+    assert rows.where("rejected").count() <= 0.01 * rows.count()
+    assert all(0 < v < 1 for v in model.limits.values())
+
+
+def test_centroids_equal_a_plain_computation(spark):
+    """Counts, idf, k-means, limits and predictions against plain loops over a small table."""
+    rng = random.Random(4)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwei", "drei", "vier"]}
+    rows = [(i, " ".join(rng.choices(words[la], k=rng.randint(3, 9))), la) for i in range(40) for la in [rng.choice(["aa", "bb"])]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), clusters=2)
+    assert model.langs == ["aa", "aa", "bb", "bb"]
+
+    def grams(t):
+        """Hashed coordinates by a loop over the characters."""
+        line, out = f" {t} ", Counter()
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                key = 0
+                for ch in line[i : i + n]:
+                    key = key << 21 | ord(ch)
+                h = int(langid.mixed(np.array([key + n], np.uint64))[0])
+                out[h >> 64 - langid.DIMS_BITS] += 1
+        return out
+
+    counts = [grams(t) for _, t, _ in rows]
+    df = Counter(a for c in counts for a in c)
+    idf = lambda a: math.log((1 + len(rows)) / (1 + df[a])) + 1 if df[a] else math.log(1 + len(rows)) + 1
+
+    def vector(c):
+        x = {a: (1 + math.log(n)) * idf(a) for a, n in c.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {a: v / size for a, v in x.items()}
+
+    vectors = [vector(c) for c in counts]
+    for j, (la, centre) in enumerate(zip(model.langs, model.centroids, strict=True)):
+        # Each centroid is the unit mean of the rows of its language that are nearest to it.
+        mine = [v for v, (_, _, of) in zip(vectors, rows, strict=True) if of == la]
+        other = model.centroids[[k for k, x in enumerate(model.langs) if x == la and k != j][0]]
+        near = [v for v in mine if sum(w * centre[a] for a, w in v.items()) >= sum(w * other[a] for a, w in v.items()) - 1e-6]
+        mean = Counter()
+        for v in near:
+            for a, w in v.items():
+                mean[a] += w
+        size = math.sqrt(sum(w * w for w in mean.values()))
+        assert all(abs(centre[a] - mean[a] / size) < 1e-4 for a in range(langid.DIMS) if centre[a] or a in mean)
+    said = [r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).orderBy("doc_id").collect()]
+    for r, v in zip(said, vectors, strict=True):
+        best = max((sum(w * float(c[a]) for a, w in v.items()), la) for la, c in zip(model.langs, model.centroids, strict=True))
+        assert r.score == pytest.approx(min(1, best[0]), abs=1e-5) and r.lang_pred == best[1] == r.lang
+
+
+def test_language_bounds(spark):
+    rows = [(i, "some words of a text", f"dirty{i}") for i in range(40)] + [(100 + i, "some words of a text", "en") for i in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_langs=3)
+    assert len(model.langs) == 7 - 2 or set(model.langs) == {"dirty0", "dirty1", "en"}
+
+
 def test_language_odd_rows(spark, odd):
     known = spark.createDataFrame([(i, t, la, None, None, None, None) for i, (t, la) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("", "de"), (None, "en"), ("123", "fr")])], SCHEMA)
     model = langid.train(known)
