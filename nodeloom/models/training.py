@@ -1,17 +1,22 @@
-"""Training of SAGE regressors (and multi-marker classifiers) as one Spark job per step.
+"""Training of SAGE and GIN regressors (and multi-marker classifiers) as Spark jobs per step.
 
-Graphs are packed, one row a graph, and dealt into minibatches by hash; a step's job returns
-each partition's summed loss and gradient (as large as the model, whatever the data), and the driver
-adds them and takes an AdamW step with a clipped norm.  The state with the best validation
+Graphs are packed, one row a graph, and dealt into minibatches by hash; a step's job sums loss and
+gradient over partitions on the executors, position by position, so the driver sees one vector as large
+as the model.  It takes an AdamW step with a clipped norm.  The state with the best validation
 error is kept; training stops after ``patience`` epochs without improvement.
 
-The calibration penalty is defined on the whole minibatch: a first job sums the moments
-that its derivative needs.
+Batch norm uses the whole minibatch's statistics, whatever the partitions: a job for each layer sums the moments
+on the way forward, another what its derivative needs on the way back.  The calibration penalty is defined on the whole
+minibatch too; a job sums its moments.
+
+A training graph is one row and one task: at 6 markers, hidden width 128 and three layers a task holds about 10 KB a node, so a
+graph of 100,000 nodes takes 1 GB.  Larger graphs are scored by ``transform`` (joins, no row limit) and cut by
+``operators.graphs.ego_dataset`` for training.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import dataclass, replace
 
@@ -20,11 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.models.message_passing import Sage
+from nodeloom.models.message_passing import Gin, Sage
 from nodeloom.operators.markers import marker_baseline, relative_mse_across_graphs, residualize
 from nodeloom.sources.builders import with_minibatch
 from nodeloom.storage import checkpointed
 
+#: Added to variances before the root, and the weight of a step's statistics in the stored ones.
+EPS, MOMENTUM = 1e-5, 0.1
+
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -56,24 +64,39 @@ def packed_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("graph_id", part("node_id"), part("x"), part("y"), end("src"), end("dst"))
 
 
+def trainable(model: Sage | Gin) -> list[str]:
+    """Names of the weights that gradients exist for (not the stored statistics of batch norm)."""
+    return [k for k in model.weights if not k.endswith((".mean", ".var"))]
+
+
 class Tape:
-    """Forward pass over a union of packed graphs, and the gradient of its outputs."""
+    """SAGE's forward pass over a union of packed graphs, and the gradient of its outputs.
 
-    def __init__(self, model: Sage, x: np.ndarray, src: np.ndarray, dst: np.ndarray, dropout: float = 0.0, rng: np.random.Generator | None = None):
-        self.model, self.src, self.dst = model, src, dst
+    ``moments`` are the minibatch's (mean, variance) by layer for batch norm; without them the stored ones
+    count as constants.  ``upto`` stops before that layer's normalisation, whose input is then ``z``.
+    """
+
+    def __init__(
+        self, model: Sage, x: np.ndarray, src: np.ndarray, dst: np.ndarray, dropout: float = 0.0, rng: np.random.Generator | None = None, moments: list | None = None, upto: int | None = None
+    ):
+        self.model, self.src, self.dst, self.moments = model, src, dst, moments
         self.degree = np.maximum(np.bincount(dst, minlength=len(x)), 1)[:, None]
         w, h, self.steps = model.weights, x, []
         for k in range(model.layers):
             near = self.mean(h)
             z = near @ w[f"l{k}.near"] + h @ w[f"l{k}.own"] + w[f"l{k}.bias"]
+            if k == upto:
+                self.z = z
+                return
             unit = spread = None
             n = z
-            if model.norm == "layer":
-                spread = np.sqrt(z.var(1, keepdims=True) + 1e-5)
-                unit = (z - z.mean(1, keepdims=True)) / spread
+            if model.norm:
+                mean, var = z.mean(1, keepdims=True), z.var(1, keepdims=True)
+                if model.norm == "batch":
+                    mean, var = moments[k] if moments is not None else (w[f"l{k}.mean"], w[f"l{k}.var"])
+                spread = np.sqrt(var + EPS)
+                unit = (z - mean) / spread
                 n = unit * w[f"l{k}.gain"] + w[f"l{k}.shift"]
-            elif model.norm:
-                raise ValueError("training supports norm 'layer' or None")
             out = np.maximum(n, 0)
             if model.residual:
                 out = out + (h @ w["project"] if k == 0 and "project" in w else h)
@@ -88,8 +111,9 @@ class Tape:
         np.add.at(out, self.dst, h[self.src])
         return out / self.degree
 
-    def gradient(self, d_out: np.ndarray) -> dict[str, np.ndarray]:
-        w, g = self.model.weights, {k: np.zeros_like(v) for k, v in self.model.weights.items()}
+    def gradient(self, d_out: np.ndarray, means: dict | None = None, upto: int | None = None) -> dict[str, np.ndarray] | np.ndarray:
+        """Of each trainable weight.  ``means``: the minibatch's mean of du and du * unit by layer, for batch norm; with ``upto``, that layer's sums of them."""
+        w, g = self.model.weights, {k: np.zeros_like(self.model.weights[k]) for k in trainable(self.model)}
         g["head"], g["head.bias"] = self.last.T @ d_out, d_out.sum(0)
         d = d_out @ w["head"].T
         for k in reversed(range(self.model.layers)):
@@ -97,10 +121,16 @@ class Tape:
             if keep is not None:
                 d = d * keep
             dz = d * on
-            if self.model.norm == "layer":
+            if self.model.norm:
                 g[f"l{k}.gain"], g[f"l{k}.shift"] = (dz * unit).sum(0), dz.sum(0)
                 du = dz * w[f"l{k}.gain"]
-                dz = (du - du.mean(1, keepdims=True) - unit * (du * unit).mean(1, keepdims=True)) / spread
+                if k == upto:
+                    return np.concatenate([du.sum(0), (du * unit).sum(0)])
+                if self.model.norm == "layer":
+                    du = du - du.mean(1, keepdims=True) - unit * (du * unit).mean(1, keepdims=True)
+                elif self.moments is not None:
+                    du = du - means[k][0] - unit * means[k][1]
+                dz = du / spread
             g[f"l{k}.near"], g[f"l{k}.own"], g[f"l{k}.bias"] = near.T @ dz, h.T @ dz, dz.sum(0)
             back = dz @ w[f"l{k}.own"].T
             sent = (dz @ w[f"l{k}.near"].T) / self.degree
@@ -115,6 +145,39 @@ class Tape:
         return g
 
 
+class GinTape:
+    """GIN's forward pass over a union of packed graphs, and the gradient of its outputs."""
+
+    def __init__(self, model: Gin, x: np.ndarray, src: np.ndarray, dst: np.ndarray, dropout: float = 0.0, rng: np.random.Generator | None = None):
+        self.model, self.src, self.dst = model, src, dst
+        w, h, self.steps = model.weights, x, []
+        for k in range(model.layers):
+            mixed = (1 + model.eps) * h
+            np.add.at(mixed, dst, h[src])
+            inner = np.maximum(mixed @ w[f"l{k}.a"] + w[f"l{k}.a.bias"], 0)
+            out = np.maximum(inner @ w[f"l{k}.b"] + w[f"l{k}.b.bias"], 0)
+            keep = (rng.random(out.shape) >= dropout) / (1 - dropout) if dropout else None
+            self.steps.append((mixed, inner, out > 0, keep))
+            h = out if keep is None else out * keep
+        self.last = h
+        self.output = h @ w["head"] + w["head.bias"]
+
+    def gradient(self, d_out: np.ndarray) -> dict[str, np.ndarray]:
+        w = self.model.weights
+        g = {"head": self.last.T @ d_out, "head.bias": d_out.sum(0)}
+        d = d_out @ w["head"].T
+        for k in reversed(range(self.model.layers)):
+            mixed, inner, on, keep = self.steps[k]
+            d = (d if keep is None else d * keep) * on
+            g[f"l{k}.b"], g[f"l{k}.b.bias"] = inner.T @ d, d.sum(0)
+            d = (d @ w[f"l{k}.b"].T) * (inner > 0)
+            g[f"l{k}.a"], g[f"l{k}.a.bias"] = mixed.T @ d, d.sum(0)
+            sent = d @ w[f"l{k}.a"].T
+            d = (1 + self.model.eps) * sent
+            np.add.at(d, self.src, sent[self.dst])
+        return g
+
+
 def union_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """x, y, src, dst of a disjoint union of packed graphs."""
     sizes = [len(y) for y in batch["y"]]
@@ -150,8 +213,11 @@ def penalty_and_slope(m: np.ndarray, mode: str, eps: float = 1e-12) -> tuple[flo
     return float(c * c / d), (by_r, by_y, -by_y * sy / n - by_r * sr / n)
 
 
-def _summed(packed: DataFrame, per_batch, width: int) -> np.ndarray:
-    """Sum over partitions of the vectors that ``per_batch`` makes of Arrow batches of packed graphs."""
+def _summed(packed: DataFrame, per_batch: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
+    """Sum over partitions of the vectors that ``per_batch`` makes of Arrow batches of packed graphs.
+
+    Executors add the partitions' vectors position by position; ``width`` numbers reach the driver.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(width)
@@ -160,64 +226,91 @@ def _summed(packed: DataFrame, per_batch, width: int) -> np.ndarray:
                 sums += per_batch(batch)
         yield pd.DataFrame({"v": [sums]})
 
-    rows = packed.mapInPandas(run, "v array<double>").collect()  # a vector as large as the model from each partition
-    return np.sum([r.v for r in rows], axis=0) if rows else np.zeros(width)
+    parts = packed.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "v"))
+    out = np.zeros(width)
+    for i, v in parts.groupBy("i").agg(F.sum("v")).collect():
+        out[i] = v
+    return out
+
 
+def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False) -> tuple:
+    """(mean loss, mean absolute error or micro error rate, nodes, gradient of the mean loss, moments by layer) of one batch.
 
-def step_sums(model: Sage, packed: DataFrame, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None) -> tuple[float, float, int, dict[str, np.ndarray] | None]:
-    """(mean loss, mean absolute error or micro error rate, nodes, gradient of the mean loss) of one batch."""
-    names = list(model.weights)
-    width = 3 + (sum(v.size for v in model.weights.values()) if learn else 0)
-    penalty, slope = 0.0, None
-    drop = cfg.dropout if learn else 0.0
+    ``moments`` are those of batch norm while learning; ``frozen`` learns without dropout and with the stored ones.
+    """
+    names = trainable(model)
+    width = 3 + (sum(model.weights[k].size for k in names) if learn else 0)
+    drop = cfg.dropout if learn and not frozen else 0.0
+    moments: list | None = [] if learn and not frozen and getattr(model, "norm", None) == "batch" else None
 
-    def tape_of(batch: pd.DataFrame) -> tuple[Tape, np.ndarray]:
+    def tape_of(batch: pd.DataFrame, **more) -> tuple[Tape | GinTape, np.ndarray]:
         x, y, src, dst = union_of(batch)
         seed = [cfg.seed, epoch, int(pd.util.hash_pandas_object(batch["graph_id"], index=False).sum() & 0x7FFFFFFF)]
-        return Tape(model, x, src, dst, drop, np.random.default_rng(seed)), y
+        rng = np.random.default_rng(seed)
+        if isinstance(model, Gin):
+            return GinTape(model, x, src, dst, drop, rng), y
+        return Tape(model, x, src, dst, drop, rng, moments, **more), y
+
+    for k in range(model.layers if moments is not None else 0):
+
+        def of_layer(batch: pd.DataFrame, k=k) -> np.ndarray:
+            z = tape_of(batch, upto=k)[0].z
+            return np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
+
+        v = _summed(packed, of_layer, 1 + 2 * model.hidden)
+        mean, square = np.split(v[1:] / max(v[0], 1), 2)
+        moments.append((mean, np.maximum(square - mean * mean, 0)))
 
+    penalty, slope, rows = 0.0, None, 0.0
     if cfg.calibration_weight and pos_weight is None:
 
-        def moments(batch: pd.DataFrame) -> np.ndarray:
+        def of_penalty(batch: pd.DataFrame) -> np.ndarray:
             tape, y = tape_of(batch)
             r = tape.output - y
             return np.array([r.size, r.sum(), y.sum(), (r * y).sum(), (r * r).sum(), (y * y).sum()])
 
-        m = _summed(packed, moments, 6)
-        if m[0]:
+        m = _summed(packed, of_penalty, 6)
+        if rows := m[0]:
             penalty, slope = penalty_and_slope(m, cfg.calibration_mode)
 
+    def sloped(tape: Tape | GinTape, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Summed loss, and the slope of the summed loss and penalty."""
+        loss, d = loss_and_slope(tape.output, y, cfg, pos_weight)
+        if slope is not None:
+            a, b, c = slope
+            d = d + rows * cfg.calibration_weight * (a * (tape.output - y) + b * y + c)
+        return loss, d
+
+    means: dict[int, tuple] = {}
+    for k in reversed(range(model.layers if moments is not None else 0)):
+
+        def of_back(batch: pd.DataFrame, k=k) -> np.ndarray:
+            tape, y = tape_of(batch)
+            return np.append(tape.gradient(sloped(tape, y)[1], means, upto=k), len(y))
+
+        v = _summed(packed, of_back, 2 * model.hidden + 1)
+        means[k] = tuple(np.split(v[:-1] / max(v[-1], 1), 2))
+
     def sums(batch: pd.DataFrame) -> np.ndarray:
         tape, y = tape_of(batch)
-        loss, d = loss_and_slope(tape.output, y, cfg, pos_weight)
+        loss, d = sloped(tape, y)
         error = np.abs(tape.output - y).mean(1).sum() if pos_weight is None else ((tape.output >= 0) != (y > 0.5)).mean(1).sum()
         head = np.array([loss, error, len(y)])
         if not learn:
             return head
-        parts = tape.gradient(d)
-        flat = np.concatenate([parts[k].ravel() for k in names])
-        return np.concatenate([head, flat])
+        parts = tape.gradient(d, means) if moments is not None else tape.gradient(d)
+        return np.concatenate([head, *(parts[k].ravel() for k in names)])
 
     v = _summed(packed, sums, width)
     n = max(int(v[2]), 1)
     gradient = None
     if learn:
-        flat = v[3:] / n
-        if slope is not None:
-            a, b, c = slope
-
-            def of_penalty(batch: pd.DataFrame) -> np.ndarray:
-                tape, y = tape_of(batch)
-                parts = tape.gradient(a * (tape.output - y) + b * y + c)
-                return np.concatenate([parts[k].ravel() for k in names])
-
-            flat = flat + cfg.calibration_weight * _summed(packed, of_penalty, width - 3)
-        gradient, at = {}, 0
+        gradient, at = {}, 3
         for k in names:
             size = model.weights[k].size
-            gradient[k] = flat[at : at + size].reshape(model.weights[k].shape)
+            gradient[k] = v[at : at + size].reshape(model.weights[k].shape) / n
             at += size
-    return v[0] / n + cfg.calibration_weight * penalty, v[1] / n, int(v[2]), gradient
+    return v[0] / n + cfg.calibration_weight * penalty, v[1] / n, int(v[2]), gradient, moments
 
 
 class AdamW:
@@ -238,7 +331,16 @@ class AdamW:
             weights[k] = weights[k] * (1 - self.cfg.lr * self.cfg.weight_decay) - self.cfg.lr * m / (np.sqrt(v) + 1e-8)
 
 
-def train(model: Sage, train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], cfg: TrainConfig = TrainConfig(), pos_weight: np.ndarray | None = None) -> tuple[Sage, dict, list[dict]]:
+def _remember(model: Sage | Gin, moments: list | None, n: int) -> None:
+    """Move batch norm's stored statistics towards a step's (the variance of a sample)."""
+    for k, (mean, var) in enumerate(moments or []):
+        for name, value in ((f"l{k}.mean", mean), (f"l{k}.var", var * n / max(n - 1, 1))):
+            model.weights[name] = (1 - MOMENTUM) * model.weights[name] + MOMENTUM * value
+
+
+def train(
+    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], cfg: TrainConfig = TrainConfig(), pos_weight: np.ndarray | None = None
+) -> tuple[Sage | Gin, dict, list[dict]]:
     """(model with the best validation state, {'val_mae'}, history rows); sets are (nodes, edges)."""
     learn, val = checkpointed(packed_graphs(*train_set)), checkpointed(packed_graphs(*val_set))
     if learn.isEmpty():
@@ -248,11 +350,12 @@ def train(model: Sage, train_set: tuple[DataFrame, DataFrame], val_set: tuple[Da
     for epoch in range(cfg.epochs):
         dealt, sums = with_minibatch(learn, cfg.batches, epoch, cfg.seed), np.zeros(3)
         for b in range(cfg.batches):
-            loss, error, n, gradient = step_sums(model, dealt.where(F.col("batch") == b), cfg, True, epoch, pos_weight)
+            loss, error, n, gradient, moments = step_sums(model, dealt.where(F.col("batch") == b), cfg, True, epoch, pos_weight)
             if n:
                 adam.step(model.weights, gradient)
+                _remember(model, moments, n)
                 sums += np.array([loss * n, error * n, n])
-        val_loss, val_error, _, _ = step_sums(model, val, cfg, False, epoch, pos_weight)
+        val_loss, val_error = step_sums(model, val, cfg, False, epoch, pos_weight)[:2]
         history.append({"epoch": epoch, "train_loss": sums[0] / max(sums[2], 1), "train_mae": sums[1] / max(sums[2], 1), "val_loss": val_loss, "val_mae": val_error})
         if val_error < best_error - 1e-7:
             best, best_error, waited = deepcopy(model.weights), val_error, 0
@@ -269,13 +372,38 @@ def predict_markers(model: Sage, nodes: DataFrame, edges: DataFrame, threshold:
     return scored.withColumn("prob", prob).withColumn("pred", F.transform("prob", lambda p: (p >= threshold).cast("int")))
 
 
-def lbfgs(model: Sage, train_set: tuple[DataFrame, DataFrame], steps: int = 50, memory: int = 10, cfg: TrainConfig = TrainConfig(huber_delta=0.0), tolerance: float = 1e-12) -> tuple[Sage, list[dict]]:
-    """Full-batch quasi-Newton training without dropout; each loss and gradient is one Spark job.
+def strong_wolfe(at: Callable[[float], tuple], loss: float, slope: float, t: float, fall: float = 1e-4, flat: float = 0.9, tries: int = 25) -> tuple[float, tuple]:
+    """(step, ``at`` of it) where the loss has fallen enough and the slope is flat enough; the lowest point tried if none is.
 
-    Steps are shortened until the loss falls enough (Armijo); it stops when the loss changes by less than
-    ``tolerance``.  Returns the model of the least mean absolute error and a row per step.
+    ``at`` gives (loss, slope along the direction, ..) at a step.  A bracket grows by doubling, then shrinks by halving.
     """
-    packed, names = checkpointed(packed_graphs(*train_set)), list(model.weights)
+    low, low_loss, high, best = 0.0, loss, None, None
+    for _ in range(tries):
+        point = at(t)
+        if best is None or point[0] < best[1][0]:
+            best = (t, point)
+        if point[0] > loss + fall * t * slope or (low > 0 or high is not None) and point[0] >= low_loss:
+            high = t
+        elif abs(point[1]) <= -flat * slope:
+            return t, point
+        else:
+            # The low end moves here; the minimum lies on the side to which the slope falls.
+            if (point[1] >= 0) if high is None else (point[1] * (high - low) >= 0):
+                high = low
+            low, low_loss = t, point[0]
+        t = 2 * t if high is None else (low + high) / 2
+    return best
+
+
+def lbfgs(
+    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], steps: int = 60, memory: int = 100, inner: int = 20, lr: float = 0.5, cfg: TrainConfig = TrainConfig(huber_delta=0.0), tolerance: float = 1e-12
+) -> tuple[Sage | Gin, list[dict]]:
+    """Full-batch quasi-Newton training without dropout and with stored batch statistics; each loss and gradient is one Spark job.
+
+    A step makes at most ``inner`` iterations, each with a line search from ``lr`` that meets the strong Wolfe conditions; it all
+    stops when the loss changes by less than ``tolerance``.  Returns the model of the least mean absolute error and a row per step.
+    """
+    packed, names = checkpointed(packed_graphs(*train_set)), trainable(model)
     shapes = [model.weights[k].shape for k in names]
 
     def put(flat: np.ndarray) -> None:
@@ -287,38 +415,42 @@ def lbfgs(model: Sage, train_set: tuple[DataFrame, DataFrame], steps: int = 50,
 
     def at_point(flat: np.ndarray) -> tuple[float, float, np.ndarray]:
         put(flat)
-        loss, error, _, g = step_sums(model, packed, cfg, True, 0)
+        loss, error, _, g, _ = step_sums(model, packed, cfg, True, 0, frozen=True)
         return loss, error, np.concatenate([g[k].ravel() for k in names])
 
     x = np.concatenate([model.weights[k].ravel() for k in names])
     loss, error, g = at_point(x)
-    best, best_error, pairs, history = x, error, [], [{"epoch": 0, "train_loss": loss, "train_mae": error}]
+    best, best_error, pairs, history, settled = x, error, [], [{"epoch": 0, "train_loss": loss, "train_mae": error}], False
     for step in range(1, steps + 1):
-        d, alphas = -g, []
-        for s, y in reversed(pairs):
-            alphas.append((s @ d) / (s @ y))
-            d = d - alphas[-1] * y
-        if pairs:
-            s, y = pairs[-1]
-            d = d * (s @ y) / (y @ y)
-        for (s, y), a in zip(pairs, reversed(alphas), strict=True):
-            d = d + s * (a - (y @ d) / (s @ y))
-        t = 1.0 if pairs else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
-        for _ in range(20):
-            new_loss, new_error, new_g = at_point(x + t * d)
-            if new_loss <= loss + 1e-4 * t * (g @ d):
+        for _ in range(inner):
+            d, alphas = -g, []
+            for s, y in reversed(pairs):
+                alphas.append((s @ d) / (s @ y))
+                d = d - alphas[-1] * y
+            if pairs:
+                s, y = pairs[-1]
+                d = d * (s @ y) / (y @ y)
+            for (s, y), a in zip(pairs, reversed(alphas), strict=True):
+                d = d + s * (a - (y @ d) / (s @ y))
+
+            def along(t: float, x=x, d=d) -> tuple:
+                new_loss, new_error, new_g = at_point(x + t * d)
+                return new_loss, new_g @ d, new_error, new_g
+
+            t, (new_loss, _, new_error, new_g) = strong_wolfe(along, loss, g @ d, lr * (1.0 if pairs else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))))
+            if not new_loss < loss:
+                settled = True
+                break
+            s, y = t * d, new_g - g
+            if s @ y > 1e-10:
+                pairs = [*pairs, (s, y)][-memory:]
+            settled, x, loss, error, g = loss - new_loss < tolerance, x + s, new_loss, new_error, new_g
+            if settled:
                 break
-            t /= 2
-        else:
-            break
-        s, y = t * d, new_g - g
-        if s @ y > 1e-10:
-            pairs = [*pairs, (s, y)][-memory:]
-        changed, x, loss, error, g = abs(new_loss - loss), x + s, new_loss, new_error, new_g
         history.append({"epoch": step, "train_loss": loss, "train_mae": error})
         if error < best_error:
             best, best_error = x, error
-        if changed < tolerance:
+        if settled:
             break
     put(best)
     return model, history
@@ -335,21 +467,25 @@ def epoch_sweep(budgets: list[int], data: tuple[DataFrame, DataFrame], n_markers
     return rows
 
 
-def depth_scan(depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], markers: DataFrame, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0, min_pos: int = 10) -> DataFrame:
+def depth_scan(
+    depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], markers: DataFrame, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0, min_pos: int = 10
+) -> DataFrame:
     """Relative MSE per marker over graphs, for models of several depths fitted to the raw and to the residual target.
 
     Rows: ``kind`` ('baseline', 'raw' or 'residual'), ``split``, ``depth`` (0 for the baseline), ``marker_id``, ``rel_mean``,
-    ``rel_sem``, ``n_graphs``.  Marker means come from the training nodes; residual predictions have the baseline added back.
+    ``rel_sem``, ``n_graphs``.  Residual targets take marker means of the training nodes, and their predictions have them added
+    back; errors are relative to the means over training and validation nodes together, which the baseline predicts too.
     """
-    baseline = checkpointed(marker_baseline(train_set[0], markers))
-    n_markers = baseline.count()
-    based = {"train": (residualize(train_set[0], baseline), train_set[1]), "val": (residualize(val_set[0], baseline), val_set[1])}
+    own = checkpointed(marker_baseline(train_set[0], markers))
+    pooled = checkpointed(marker_baseline(train_set[0].unionByName(val_set[0]), markers, empty="zero"))
+    n_markers = own.count()
+    based = {"train": (residualize(train_set[0], own), train_set[1]), "val": (residualize(val_set[0], own), val_set[1])}
     raw = {"train": train_set, "val": val_set}
     out: DataFrame | None = None
 
     def add(kind: str, split: str, depth: int, scored: DataFrame, against: str = "model") -> None:
         nonlocal out
-        rows = relative_mse_across_graphs(scored, baseline, min_pos, against=against)
+        rows = relative_mse_across_graphs(scored, pooled, min_pos, against=against)
         rows = rows.select(F.lit(kind).alias("kind"), F.lit(split).alias("split"), F.lit(depth).alias("depth"), "marker_id", "rel_mean", "rel_sem", "n_graphs")
         out = rows if out is None else out.unionByName(rows)
 

@@ -6,12 +6,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import is_positive
+from nodeloom.operators import losses
 from nodeloom.operators.components import connected_components
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
+from nodeloom.storage import checkpointed
 
 
 def edge_integrity(graphs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of isolated nodes, mean, median, 90th percentile and maximum of in-degrees."""
-    deg = degrees(nodes, edges)
+    deg = checkpointed(degrees(nodes, edges))
     sums = deg.groupBy("graph_id").agg(F.avg((F.col("deg") == 0).cast("double")).alias("deg0_frac"), F.avg("deg").alias("deg_mean"), F.max("deg").alias("deg_max"))
     q = exact_quantiles(deg, "deg", [0.5, 0.9], ["graph_id"])
     return sums.join(q, "graph_id").select("graph_id", "deg0_frac", "deg_mean", F.get("q", F.lit(0)).alias("deg_p50"), F.get("q", F.lit(1)).alias("deg_p90"), "deg_max")
@@ -118,8 +123,11 @@ def moran_like_i(nodes: DataFrame, edges: DataFrame, eps: float = 1e-12) -> Data
     return met.select("graph_id", (F.col("zz2") * F.col("n") / ((F.col("zz") + eps) * F.greatest("w", F.lit(1)))).alias("moran_i"))
 
 
-def audit_graphs(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, sample_k: int | None = None, seed: int = 0) -> DataFrame:
-    """All of the above in one row per graph, as structs; optionally for ``sample_k`` graphs (md5 order of graph_id:seed)."""
+def audit_graphs(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, sample_k: int | None = None, seed: int = 0, marker_names: Sequence[str] | None = None) -> DataFrame:
+    """All of the above in one row per graph, as structs; optionally for ``sample_k`` graphs (md5 order of graph_id:seed).
+
+    ``marker_alignment_error`` says how the number of ``marker_names`` differs from the width of x (null if it doesn't, or without names).
+    """
     if sample_k is not None:
         chosen = graphs.orderBy(F.md5(F.concat_ws(":", "graph_id", F.lit(str(seed)))), "graph_id").limit(sample_k).select("graph_id")
         graphs, nodes, edges = (t.join(chosen, "graph_id", "left_semi") for t in (graphs, nodes, edges))
@@ -135,7 +143,21 @@ def audit_graphs(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, sample_k
     out = graphs.select("graph_id")
     for name, part in parts.items():
         out = out.join(part.select("graph_id", F.struct(*[c for c in part.columns if c != "graph_id"]).alias(name)), "graph_id", "left")
-    return out
+    if marker_names is None:
+        return out.withColumn("marker_alignment_error", F.lit(None).cast("string"))
+    width = nodes.groupBy("graph_id").agg(F.max(F.size("x")).alias("_m"))
+    said = F.when(F.col("_m") != len(marker_names), F.concat(F.lit(f"{len(marker_names)} names for "), F.col("_m").cast("string"), F.lit(" markers")))
+    return out.join(width, "graph_id", "left").withColumn("marker_alignment_error", said).drop("_m")
+
+
+def ablation(model, nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """``case``, ``mae``, ``mse`` over all nodes of all graphs: as they are ('normal'), without edges ('no_edges') and with x shuffled within each graph ('shuffled_x').
+
+    ``model`` is anything whose ``transform(nodes, edges)`` adds ``yhat``.  Without nodes there are no rows.
+    """
+    cases = {"normal": (nodes, edges), "no_edges": (nodes, edges.where(F.lit(False))), "shuffled_x": (permuted_features(nodes, seed), edges)}
+    scored = [model.transform(n, e).select(F.lit(case).alias("case"), "y", "yhat") for case, (n, e) in cases.items()]
+    return losses.error_stats(reduce(DataFrame.unionByName, scored), ["case"]).select("case", "mae", "mse")
 
 
 def permuted_features(nodes: DataFrame, seed: int = 0) -> DataFrame:

@@ -107,10 +107,14 @@ def _means(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows.groupBy("marker_id").agg(F.avg("y").alias("mu")))
 
 
-def marker_baseline_mse(predictions: DataFrame, markers: DataFrame) -> DataFrame:
-    """Over each marker's positives: mean and standard error (population) of (yhat - mean y)^2."""
+def marker_baseline_mse(predictions: DataFrame, markers: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """Over each marker's positives: mean and standard error (population) of (yhat - mean y)^2.
+
+    The marker means are the table's own, or those of ``baseline`` (which spares a second pass over the predictions).
+    """
     rows = positive_rows(predictions, "y", "yhat")
-    se = rows.join(_means(rows), "marker_id").withColumn("se", F.pow(F.col("yhat") - F.col("mu"), 2))
+    mu = _means(rows) if baseline is None else F.broadcast(baseline.select("marker_id", F.col("mu_pos").alias("mu")))
+    se = rows.join(mu, "marker_id").withColumn("se", F.pow(F.col("yhat") - F.col("mu"), 2))
     return _with_all(markers, se.groupBy("marker_id").agg(F.avg("se").alias("mse_mean"), sem(F.col("se"), 0).alias("mse_sem"), F.count("*").alias("n_pos"), F.first("mu").alias("mu")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import finite
 from nodeloom.operators.quantiles import exact_quantiles
+from nodeloom.storage import checkpointed
 
 
 def graph_stat(nodes: DataFrame, stat: str = "median") -> DataFrame:
@@ -26,7 +27,7 @@ def filter_outliers(nodes: DataFrame, low_pct: float | None, high_pct: float | N
     spark = nodes.sparkSession
     if low_pct is None and high_pct is None:
         return nodes, spark.createDataFrame([(None, None)], "low double, high double")
-    stats = graph_stat(nodes, stat)
+    stats = checkpointed(graph_stat(nodes, stat))  # one row a graph, read three times
     q = exact_quantiles(stats, "stat", [(low_pct or 0.0) / 100, (100.0 if high_pct is None else high_pct) / 100])
     low = F.lit(float("-inf")) if low_pct is None else F.get("q", F.lit(0))
     high = F.lit(float("inf")) if high_pct is None else F.get("q", F.lit(1))

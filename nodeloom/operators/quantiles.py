@@ -1,6 +1,6 @@
 """Exact linear-interpolation quantiles, and row ranks, of groups of any size.
 
-A group's values are cut into chunks at approximate quantiles (a bounded sketch); chunk
+Groups of at most ``GROUP_ROWS`` values are one aggregate.  A larger group's values are cut into chunks at approximate quantiles (a bounded sketch); chunk
 sizes give each chunk's first rank, ranks inside a chunk come from a running count over its
 distinct values, and the two order statistics around each quantile are interpolated.  No
 group is gathered in one task: a group with a third of all rows is spread over ``chunks`` tasks.
@@ -9,6 +9,8 @@ group is gathered in one task: a group with a third of all rows is spread over `
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,14 +18,30 @@ from pyspark.sql import functions as F
 from nodeloom.storage import checkpointed, small_side
 
 CHUNKS = 64
+#: Values of a group that one task may hold.
+GROUP_ROWS = 100_000
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), chunks: int = CHUNKS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), chunks: int = CHUNKS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``by`` columns, ``n`` and ``q`` (array<double> in the order of ``probs``) of each group.
 
     Null values are passed over.  A group without values gives no row; without ``by``, an empty
-    table gives no row.  Null group keys form a group.
+    table gives no row.  Null group keys form a group.  Both ways are exact, so ``group_rows`` only decides how the work is spread.
     """
+    if not by:
+        return _chunked_quantiles(df, value, probs, by, chunks)
+    rows = df.select(*by, (F.col(value).cast("double") + 0.0).alias("_v")).where("_v is not null")
+    large = checkpointed(rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > group_rows).select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]))
+    on = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)])
+    none = large.isEmpty()
+    side = None if none else small_side(large)
+    few = (rows if none else rows.join(side, on, "left_anti")).groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    if none:
+        return few
+    return few.unionByName(_chunked_quantiles(rows.join(side, on, "left_semi"), "_v", probs, by, chunks))
+
+
+def _chunked_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], chunks: int) -> DataFrame:
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(value).cast("double") + 0.0).alias("_v")).where("_v is not null")
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))

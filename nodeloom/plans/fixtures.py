@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def one_hop_predictions(nodes: DataFrame, edges: DataFrame, baseline: DataFrame)
     return met.withColumn("yhat", F.coalesce(0.5 * F.col("b") + 0.5 * F.col("near"), F.col("b"))).drop("near")
 
 
+@dataclass
+class OneHop:
+    """``one_hop_predictions`` as a model."""
+
+    baseline: DataFrame
+
+    def transform(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        return one_hop_predictions(nodes, edges, self.baseline)
+
+
+def event_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.marker_baseline(event_nodes(spark, sf_dir), event_markers(spark))
+
+
 def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = event_nodes(spark, sf_dir)
     return one_hop_predictions(nodes, event_edges(nodes), markers.marker_baseline(nodes, event_markers(spark)))

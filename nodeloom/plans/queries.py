@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom import schema
 from nodeloom.functions.columns import inverse_transform
-from nodeloom.models.training import packed_graphs
+from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
+from nodeloom.models.training import TrainConfig, depth_scan, epoch_sweep, lbfgs, packed_graphs, train
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep
+from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
 from nodeloom.sources import npz
 from nodeloom.storage import checkpointed
@@ -120,7 +123,12 @@ MSE = "se AS (SELECT marker_id, pow(yhat - mu_pos, 2) AS se, mu_pos FROM ppos JO
 
 @query(f"{ALL}, {MSE} " + out("SELECT CAST(marker_id AS INTEGER) AS marker_id, name, avg(se) AS mse_mean, stddev_pop(se) / sqrt(count(se)) AS mse_sem, count(se) AS n_pos, any_value(se.mu_pos) AS mu FROM markers LEFT JOIN se USING (marker_id) GROUP BY marker_id, name", "marker_id name n_pos|mse_mean mse_sem mu"))
 def marker_baseline_mse(spark, d):
-    return markers.marker_baseline_mse(fx.event_predictions(spark, d), fx.event_markers(spark))
+    return markers.marker_baseline_mse(fx.event_predictions(spark, d), fx.event_markers(spark), fx.event_baseline(spark, d))
+
+
+def _event_residuals(spark, d):
+    """Residuals against the nodes' own marker means: these need the nodes only, so predictions are made once."""
+    return markers.marker_residuals(fx.event_predictions(spark, d), fx.event_baseline(spark, d))
 
 
 RES = "res AS (SELECT graph_id, node_id, marker_id, y - mu_pos AS r_base, y - yhat AS r_model FROM ppos JOIN mu USING (marker_id))"
@@ -128,7 +136,7 @@ RES = "res AS (SELECT graph_id, node_id, marker_id, y - mu_pos AS r_base, y - yh
 
 @query(f"{ALL}, {RES} " + out("SELECT graph_id, node_id, CAST(marker_id AS INTEGER) AS marker_id, r_base, r_model FROM res", "graph_id node_id marker_id|r_base r_model"))
 def marker_residuals(spark, d):
-    return markers.marker_residuals(fx.event_predictions(spark, d))
+    return _event_residuals(spark, d)
 
 
 def _residual_mse_sql(std: str) -> str:
@@ -141,12 +149,12 @@ def _residual_mse_sql(std: str) -> str:
 
 @query(_residual_mse_sql("stddev_pop"))
 def marker_residual_mse(spark, d):
-    return markers.residual_mse(markers.marker_residuals(fx.event_predictions(spark, d)), fx.event_markers(spark))
+    return markers.residual_mse(_event_residuals(spark, d), fx.event_markers(spark))
 
 
 @query(_residual_mse_sql("stddev_samp"))
 def marker_residual_mse_sample(spark, d):
-    return markers.residual_mse(markers.marker_residuals(fx.event_predictions(spark, d)), fx.event_markers(spark), ddof=1)
+    return markers.residual_mse(_event_residuals(spark, d), fx.event_markers(spark), ddof=1)
 
 
 @query(f"{ALL} " + out("SELECT graph_id, node_id, b AS y_base, y AS y_orig, y - b AS y FROM pred", "graph_id node_id|y y_orig y_base"))
@@ -218,10 +226,33 @@ def marker_cross_pairs(spark, d):
 
 @query(f"{ALL}, {RES} " + out("SELECT CAST(marker_id AS INTEGER) AS marker_id, avg(r_model * r_model) - avg(r_base * r_base) AS delta FROM res GROUP BY marker_id ORDER BY abs(delta) DESC, marker_id LIMIT 3", "marker_id|delta"))
 def top_markers_by_delta(spark, d):
-    mse = markers.residual_mse(markers.marker_residuals(fx.event_predictions(spark, d)), fx.event_markers(spark))
+    mse = markers.residual_mse(_event_residuals(spark, d), fx.event_markers(spark))
     return prep.top_by(mse.select("marker_id", F.col("delta_model_minus_base").alias("delta")), "delta", 3)
 
 
+@query(f"{ALL}, {RES}, d AS (SELECT marker_id, avg(r_model * r_model) - avg(r_base * r_base) AS delta FROM res GROUP BY marker_id ORDER BY abs(delta) DESC, marker_id LIMIT 3) SELECT CAST(d.marker_id AS INTEGER) AS marker_id, mu.name, round(delta, 6) + 0.0 AS delta, n_pos AS n_pos_other FROM d JOIN mu USING (marker_id)")
+def aligned_by_name(spark, d):
+    """The top markers of one table with the counts of another, whose ids differ, by name."""
+    mse = markers.residual_mse(_event_residuals(spark, d), fx.event_markers(spark))
+    chosen = prep.top_by(mse.select("marker_id", "name", F.col("delta_model_minus_base").alias("delta")), "delta", 3)
+    counts = markers.positive_counts(fx.event_nodes(spark, d), fx.event_markers(spark)).select((F.col("marker_id") + 100).alias("marker_id"), "name", "n_pos")
+    return prep.align_by_name(chosen, counts)
+
+
+@query(f"{ALL} SELECT graph_id, node_id, round(CASE WHEN node_id % 2 = 0 THEN y ELSE y - b END, 6) + 0.0 AS y_true FROM pred")
+def true_targets(spark, d):
+    """``y_orig`` where there is one (here: of even nodes), else ``y``."""
+    nodes = markers.residualize(fx.event_nodes(spark, d), fx.event_baseline(spark, d)).withColumn("y_orig", F.when(F.col("node_id") % 2 == 0, F.col("y_orig")))
+    return nodes.select("graph_id", "node_id", markers.true_target(nodes).alias("y_true"))
+
+
+@query("""SELECT * FROM (VALUES ('pad', 0, 'a'), ('pad', 1, 'b'), ('pad', 2, 'm2'), ('pad', 3, 'm3'), ('fit', 0, 'a'), ('replace', 0, 'm0'), ('replace', 1, 'm1'), ('replace', 2, 'm2'), ('strict', 0, 'a'), ('strict', 1, 'b')) t(policy, marker_id, name)""")
+def marker_name_policies(spark, d):
+    """Two names for four markers (pad), one (fit), three (replace) and two (strict)."""
+    rows = [markers.marker_dimension(spark, ["a", "b"], width, policy).select(F.lit(policy).alias("policy"), "marker_id", "name") for policy, width in (("pad", 4), ("fit", 1), ("replace", 3), ("strict", 2))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 # --- preparation -----------------------------------------------------------------------------------
 
 
@@ -415,13 +446,11 @@ def uniform_residual_mse_by_marker(spark, d):
     + out("SELECT CAST(marker_id AS INTEGER) AS marker_id, bin, (-200 + bin * 10)::DOUBLE AS edge_lo, (-200 + (bin + 1) * 10)::DOUBLE AS edge_hi, count, count / (sum(count) OVER (PARTITION BY marker_id) * 10.0) AS density FROM c", "marker_id bin count|edge_lo edge_hi density")
 )
 def residual_histogram(spark, d):
-    return bins.histogram(markers.marker_residuals(fx.event_predictions(spark, d)), "r_model", -200.0, 200.0, 40, ["marker_id"])
+    return bins.histogram(_event_residuals(spark, d), "r_model", -200.0, 200.0, 40, ["marker_id"])
 
 
 @query("SELECT round(q[1], 6) AS p01, round(q[2], 6) AS p99 FROM (SELECT quantile_cont(value, [0.01, 0.99]) AS q FROM events)")
 def color_limits(spark, d):
-    from nodeloom.operators.quantiles import exact_quantiles
-
     return exact_quantiles(fx.table(spark, d, "events"), "value", [0.01, 0.99]).select(F.get("q", F.lit(0)).alias("p01"), F.get("q", F.lit(1)).alias("p99"))
 
 
@@ -519,18 +548,34 @@ def ego_edges(spark, d):
 @query(f"""{EDGED}, i AS (SELECT e.graph_id, e.dst AS node_id, l.marker_id, avg(l.v) AS m, sum(l.v) AS s FROM edges e JOIN long l ON l.graph_id = e.graph_id AND l.node_id = e.src GROUP BY ALL)
 SELECT graph_id, node_id, CAST(marker_id AS INTEGER) AS marker_id, round(coalesce(m, 0), 6) AS mean_in, round(coalesce(s, 0), 6) AS sum_in FROM long LEFT JOIN i USING (graph_id, node_id, marker_id)""")
 def neighbor_aggregates(spark, d):
-    from nodeloom.models.message_passing import neighbor_aggregate
-
     nodes, edges = _graph(spark, d)
     both = neighbor_aggregate(nodes, edges, "x", 6, "mean", "mean_in").join(neighbor_aggregate(nodes, edges, "x", 6, "sum", "sum_in").select("graph_id", "node_id", "sum_in"), ["graph_id", "node_id"])
     return both.select("graph_id", "node_id", F.posexplode(F.arrays_zip("mean_in", "sum_in")).alias("marker_id", "v")).select("graph_id", "node_id", "marker_id", "v.mean_in", "v.sum_in")
 
 
-@query()
-def audit_graphs(spark, d):
+def _nested(name: str, prefix: str = EDGED) -> str:
+    """An earlier query's SQL as a subquery over the same nodes and edges."""
+    return "WITH RECURSIVE " + ORACLE_SQL[name].removeprefix(prefix).lstrip(", ")
+
+
+AUDIT = f"""{EDGED}, g AS (SELECT graph_id, count(*) AS n_nodes FROM nodes GROUP BY graph_id), i AS ({"WITH" + INTEGRITY.lstrip(",")}), dg AS ({_nested("degree_stats")}), cs AS ({_nested("component_stats")}),
+hm AS (SELECT graph_id, avg(edge_agreement) AS edge_agreement_mean, avg(neighbor_positive_rate) AS neighbor_positive_mean FROM ({_nested("homophily_by_marker").replace("round(edge_agreement, 6)", "edge_agreement").replace("round(neighbor_positive_rate, 6)", "neighbor_positive_rate")}) GROUP BY graph_id),
+th AS ({_nested("two_hop_reach")}), mo AS ({_nested("moran_like_i")}),
+audited AS (SELECT graph_id, i.* EXCLUDE (graph_id), dg.* EXCLUDE (graph_id), cs.* EXCLUDE (graph_id), round(edge_agreement_mean, 6) AS edge_agreement_mean, round(neighbor_positive_mean, 6) AS neighbor_positive_mean,
+  th.two_hop_frac, mo.moran_i, '5 names for 6 markers' AS marker_alignment_error FROM i JOIN dg USING (graph_id) JOIN cs USING (graph_id) JOIN hm USING (graph_id) JOIN th USING (graph_id) JOIN mo USING (graph_id))
+"""
+
+
+def _audited(spark, d, **options):
+    """Audit rows with one column a figure."""
     nodes, edges = _graph(spark, d)
-    edges = checkpointed(edges)
-    return audit.audit_graphs(fx.event_graphs(nodes), nodes, edges)
+    rows = audit.audit_graphs(fx.event_graphs(nodes), nodes, checkpointed(edges), marker_names=fx.MARKER_NAMES[:5], **options)
+    return rows.select("graph_id", *[f"{part}.*" for part in ("integrity", "degree", "components", "homophily", "reach", "moran")], "marker_alignment_error")
+
+
+@query(AUDIT + "SELECT * FROM audited")
+def audit_graphs(spark, d):
+    return _audited(spark, d)
 
 
 # --- losses ----------------------------------------------------------------------------------------
@@ -584,6 +629,23 @@ def ablation_of_edges(spark, d):
     return losses.error_stats(both, ["case"]).select("case", "mae", "mse")
 
 
+PERMUTED = """perm AS (SELECT a.graph_id, a.node_id, a.y, p.x FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS r FROM nodes) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5(node_id || ':0'), node_id) AS r FROM nodes) p ON p.graph_id = a.graph_id AND p.r = a.r),
+pb AS (SELECT n.graph_id, n.node_id, any_value(n.y) AS y, CASE WHEN sum(n.x[i]) > 0 THEN sum(n.x[i] * coalesce(mu.mu_pos, overall.mu_global)) / sum(n.x[i]) ELSE any_value(overall.mu_none) END AS b
+  FROM perm n, range(1, 7) r(i) JOIN mu ON mu.marker_id = i - 1, overall GROUP BY n.graph_id, n.node_id)"""
+
+
+@query(
+    f"""{ALL}, {PERMUTED}, cases AS (SELECT 'normal' AS kind, y, yhat FROM pred UNION ALL SELECT 'no_edges', y, b FROM pred
+  UNION ALL SELECT 'shuffled_x', pb.y, coalesce(0.5 * pb.b + 0.5 * near.near, pb.b) FROM pb LEFT JOIN near USING (graph_id, node_id))
+"""
+    + out('SELECT kind AS "case", avg(abs(yhat - y)) AS mae, avg(pow(yhat - y, 2)) AS mse FROM cases GROUP BY kind', '"case"|mae mse')
+)
+def ablation(spark, d):
+    nodes, edges = _graph(spark, d)
+    return audit.ablation(fx.OneHop(fx.event_baseline(spark, d)), nodes, checkpointed(edges))
+
+
 @query(
     f"""WITH {NODES}, a AS (SELECT graph_id, node_id, y, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS r FROM nodes), p AS (SELECT graph_id, x, row_number() OVER (PARTITION BY graph_id ORDER BY md5(node_id || ':0'), node_id) AS r FROM nodes)
 SELECT graph_id, node_id, round(y, 6) AS y, CAST(list_sum(x) AS BIGINT) AS n_positive FROM a JOIN p USING (graph_id, r)"""
@@ -653,10 +715,9 @@ def filter_outliers_one_sided(spark, d):
     return fx.event_graphs(prep.filter_outliers(fx.event_nodes(spark, d), 25, None)[0])
 
 
-@query()
+@query(AUDIT + "SELECT * FROM audited ORDER BY md5(graph_id || ':0'), graph_id LIMIT 5")
 def audit_sampled_graphs(spark, d):
-    nodes, edges = _graph(spark, d)
-    return audit.audit_graphs(fx.event_graphs(nodes), nodes, checkpointed(edges), sample_k=5)
+    return _audited(spark, d, sample_k=5)
 
 
 COPURCHASE = """WITH bought AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS graph_id, l_orderkey AS o, l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), nodes AS (SELECT DISTINCT graph_id, node_id FROM bought),
@@ -688,32 +749,73 @@ def npz_edges(spark, d):
     return npz.tables_of(npz.decode_contents(npz.pack(packed_graphs(*_graph(spark, d)))))[2]
 
 
-# --- models (no SQL: tests hold scores against NumPy and gradients against finite differences) ------
+# --- models (scores by SQL with the weights in it; tests hold gradients against finite differences) --
 
+RING = """WITH n0 AS (SELECT CAST(label AS VARCHAR) AS graph_id, vec_id AS node_id, list_transform(embedding, lambda v: CAST(v > 0 AS DOUBLE)) AS h FROM embeddings),
+u AS (SELECT graph_id, node_id AS src, lead(node_id) OVER (PARTITION BY graph_id ORDER BY node_id) AS dst FROM n0), edges AS (SELECT * FROM u WHERE dst IS NOT NULL UNION SELECT graph_id, dst, src FROM u WHERE dst IS NOT NULL)"""
 
-@query()
-def sage_scores(spark, d):
-    """A seeded two-layer SAGE over wide features and the embeddings' nearest neighbours in a ring of ids."""
-    from nodeloom.models.message_passing import Sage
 
-    nodes, edges = _ring(spark, d)
-    return Sage(64, 16, 2).init(1).transform(nodes, edges).select("graph_id", "node_id", "yhat")
+def _numbers(w) -> str:
+    return f"[{', '.join(map(repr, w.tolist()))}]::DOUBLE[]"
 
 
-@query()
-def gin_scores(spark, d):
-    from nodeloom.models.message_passing import Gin
+def _dot(terms: dict, bias: float) -> str:
+    """Scalar products of SQL lists with weights, and a bias."""
+    return " + ".join([*(f"list_dot_product({column}, {_numbers(w)})" for column, w in terms.items()), repr(float(bias))])
+
+
+def _near_sql(k: int, width: int, how: str) -> str:
+    """CTE m{k}: each node of n{k} with the mean or sum of its in-neighbours' h (zeros without any)."""
+    return f"""a{k} AS (SELECT e.graph_id, e.dst AS node_id, i, {how}(n.h[i]) AS v FROM edges e JOIN n{k} n ON n.graph_id = e.graph_id AND n.node_id = e.src, range(1, {width + 1}) r(i) GROUP BY ALL),
+m{k} AS (SELECT n.graph_id, n.node_id, n.h, coalesce(s.near, list_transform(range({width}), lambda i: 0.0::DOUBLE)) AS near FROM n{k} n LEFT JOIN (SELECT graph_id, node_id, list(v ORDER BY i) AS near FROM a{k} GROUP BY ALL) s ON s.graph_id = n.graph_id AND s.node_id = n.node_id)"""
+
+
+def _scored_sql(k: int, w: dict) -> str:
+    return f" SELECT graph_id, node_id, round({_dot({'h': w['head'][:, 0]}, w['head.bias'][0])}, 6) + 0.0 AS yhat FROM n{k}"
+
+
+def _sage_sql(model) -> str:
+    w, sql, width = model.weights, RING, model.n_markers
+    for k in range(model.layers):
+        each = range(model.hidden)
+        z = ", ".join(_dot({"near": w[f"l{k}.near"][:, j], "h": w[f"l{k}.own"][:, j]}, w[f"l{k}.bias"][j]) for j in each)
+        kept = [_dot({"h": w["project"][:, j]}, 0.0) if k == 0 and "project" in w else f"h[{j + 1}]" for j in each]
+        out_of = ", ".join(f"greatest((z[{j + 1}] - list_avg(z)) / sqrt(list_var_pop(z) + 1e-5) * {w[f'l{k}.gain'][j]!r} + {w[f'l{k}.shift'][j]!r}, 0) + {kept[j]}".replace("np.float64", "") for j in each)
+        sql += f", {_near_sql(k, width, 'avg')}, z{k} AS (SELECT *, [{z}] AS z FROM m{k}), n{k + 1} AS (SELECT graph_id, node_id, [{out_of}] AS h FROM z{k})"
+        width = model.hidden
+    return sql + _scored_sql(model.layers, w)
+
+
+def _gin_sql(model) -> str:
+    w, sql, width = model.weights, RING, model.n_markers
+    for k in range(model.layers):
+        inner = ", ".join(f"greatest({_dot({'s': w[f'l{k}.a'][:, j]}, w[f'l{k}.a.bias'][j])}, 0)" for j in range(model.hidden))
+        outer = ", ".join(f"greatest({_dot({'z': w[f'l{k}.b'][:, j]}, w[f'l{k}.b.bias'][j])}, 0)" for j in range(model.hidden))
+        sql += f", {_near_sql(k, width, 'sum')}, s{k} AS (SELECT graph_id, node_id, list_transform(range(1, {width + 1}), lambda i: {1 + model.eps!r} * h[i] + near[i]) AS s FROM m{k}), z{k} AS (SELECT *, [{inner}] AS z FROM s{k}), n{k + 1} AS (SELECT graph_id, node_id, [{outer}] AS h FROM z{k})"
+        width = model.hidden
+    return sql + _scored_sql(model.layers, w)
+
+
+SAGE, GIN = Sage(64, 16, 2).init(1), Gin(64, 16, 2).init(1)
+
+
+@query(_sage_sql(SAGE))
+def sage_scores(spark, d):
+    """A seeded two-layer SAGE over wide features; a path through the ids of each label replaces a neighbour search."""
+    return SAGE.transform(*_ring(spark, d)).select("graph_id", "node_id", "yhat")
 
-    nodes, edges = _ring(spark, d)
-    return Gin(64, 16, 2).init(1).transform(nodes, edges).select("graph_id", "node_id", "yhat")
+
+@query(_gin_sql(GIN))
+def gin_scores(spark, d):
+    return GIN.transform(*_ring(spark, d)).select("graph_id", "node_id", "yhat")
 
 
 def _ring(spark, d):
     """Nodes of the embeddings table, each joined to the next of its label in the order of ids."""
     nodes = fx.embedding_nodes(spark, d)
-    after = F.lead("node_id").over(Window.partitionBy("graph_id").orderBy("node_id"))
-    raw = nodes.select("graph_id", F.col("node_id").alias("u"), after.alias("v")).where("v is not null")
-    return nodes, graphs.normalise_edges(raw)
+    ranked = checkpointed(row_ranks(nodes.select("graph_id", "node_id"), "graph_id", F.col("node_id"), ["node_id"]))
+    after = ranked.select("graph_id", F.col("node_id").alias("v"), (F.col("rank") - 1).alias("rank"))
+    return nodes, graphs.normalise_edges(ranked.join(after, ["graph_id", "rank"]).select("graph_id", F.col("node_id").alias("u"), "v"))
 
 
 def _event_sets(spark, d):
@@ -726,18 +828,42 @@ def _event_sets(spark, d):
 
 @query()
 def training_history(spark, d):
-    """Loss and error of three epochs on standardised targets."""
-    from nodeloom import schema
-    from nodeloom.models.message_passing import Sage
-    from nodeloom.models.training import TrainConfig, train
-
+    """Loss and error of three epochs on standardised targets (layer norm)."""
     _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=3))
+    return _history(spark, history)
+
+
+@query()
+def training_history_batch_norm(spark, d):
+    _, _, history = train(Sage(6, 8, 2, norm="batch").init(0), *_event_sets(spark, d), TrainConfig(epochs=2, dropout=0.2, calibration_weight=0.1))
+    return _history(spark, history)
+
+
+@query()
+def training_history_gin(spark, d):
+    _, _, history = train(Gin(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=2, dropout=0.2))
+    return _history(spark, history)
+
+
+@query()
+def lbfgs_history(spark, d):
+    """Quasi-Newton steps on the training graphs."""
+    _, history = lbfgs(Sage(6, 8, 1, norm=None).init(0), _event_sets(spark, d)[0], steps=2, inner=2)
+    return spark.createDataFrame([(h["epoch"], float(h["train_loss"]), float(h["train_mae"])) for h in history], "epoch int, train_loss double, train_mae double")
+
+
+def _history(spark, history):
     return spark.createDataFrame([tuple(float(v) if k != "epoch" else v for k, v in h.items()) for h in history], schema.HISTORY)
 
 
 @query()
 def depth_comparison(spark, d):
-    """Relative errors of the baseline and of models fitted to the raw and the residual target."""
-    from nodeloom.models.training import TrainConfig, depth_scan
+    """Relative errors of the baseline and of models fitted to the raw and the residual target (narrow and one epoch each)."""
+    return depth_scan([2, 3, 4, 5], *_event_sets(spark, d), fx.event_markers(spark), 8, TrainConfig(epochs=1))
 
-    return depth_scan([1, 2], *_event_sets(spark, d), fx.event_markers(spark), 8, TrainConfig(epochs=2))
+
+@query()
+def epoch_budgets(spark, d):
+    """Errors of one model per epoch budget on the training graphs."""
+    rows = epoch_sweep([1, 2], _event_sets(spark, d)[0], 6, 8, 2)
+    return spark.createDataFrame([(r["epochs"], float(r["mse"]), float(r["mae"])) for r in rows], "epochs int, mse double, mae double")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from nodeloom.models.message_passing import Gin, Sage
-from nodeloom.models.training import AdamW, Tape, TrainConfig, depth_scan, epoch_sweep, lbfgs, loss_and_slope, packed_graphs, penalty_and_slope, predict_markers, step_sums, train
+from nodeloom.models.training import AdamW, GinTape, Tape, TrainConfig, depth_scan, strong_wolfe, epoch_sweep, lbfgs, loss_and_slope, packed_graphs, penalty_and_slope, predict_markers, step_sums, train
 from nodeloom.operators.graphs import normalise_edges
 from nodeloom.operators.markers import marker_dimension
 from nodeloom.sources.builders import build_graph
@@ -29,13 +29,21 @@ def test_sage_scores_equal_numpy(small):
     for norm in ("layer", "batch", None):
         model = Sage(3, 5, 2, norm=norm).init(4)
         src, dst = arrays(edges)
-        h = x
+        if norm == "batch":
+            for k in range(2):
+                model.weights[f"l{k}.mean"], model.weights[f"l{k}.var"] = np.linspace(-0.2, 0.3, 5), np.linspace(0.5, 2, 5)
+        h, w = x, model.weights
         for k in range(2):
             near = np.zeros_like(h)
             for s, d in zip(src, dst):
                 near[d] += h[s]
             near /= np.maximum(np.bincount(dst, minlength=7), 1)[:, None]
-            h = model.layer(k, h, near)
+            z = np.array([[sum(near[v, i] * w[f"l{k}.near"][i, j] + h[v, i] * w[f"l{k}.own"][i, j] for i in range(h.shape[1])) + w[f"l{k}.bias"][j] for j in range(5)] for v in range(7)])
+            if norm == "layer":
+                z = np.array([(row - row.sum() / 5) / np.sqrt(((row - row.sum() / 5) ** 2).sum() / 5 + 1e-5) for row in z]) * w[f"l{k}.gain"] + w[f"l{k}.shift"]
+            if norm == "batch":
+                z = (z - w[f"l{k}.mean"]) / np.sqrt(w[f"l{k}.var"] + 1e-5) * w[f"l{k}.gain"] + w[f"l{k}.shift"]
+            h = np.where(z > 0, z, 0) + (h @ w["project"] if k == 0 else h)
         want = (h @ model.weights["head"] + model.weights["head.bias"])[:, 0]
         got = [r.yhat for r in model.transform(nodes, edges).orderBy("node_id").collect()]
         np.testing.assert_allclose(got, want, atol=1e-9)
@@ -48,7 +56,10 @@ def test_gin_scores_equal_numpy(small):
     for k in range(2):
         near = np.zeros_like(h)
         np.add.at(near, dst, h[src])
-        h = model.layer(k, h, near)
+        w = model.weights
+        inner = (h + near) @ w[f"l{k}.a"] + w[f"l{k}.a.bias"]
+        outer = np.where(inner > 0, inner, 0) @ w[f"l{k}.b"] + w[f"l{k}.b.bias"]
+        h = np.where(outer > 0, outer, 0)
     got = [r.yhat for r in model.transform(nodes, edges).orderBy("node_id").collect()]
     np.testing.assert_allclose(got, (h @ model.weights["head"] + model.weights["head.bias"])[:, 0], atol=1e-9)
     assert model.num_parameters() == (3 * 4 + 4 + 16 + 4) + (16 + 4 + 16 + 4) + 5
@@ -74,6 +85,84 @@ def test_gradient_equals_finite_differences(norm, residual):
         assert g[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def assert_gradient(model, g, loss, rng):
+    for name in g:
+        w = model.weights[name]
+        for _ in range(3):
+            at = tuple(rng.integers(0, s) for s in w.shape)
+            keep = w[at]
+            w[at] = keep + 1e-6
+            up = loss()
+            w[at] = keep - 1e-6
+            down = loss()
+            w[at] = keep
+            assert g[name][at] == pytest.approx((up - down) / 2e-6, abs=2e-5), name
+
+
+def test_gin_gradient_equals_finite_differences():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(6, 3)), rng.normal(size=(6, 1))
+    src, dst = np.array([0, 1, 2, 3, 1]), np.array([1, 0, 1, 2, 4])
+    model, cfg = Gin(3, 4, 2, eps=0.3).init(1), TrainConfig()
+    tape = GinTape(model, x, src, dst)
+    g = tape.gradient(loss_and_slope(tape.output, y, cfg, None)[1])
+    assert set(g) == set(model.weights)
+    assert_gradient(model, g, lambda: loss_and_slope(GinTape(model, x, src, dst).output, y, cfg, None)[0], rng)
+
+
+@pytest.mark.parametrize("frozen", [False, True])
+def test_batch_norm_gradient_equals_finite_differences(spark, small, frozen):
+    """The whole minibatch's statistics (of two graphs over several partitions), or the stored ones."""
+    nodes, edges, *_ = small
+    both = edges.unionByName(edges.selectExpr("'h' as graph_id", "src", "dst"))
+    packed = packed_graphs(nodes.unionByName(nodes.selectExpr("'h' as graph_id", "node_id", "transform(x, v -> 1 - v) as x", "2 * y as y")), both)
+    model, cfg, rng = Sage(3, 4, 2, norm="batch").init(3), TrainConfig(calibration_weight=0.3), np.random.default_rng(2)
+    loss, _, n, g, moments = step_sums(model, packed.repartition(2), cfg, True, 0, frozen=frozen)
+    again = step_sums(model, packed.repartition(1), cfg, True, 0, frozen=frozen)
+    assert n == 14 and again[0] == pytest.approx(loss) and (moments is None) == frozen
+    for k in g:
+        np.testing.assert_allclose(g[k], again[3][k], atol=1e-9)
+    from nodeloom.models.training import union_of
+
+    rows = packed.toPandas()
+
+    def plain() -> float:
+        """The same loss on all nodes at once."""
+        x, y, src, dst = union_of(rows)
+        m = None
+        if not frozen:
+            m = []
+            for k in range(2):
+                z = Tape(model, x, src, dst, moments=m, upto=k).z
+                m.append((z.mean(0), z.var(0)))
+        out = Tape(model, x, src, dst, moments=m).output
+        r = out - y
+        sums = np.array([r.size, r.sum(), y.sum(), (r * y).sum(), (r * r).sum(), (y * y).sum()])
+        return loss_and_slope(out, y, cfg, None)[0] / len(y) + 0.3 * penalty_and_slope(sums, "corr")[0]
+
+    assert plain() == pytest.approx(loss)
+    assert_gradient(model, g, plain, rng)
+
+
+@pytest.mark.parametrize("model", [Sage(3, 8, 1, norm="batch"), Gin(3, 8, 1)], ids=["batch", "gin"])
+def test_batch_norm_and_gin_train(small, model):
+    nodes, edges, *_ = small
+    fitted, metrics, history = train(model.init(0), (nodes, edges), (nodes, edges), TrainConfig(epochs=12, lr=0.05, patience=12))
+    assert metrics["val_mae"] < history[0]["val_mae"]
+    scored = fitted.transform(nodes, edges).selectExpr("avg(abs(yhat - y)) as e").first().e
+    assert scored == pytest.approx(metrics["val_mae"], abs=1e-6)
+    if isinstance(model, Sage):
+        assert not np.allclose(fitted.weights["l0.mean"], 0)
+
+
+@pytest.mark.parametrize("f,slope", [(lambda t: (t - 3) ** 2, lambda t: 2 * (t - 3)), (lambda t: np.cos(t), lambda t: -np.sin(t)), (lambda t: (t - 0.01) ** 4 - t * 1e-3, lambda t: 4 * (t - 0.01) ** 3 - 1e-3)])
+def test_strong_wolfe(f, slope):
+    for start in (1e-3, 0.5, 2.0):
+        at0 = 0.4 if f(0) == 1 else 0.0  # away from the top of the cosine
+        t, (loss, s) = strong_wolfe(lambda t: (f(at0 + t), slope(at0 + t)), f(at0), slope(at0), start)
+        assert loss <= f(at0) + 1e-4 * t * slope(at0) and abs(s) <= 0.9 * abs(slope(at0)) and t > 0
+
+
 @pytest.mark.parametrize("mode", ["corr", "cov"])
 def test_penalty_slope(mode):
     rng = np.random.default_rng(5)
@@ -124,10 +213,22 @@ def test_depth_scan(spark, small):
     assert all(r.rel_mean >= 0 and r.rel_sem == 0 and r.n_graphs == 1 for r in got)
 
 
+def test_depth_scan_pools_the_denominator(spark, small):
+    """Errors are relative to the marker means over training and validation nodes together."""
+    nodes, edges, x, y = small
+    val = nodes.selectExpr("'h' as graph_id", "node_id", "x", "y + 5 as y"), edges.selectExpr("'h' as graph_id", "src", "dst")
+    got = {(r.split, r.marker_id): r.rel_mean for r in depth_scan([], (nodes, edges), val, marker_dimension(spark, ["a", "b", "c"]), 4, TrainConfig(epochs=1), min_pos=1).collect()}
+    for m in range(3):
+        on = x[:, m] > 0.5
+        mu = np.concatenate([y[on], y[on] + 5]).mean()
+        for split, target in (("train", y[on]), ("val", y[on] + 5)):
+            assert got[split, m] == pytest.approx(np.mean((target - mu) ** 2) / (mu * mu + 1e-8))
+
+
 def test_lbfgs_and_sweep(small):
     nodes, edges, *_ = small
-    model, history = lbfgs(Sage(3, 6, 1, norm=None).init(0), (nodes, edges), steps=15)
-    assert history[-1]["train_loss"] < 0.2 * history[0]["train_loss"] and all(b["train_loss"] <= a["train_loss"] for a, b in zip(history, history[1:]))
+    model, history = lbfgs(Sage(3, 6, 1, norm=None).init(0), (nodes, edges), steps=5, inner=3)
+    assert history[-1]["train_loss"] < 0.2 * history[0]["train_loss"] and len(history) <= 6 and all(b["train_loss"] <= a["train_loss"] for a, b in zip(history, history[1:]))
     rows = epoch_sweep([1, 12], (nodes, edges), 3, 6, 1, TrainConfig(lr=0.05))
     assert [r["epochs"] for r in rows] == [1, 12] and rows[1]["mae"] < rows[0]["mae"]
 

@@ -39,6 +39,28 @@ def test_integrity(spark, triangle):
     assert none.num_edges == 0 and none.undirected_symmetry_ratio == 0.0
 
 
+def test_ablation_and_marker_alignment(triangle):
+    from pyspark.sql import functions as F
+
+    nodes, edges, _ = triangle
+
+    class Counted:
+        """yhat = number of in-edges and the first marker."""
+
+        def transform(self, nodes, edges):
+            return audit.degrees(nodes, edges).join(nodes, ["graph_id", "node_id"]).withColumn("yhat", F.col("deg") + F.get("x", F.lit(0)))
+
+    got = {r["case"]: (r.mae, r.mse) for r in audit.ablation(Counted(), nodes, edges).collect()}
+    y, x0, deg = np.array([1.0, 2, 3, 10]), np.array([1.0, 1, 0, 0]), np.array([2, 2, 2, 0])
+    moved = np.array([r.x[0] for r in audit.permuted_features(nodes).orderBy("node_id").collect()])
+    for case, p in (("normal", deg + x0), ("no_edges", x0), ("shuffled_x", deg + moved)):
+        assert got[case] == (pytest.approx(np.abs(p - y).mean()), pytest.approx(((p - y) ** 2).mean()))
+    assert sorted(moved) == sorted(x0) and audit.ablation(Counted(), nodes.where("false"), edges).count() == 0
+    g = nodes.groupBy("graph_id").count().withColumnRenamed("count", "n_nodes")
+    said = [audit.audit_graphs(g, nodes, edges, marker_names=names).first().marker_alignment_error for names in (None, ["a", "b"], ["a"])]
+    assert said[:2] == [None, None] and "1" in said[2] and "2" in said[2]
+
+
 def test_degrees_components_reach(triangle):
     nodes, edges, _ = triangle
     d = audit.degree_stats(nodes, edges).first()
@@ -134,12 +156,33 @@ def test_residualised_adds_up(spark):
 def test_quantiles_equal_numpy(spark, values, n):
     probs = [i / n for i in range(n + 1)]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
-    got = exact_quantiles(df, "v", probs, ["g"], chunks=4).first()
+    got = exact_quantiles(df, "v", probs, ["g"], chunks=4, group_rows=20).first()
     assert got.n == len(values)
     np.testing.assert_allclose(got.q, np.quantile(values, probs), rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(exact_quantiles(df, "v", probs).first().q, got.q)
 
 
+def test_quantiles_of_large_and_small_groups(spark):
+    """Both ways in one table, a null key in each."""
+    rng = np.random.default_rng(1)
+    data = {None: rng.normal(size=300), "a": rng.integers(0, 5, 200).astype(float), "b": rng.normal(size=7), "c": np.array([2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "g string, v double")
+    for rows in (0, 10, 250, 1000):
+        got = {r.g: (r.n, r.q) for r in exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.99, 1.0], ["g"], chunks=8, group_rows=rows).collect()}
+        assert set(got) == set(data)
+        for k, v in data.items():
+            assert got[k][0] == len(v)
+            np.testing.assert_allclose(got[k][1], np.quantile(v, [0.0, 0.1, 0.5, 0.99, 1.0]), rtol=1e-12)
+
+
+def test_small_side_counts_bytes(spark):
+    from nodeloom.storage import small_side
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    rows = spark.range(50).selectExpr("id", "array_repeat(1D, 100) AS a", "repeat('x', 10) AS s")
+    assert hinted(small_side(rows)) and not hinted(small_side(rows, 30_000)) and hinted(small_side(rows.where("false"), 1))
+
+
 def test_quantiles_of_nulls_and_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 5.0)], "g string, v double")
     got = {r.g: r.q for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
