@@ -822,7 +822,8 @@ def _event_sets(spark, d):
     nodes, edges = _graph(spark, d)
     split = checkpointed(prep.split_graphs(nodes.select("graph_id")))
     scaled = prep.standardize(nodes, prep.target_scaling(nodes.join(split.where("split = 'train'"), "graph_id", "left_semi")))
-    part = lambda name: tuple(t.join(split.where(F.col("split") == name), "graph_id", "left_semi") for t in (scaled, edges))
+    # Every layer and epoch reads them.
+    part = lambda name: tuple(checkpointed(t.join(split.where(F.col("split") == name), "graph_id", "left_semi")) for t in (scaled, edges))
     return part("train"), part("val")
 
 
