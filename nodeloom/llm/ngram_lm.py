@@ -432,7 +432,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row.
 
     Base: sum over tokens of log10((c + 1) / (N + V + 1)) with exact counts.  Repeated rows
-    (equal key and text) are kept.
+    (equal key and text) are kept; rows are told apart by a 64-bit hash of key and text.
     """
     n, v, share, shards = model.n, model.v, model.share, model.shards
     total = n + v + 1

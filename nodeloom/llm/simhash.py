@@ -237,7 +237,7 @@ def _linked(budget: int):
     return links
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 65_536) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 1 << 19) -> DataFrame:
     """``a``, ``b``: a set of links that connects what is within ``budget`` bits (signed longs)."""
     settled, levels = trie_cut(fps.select("fp").where("fp is not null").distinct(), leaf_rows)
     cut = checkpointed(settled)
@@ -249,7 +249,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 65_536)
     return members.repartition(*names).sortWithinPartitions(*names, "side").mapInPandas(_linked(budget), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 65_536, hot: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, leaf_rows: int = 1 << 19, hot: int = 1000) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
     ``component_id`` is the least key reachable by links, the row's own included (nulls
