@@ -9,9 +9,8 @@ Batch norm uses the whole minibatch's statistics, whatever the partitions: a job
 on the way forward, another what its derivative needs on the way back.  The calibration penalty is defined on the whole
 minibatch too; a job sums its moments.
 
-A training graph is one row and one task: at 6 markers, hidden width 128 and three layers a task holds about 10 KB a node, so a
-graph of 100,000 nodes takes 1 GB.  Larger graphs are scored by ``transform`` (joins, no row limit) and cut by
-``operators.graphs.ego_dataset`` for training.
+Packed, a training graph is one row and one task: at 6 markers, hidden width 128 and three layers a task holds about 10 KB a node, so a
+graph of 100,000 nodes takes 1 GB.  For larger graphs ``train(.., by="joins")`` takes the same steps by joins over nodes and edges.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.models.message_passing import Gin, Sage
+from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
 from nodeloom.operators.markers import marker_baseline, relative_mse_across_graphs, residualize
 from nodeloom.sources.builders import with_minibatch
 from nodeloom.storage import checkpointed
@@ -69,6 +68,74 @@ def trainable(model: Sage | Gin) -> list[str]:
     return [k for k in model.weights if not k.endswith((".mean", ".var"))]
 
 
+def sage_sums(model: Sage, k: int, h: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Layer k before its normalisation."""
+    w = model.weights
+    return near @ w[f"l{k}.near"] + h @ w[f"l{k}.own"] + w[f"l{k}.bias"]
+
+
+def sage_out(model: Sage, k: int, h: np.ndarray, z: np.ndarray, moments: tuple | None) -> tuple[np.ndarray, tuple]:
+    """(layer k's output, what its derivative needs); ``moments``: the minibatch's mean and variance, for batch norm."""
+    w, n = model.weights, z
+    unit = spread = None
+    if model.norm:
+        mean, var = z.mean(1, keepdims=True), z.var(1, keepdims=True)
+        if model.norm == "batch":
+            mean, var = moments if moments is not None else (w[f"l{k}.mean"], w[f"l{k}.var"])
+        spread = np.sqrt(var + EPS)
+        unit = (z - mean) / spread
+        n = unit * w[f"l{k}.gain"] + w[f"l{k}.shift"]
+    out = np.maximum(n, 0)
+    if model.residual:
+        out = out + (h @ w["project"] if k == 0 and "project" in w else h)
+    return out, (unit, spread, n > 0)
+
+
+def sage_unit_slope(model: Sage, k: int, kept: tuple, d: np.ndarray) -> np.ndarray:
+    """du: the slope of the normalised sums."""
+    dz = d * kept[2]
+    return dz * model.weights[f"l{k}.gain"] if model.norm else dz
+
+
+def sage_back(model: Sage, k: int, h: np.ndarray, near: np.ndarray, kept: tuple, d: np.ndarray, means: tuple | None) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(gradients of layer k's weights, slope of h, slope of near); ``means``: the minibatch's mean of du and du * unit, for batch norm."""
+    w, g, (unit, spread, on) = model.weights, {}, kept
+    dz = du = sage_unit_slope(model, k, kept, d)
+    if model.norm:
+        g[f"l{k}.gain"], g[f"l{k}.shift"] = (d * on * unit).sum(0), (d * on).sum(0)
+        if model.norm == "layer":
+            du = du - du.mean(1, keepdims=True) - unit * (du * unit).mean(1, keepdims=True)
+        elif means is not None:
+            du = du - means[0] - unit * means[1]
+        dz = du / spread
+    g[f"l{k}.near"], g[f"l{k}.own"], g[f"l{k}.bias"] = near.T @ dz, h.T @ dz, dz.sum(0)
+    back = dz @ w[f"l{k}.own"].T
+    if model.residual:
+        if k == 0 and "project" in w:
+            g["project"] = h.T @ d
+            back = back + d @ w["project"].T
+        else:
+            back = back + d
+    return g, back, dz @ w[f"l{k}.near"].T
+
+
+def gin_out(model: Gin, k: int, h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """(layer k's output, what its derivative needs); ``near`` is the sum over neighbours."""
+    w, mixed = model.weights, (1 + model.eps) * h + near
+    inner = np.maximum(mixed @ w[f"l{k}.a"] + w[f"l{k}.a.bias"], 0)
+    out = np.maximum(inner @ w[f"l{k}.b"] + w[f"l{k}.b.bias"], 0)
+    return out, (mixed, inner, out > 0)
+
+
+def gin_back(model: Gin, k: int, kept: tuple, d: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(gradients of layer k's weights, slope of h, slope of near)."""
+    w, (mixed, inner, on) = model.weights, kept
+    d = d * on
+    di = (d @ w[f"l{k}.b"].T) * (inner > 0)
+    near = di @ w[f"l{k}.a"].T
+    return {f"l{k}.b": inner.T @ d, f"l{k}.b.bias": d.sum(0), f"l{k}.a": mixed.T @ di, f"l{k}.a.bias": di.sum(0)}, (1 + model.eps) * near, near
+
+
 class Tape:
     """SAGE's forward pass over a union of packed graphs, and the gradient of its outputs.
 
@@ -84,24 +151,13 @@ class Tape:
         w, h, self.steps = model.weights, x, []
         for k in range(model.layers):
             near = self.mean(h)
-            z = near @ w[f"l{k}.near"] + h @ w[f"l{k}.own"] + w[f"l{k}.bias"]
+            z = sage_sums(model, k, h, near)
             if k == upto:
                 self.z = z
                 return
-            unit = spread = None
-            n = z
-            if model.norm:
-                mean, var = z.mean(1, keepdims=True), z.var(1, keepdims=True)
-                if model.norm == "batch":
-                    mean, var = moments[k] if moments is not None else (w[f"l{k}.mean"], w[f"l{k}.var"])
-                spread = np.sqrt(var + EPS)
-                unit = (z - mean) / spread
-                n = unit * w[f"l{k}.gain"] + w[f"l{k}.shift"]
-            out = np.maximum(n, 0)
-            if model.residual:
-                out = out + (h @ w["project"] if k == 0 and "project" in w else h)
+            out, kept = sage_out(model, k, h, z, moments[k] if moments is not None else None)
             keep = (rng.random(out.shape) >= dropout) / (1 - dropout) if dropout else None
-            self.steps.append((h, near, unit, spread, n > 0, keep))
+            self.steps.append((h, near, kept, keep))
             h = out if keep is None else out * keep
         self.last = h
         self.output = h @ w["head"] + w["head.bias"]
@@ -113,34 +169,19 @@ class Tape:
 
     def gradient(self, d_out: np.ndarray, means: dict | None = None, upto: int | None = None) -> dict[str, np.ndarray] | np.ndarray:
         """Of each trainable weight.  ``means``: the minibatch's mean of du and du * unit by layer, for batch norm; with ``upto``, that layer's sums of them."""
-        w, g = self.model.weights, {k: np.zeros_like(self.model.weights[k]) for k in trainable(self.model)}
-        g["head"], g["head.bias"] = self.last.T @ d_out, d_out.sum(0)
+        w = self.model.weights
+        g = {"head": self.last.T @ d_out, "head.bias": d_out.sum(0)}
         d = d_out @ w["head"].T
         for k in reversed(range(self.model.layers)):
-            h, near, unit, spread, on, keep = self.steps[k]
+            h, near, kept, keep = self.steps[k]
             if keep is not None:
                 d = d * keep
-            dz = d * on
-            if self.model.norm:
-                g[f"l{k}.gain"], g[f"l{k}.shift"] = (dz * unit).sum(0), dz.sum(0)
-                du = dz * w[f"l{k}.gain"]
-                if k == upto:
-                    return np.concatenate([du.sum(0), (du * unit).sum(0)])
-                if self.model.norm == "layer":
-                    du = du - du.mean(1, keepdims=True) - unit * (du * unit).mean(1, keepdims=True)
-                elif self.moments is not None:
-                    du = du - means[k][0] - unit * means[k][1]
-                dz = du / spread
-            g[f"l{k}.near"], g[f"l{k}.own"], g[f"l{k}.bias"] = near.T @ dz, h.T @ dz, dz.sum(0)
-            back = dz @ w[f"l{k}.own"].T
-            sent = (dz @ w[f"l{k}.near"].T) / self.degree
-            np.add.at(back, self.src, sent[self.dst])
-            if self.model.residual:
-                if k == 0 and "project" in w:
-                    g["project"] += h.T @ d
-                    back += d @ w["project"].T
-                else:
-                    back += d
+            if k == upto:
+                du = sage_unit_slope(self.model, k, kept, d)
+                return np.concatenate([du.sum(0), (du * kept[0]).sum(0)])
+            of_layer, back, sent = sage_back(self.model, k, h, near, kept, d, means[k] if self.moments is not None else None)
+            g |= of_layer
+            np.add.at(back, self.src, (sent / self.degree)[self.dst])
             d = back
         return g
 
@@ -152,12 +193,11 @@ class GinTape:
         self.model, self.src, self.dst = model, src, dst
         w, h, self.steps = model.weights, x, []
         for k in range(model.layers):
-            mixed = (1 + model.eps) * h
-            np.add.at(mixed, dst, h[src])
-            inner = np.maximum(mixed @ w[f"l{k}.a"] + w[f"l{k}.a.bias"], 0)
-            out = np.maximum(inner @ w[f"l{k}.b"] + w[f"l{k}.b.bias"], 0)
+            near = np.zeros_like(h)
+            np.add.at(near, dst, h[src])
+            out, kept = gin_out(model, k, h, near)
             keep = (rng.random(out.shape) >= dropout) / (1 - dropout) if dropout else None
-            self.steps.append((mixed, inner, out > 0, keep))
+            self.steps.append((kept, keep))
             h = out if keep is None else out * keep
         self.last = h
         self.output = h @ w["head"] + w["head.bias"]
@@ -167,14 +207,11 @@ class GinTape:
         g = {"head": self.last.T @ d_out, "head.bias": d_out.sum(0)}
         d = d_out @ w["head"].T
         for k in reversed(range(self.model.layers)):
-            mixed, inner, on, keep = self.steps[k]
-            d = (d if keep is None else d * keep) * on
-            g[f"l{k}.b"], g[f"l{k}.b.bias"] = inner.T @ d, d.sum(0)
-            d = (d @ w[f"l{k}.b"].T) * (inner > 0)
-            g[f"l{k}.a"], g[f"l{k}.a.bias"] = mixed.T @ d, d.sum(0)
-            sent = d @ w[f"l{k}.a"].T
-            d = (1 + self.model.eps) * sent
-            np.add.at(d, self.src, sent[self.dst])
+            kept, keep = self.steps[k]
+            of_layer, back, sent = gin_back(self.model, k, kept, d if keep is None else d * keep)
+            g |= of_layer
+            np.add.at(back, self.src, sent[self.dst])
+            d = back
         return g
 
 
@@ -313,6 +350,136 @@ def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: boo
     return v[0] / n + cfg.calibration_weight * penalty, v[1] / n, int(v[2]), gradient, moments
 
 
+def _arrays(batch: pd.DataFrame, *names: str) -> list[np.ndarray]:
+    return [np.stack(batch[n].to_numpy()) for n in names]
+
+
+def _array_udf(apply: Callable[..., np.ndarray]):
+    """An Arrow-batched function of array<double> columns."""
+
+    @F.pandas_udf("array<double>")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series(list(apply(*(np.stack(c.to_numpy()) for c in columns))))
+
+    return run
+
+
+def joined_sums(model: Sage | Gin, nodes: DataFrame, edges: DataFrame, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False) -> tuple:
+    """What ``step_sums`` gives, by joins over nodes and edges in place of a row for each graph.
+
+    A layer's neighbour sums are a join and an aggregate by (graph, node), and slopes go back along the edges the same way; so a graph
+    may have any number of nodes.  Each layer is written to the shared folder on the way forward and on the way back.
+    Dropout isn't supported here.
+    """
+    if cfg.dropout and learn and not frozen:
+        raise ValueError("training by joins has no dropout")
+    is_gin, names = isinstance(model, Gin), trainable(model)
+    batched = learn and not frozen and getattr(model, "norm", None) == "batch"
+    moments: list | None = [] if batched else None
+    y = F.col("y") if dict(nodes.dtypes)["y"].startswith("array") else F.array(F.col("y").cast("double"))
+    cast = lambda c: F.transform(c, lambda v: v.cast("double"))
+    into = edges.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("_deg"))
+    rows = nodes.where("graph_id is not null").select("graph_id", "node_id", cast("x").alias("_h"), cast(y).alias("_y"))
+    rows = rows.join(into, ["graph_id", "node_id"], "left").withColumn("_deg", F.array(F.greatest(F.coalesce("_deg", F.lit(1)), F.lit(1)).cast("double")))
+
+    def output(k: int, h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, tuple]:
+        if is_gin:
+            return gin_out(model, k, h, near)
+        return sage_out(model, k, h, sage_sums(model, k, h, near), moments[k] if batched else None)
+
+    layers, width = [], model.n_markers
+    for k in range(model.layers):
+        met = checkpointed(neighbor_aggregate(rows, edges, "_h", width, "sum" if is_gin else "mean", "_near"))
+        layers.append(met)
+        if batched:
+
+            def of_layer(batch: pd.DataFrame, k=k) -> np.ndarray:
+                z = sage_sums(model, k, *_arrays(batch, "_h", "_near"))
+                return np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
+
+            v = _summed(met, of_layer, 1 + 2 * model.hidden)
+            mean, square = np.split(v[1:] / max(v[0], 1), 2)
+            moments.append((mean, np.maximum(square - mean * mean, 0)))
+        rows, width = met.withColumn("_h", _array_udf(lambda h, near, k=k: output(k, h, near)[0])("_h", "_near")).drop("_near"), model.hidden
+    last = checkpointed(rows)
+
+    def scored(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, y = _arrays(batch, "_h", "_y")
+        return h, h @ model.weights["head"] + model.weights["head.bias"], y
+
+    penalty, slope, n_rows = 0.0, None, 0.0
+    if cfg.calibration_weight and pos_weight is None:
+
+        def of_penalty(batch: pd.DataFrame) -> np.ndarray:
+            _, out, y = scored(batch)
+            r = out - y
+            return np.array([r.size, r.sum(), y.sum(), (r * y).sum(), (r * r).sum(), (y * y).sum()])
+
+        m = _summed(last, of_penalty, 6)
+        if n_rows := m[0]:
+            penalty, slope = penalty_and_slope(m, cfg.calibration_mode)
+
+    def sloped(out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, d = loss_and_slope(out, y, cfg, pos_weight)
+        if slope is not None:
+            a, b, c = slope
+            d = d + n_rows * cfg.calibration_weight * (a * (out - y) + b * y + c)
+        return loss, d
+
+    def of_head(batch: pd.DataFrame) -> np.ndarray:
+        h, out, y = scored(batch)
+        loss, d = sloped(out, y)
+        error = np.abs(out - y).mean(1).sum() if pos_weight is None else ((out >= 0) != (y > 0.5)).mean(1).sum()
+        return np.concatenate([[loss, error, len(y)], (h.T @ d).ravel(), d.sum(0)])
+
+    head = model.weights["head"]
+    v = _summed(last, of_head, 3 + head.size + head.shape[1])
+    n = max(int(v[2]), 1)
+    result = v[0] / n + cfg.calibration_weight * penalty, v[1] / n, int(v[2])
+    if not learn:
+        return *result, None, None
+    gradient = {"head": v[3 : 3 + head.size].reshape(head.shape), "head.bias": v[3 + head.size :]}
+    d_head = _array_udf(lambda h, y: sloped(h @ head + model.weights["head.bias"], y)[1] @ head.T)
+    back = last.select("graph_id", "node_id", d_head("_h", "_y").alias("_d"))
+    reverse = edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    for k in reversed(range(model.layers)):
+        met = checkpointed(layers[k].join(back, ["graph_id", "node_id"]))
+        means = None
+        if batched:
+
+            def of_means(batch: pd.DataFrame, k=k) -> np.ndarray:
+                h, near, d = _arrays(batch, "_h", "_near", "_d")
+                kept = output(k, h, near)[1]
+                du = sage_unit_slope(model, k, kept, d)
+                return np.concatenate([[len(d)], du.sum(0), (du * kept[0]).sum(0)])
+
+            v = _summed(met, of_means, 1 + 2 * model.hidden)
+            means = tuple(np.split(v[1:] / max(v[0], 1), 2))
+
+        def through(h: np.ndarray, near: np.ndarray, d: np.ndarray, k=k, means=means) -> tuple[dict, np.ndarray, np.ndarray]:
+            kept = output(k, h, near)[1]
+            return gin_back(model, k, kept, d) if is_gin else sage_back(model, k, h, near, kept, d, means)
+
+        mine = [name for name in names if name.startswith(f"l{k}.") or (k == 0 and name == "project")]
+
+        def of_weights(batch: pd.DataFrame, through=through, mine=mine) -> np.ndarray:
+            g = through(*_arrays(batch, "_h", "_near", "_d"))[0]
+            return np.concatenate([g[name].ravel() for name in mine])
+
+        v, at = _summed(met, of_weights, sum(model.weights[name].size for name in mine)), 0
+        for name in mine:
+            size = model.weights[name].size
+            gradient[name] = v[at : at + size].reshape(model.weights[name].shape)
+            at += size
+        if k:
+            own = _array_udf(lambda h, near, d, through=through: through(h, near, d)[1])
+            sent = _array_udf(lambda h, near, d, deg, through=through: through(h, near, d)[2] / (1.0 if is_gin else deg))
+            moved = met.select("graph_id", "node_id", own("_h", "_near", "_d").alias("_own"), sent("_h", "_near", "_d", "_deg").alias("_sent"))
+            got = neighbor_aggregate(checkpointed(moved), reverse, "_sent", model.hidden, "sum", "_got")
+            back = got.select("graph_id", "node_id", F.zip_with("_own", "_got", lambda a, b: a + b).alias("_d"))
+    return *result, {name: gradient[name] / n for name in names}, moments
+
+
 class AdamW:
     """Decoupled weight decay, moments 0.9 and 0.999, gradients clipped to a global norm."""
 
@@ -339,23 +506,37 @@ def _remember(model: Sage | Gin, moments: list | None, n: int) -> None:
 
 
 def train(
-    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], cfg: TrainConfig = TrainConfig(), pos_weight: np.ndarray | None = None
+    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], cfg: TrainConfig = TrainConfig(), pos_weight: np.ndarray | None = None, by: str = "graph"
 ) -> tuple[Sage | Gin, dict, list[dict]]:
-    """(model with the best validation state, {'val_mae'}, history rows); sets are (nodes, edges)."""
-    learn, val = checkpointed(packed_graphs(*train_set)), checkpointed(packed_graphs(*val_set))
-    if learn.isEmpty():
+    """(model with the best validation state, {'val_mae'}, history rows); sets are (nodes, edges).
+
+    ``by`` 'graph' packs each graph into a row (few jobs a step; a graph must fit in a task), 'joins' works on graphs of any size.
+    """
+    if by == "joins":
+        learn, val = (tuple(map(checkpointed, s)) for s in (train_set, val_set))
+    else:
+        learn, val = checkpointed(packed_graphs(*train_set)), checkpointed(packed_graphs(*val_set))
+
+    def sums_of(data, batch: int | None, epoch: int) -> tuple:
+        learning = batch is not None
+        nodes = with_minibatch(data[0] if by == "joins" else data, cfg.batches, epoch, cfg.seed).where(F.col("batch") == batch) if learning else data
+        if by == "joins":
+            return joined_sums(model, nodes if learning else data[0], data[1], cfg, learning, epoch, pos_weight)
+        return step_sums(model, nodes, cfg, learning, epoch, pos_weight)
+
+    if (learn[0] if by == "joins" else learn).isEmpty():
         raise ValueError("the training set is empty")
     adam, history, waited = AdamW(cfg), [], 0
     best, best_error = deepcopy(model.weights), float("inf")
     for epoch in range(cfg.epochs):
-        dealt, sums = with_minibatch(learn, cfg.batches, epoch, cfg.seed), np.zeros(3)
+        sums = np.zeros(3)
         for b in range(cfg.batches):
-            loss, error, n, gradient, moments = step_sums(model, dealt.where(F.col("batch") == b), cfg, True, epoch, pos_weight)
+            loss, error, n, gradient, moments = sums_of(learn, b, epoch)
             if n:
                 adam.step(model.weights, gradient)
                 _remember(model, moments, n)
                 sums += np.array([loss * n, error * n, n])
-        val_loss, val_error = step_sums(model, val, cfg, False, epoch, pos_weight)[:2]
+        val_loss, val_error = sums_of(val, None, epoch)[:2]
         history.append({"epoch": epoch, "train_loss": sums[0] / max(sums[2], 1), "train_mae": sums[1] / max(sums[2], 1), "val_loss": val_loss, "val_mae": val_error})
         if val_error < best_error - 1e-7:
             best, best_error, waited = deepcopy(model.weights), val_error, 0

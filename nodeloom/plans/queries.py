@@ -834,6 +834,13 @@ def training_history(spark, d):
     return _history(spark, history)
 
 
+@query()
+def training_history_joins(spark, d):
+    """The first epoch of the same, by joins in place of packed graphs."""
+    _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=1), by="joins")
+    return _history(spark, history)
+
+
 @query()
 def training_history_batch_norm(spark, d):
     _, _, history = train(Sage(6, 8, 2, norm="batch").init(0), *_event_sets(spark, d), TrainConfig(epochs=2, dropout=0.2, calibration_weight=0.1))

@@ -28,3 +28,8 @@ def test_entry_is_not_empty(spark):
 def test_every_node_is_an_ego_centre(spark, name):
     nodes = fixtures.event_nodes(spark, SF).select("graph_id", "node_id").distinct().count()
     assert q.QUERIES[name](spark, SF).where("center = node_id and hop = 0").count() == nodes
+
+
+def test_training_by_joins_equals_packed_training(spark):
+    a, b = (q.QUERIES[name](spark, SF).where("epoch = 0").first() for name in ("training_history", "training_history_joins"))
+    assert a.asDict() == pytest.approx(b.asDict(), abs=2e-6)
