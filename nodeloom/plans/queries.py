@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from nodeloom.models.training import TrainConfig, depth_scan, epoch_sweep, lbfgs
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
-from nodeloom.sources import npz
-from nodeloom.storage import checkpointed
+from nodeloom.sources import npz, sidecars
+from nodeloom.sources.files import write_files
+from nodeloom.storage import checkpointed, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -749,6 +751,54 @@ def npz_edges(spark, d):
     return npz.tables_of(npz.decode_contents(npz.pack(packed_graphs(*_graph(spark, d)))))[2]
 
 
+# --- files ----------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{EDGED} SELECT graph_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT graph_id, count(*) AS n_nodes FROM nodes GROUP BY graph_id HAVING count(*) > 1) LEFT JOIN (SELECT graph_id, count(*) AS n_edges FROM pairs GROUP BY graph_id) USING (graph_id)")
+def npz_folder(spark, d):
+    """A folder of NPZ files, one a graph, beside a file that is none."""
+    path = _folder(spark, "npz")
+    packed = npz.pack(packed_graphs(*_graph(spark, d))).select(F.concat("graph_id", F.lit(".npz")).alias("name"), "content")
+    write_files(packed.unionByName(spark.sql("SELECT 'broken.npz' AS name, binary('no archive') AS content")), path)
+    found = npz.read_npz(spark, path)
+    sizes, _, edges, skipped = npz.tables_of(found)
+    assert skipped.count() == 1
+    return sizes.select("graph_id", "n_nodes").join(edges.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id", "left").fillna(0, subset=["n_edges"])
+
+
+@query(f"WITH {NODES}, g AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY graph_id) SELECT 'organoid_' || graph_id AS graph_id, CASE WHEN n % 2 = 0 THEN 'u' || graph_id ELSE graph_id END AS organoid_id, round(n / 50.0::DOUBLE - 2.3, 6) + 0.0 AS complexity, n * 2.0::DOUBLE AS total_volume, 2::BIGINT AS n_keys FROM g")
+def sidecar_metadata(spark, d):
+    """Metadata files, one a graph: numbers, lists of one number, and text that isn't kept."""
+    path, g, n = _folder(spark, "meta"), fx.event_graphs(fx.event_nodes(spark, d)), F.col("n_nodes")
+    raw = F.to_json(F.struct((n / 50 - 2.3).alias("complexity"), F.array(n * 2).alias("total_volume"), F.lit("text").alias("note"), F.when(n % 2 == 0, F.concat(F.lit("u"), "graph_id")).alias("organoid_id")))
+    write_files(g.select(F.concat(F.lit("organoid_"), "graph_id", F.lit("_aux.json")).alias("name"), raw.alias("content")), path)
+    get = lambda k: F.try_element_at("meta", F.lit(k)).alias(k)
+    return sidecars.read_metadata(spark, path).select("graph_id", "organoid_id", get("complexity"), get("total_volume"), F.size("meta").cast("long").alias("n_keys"))
+
+
+@query("SELECT * FROM (VALUES (0, 'click'), (1, 'purchase'), (2, 'signup'), (3, 'view'), (4, 'k50'), (5, 'night')) t(marker_id, name)")
+def sidecar_marker_names(spark, d):
+    """The first of two files of marker names."""
+    path, names = _folder(spark, "names"), ", ".join(f'"{n}"' for n in fx.MARKER_NAMES)
+    write_files(spark.createDataFrame([("a_markers.json", f"[{names}]"), ("b_markers.json", '["other"]')], "name string, content string"), path)
+    return sidecars.read_marker_names(spark, path)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS epoch, n_nationkey::DOUBLE AS train_loss, n_nationkey / 4.0::DOUBLE AS train_mae, n_regionkey::DOUBLE AS val_loss, n_regionkey / 8.0::DOUBLE AS val_mae FROM nation")
+def history_file(spark, d):
+    """Training curves from a JSON object of four arrays, through the Parquet history and back."""
+    path, of = _folder(spark, "history"), lambda c, by: F.transform("r", lambda e: e[c] / by)
+    one = fx.table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_regionkey"))).alias("r"))
+    curves = {"train_loss": of("n_nationkey", 1), "train_mae": of("n_nationkey", 4), "val_loss": of("n_regionkey", 1), "val_mae": of("n_regionkey", 8)}
+    write_files(one.select(F.lit("history.json").alias("name"), F.to_json(F.struct(*[v.alias(k) for k, v in curves.items()])).alias("content")), path)
+    sidecars.write_history(sidecars.read_history(spark, f"{path}/history.json"), f"{path}-rows")
+    return spark.read.parquet(f"{path}-rows")
+
+
 # --- models (scores by SQL with the weights in it; tests hold gradients against finite differences) --
 
 RING = """WITH n0 AS (SELECT CAST(label AS VARCHAR) AS graph_id, vec_id AS node_id, list_transform(embedding, lambda v: CAST(v > 0 AS DOUBLE)) AS h FROM embeddings),
