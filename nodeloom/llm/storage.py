@@ -18,7 +18,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the rows of an Arrow batch, so that a batch of very long texts stays small."""
+    """Lower the rows of an Arrow batch, so that a batch of very long texts stays small.
+
+    A setting of the session that stays, as queries run after they are made; a lower one is left as it is.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
