@@ -1,7 +1,7 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs per shard.
 
-Distinct vectors of one label (and length) are hashed into shards of about ``capacity`` vectors, each with
-its own graph.  Graphs are written once to the shared folder, and a task for each pair of shards of a
+Distinct vectors of one label (and length) are hashed into shards of about ``capacity`` vectors (fewer, if these have
+more than ``most_values`` components), each with its own graph.  Graphs are written once to the shared folder, and a task for each pair of shards of a
 label opens both: the vectors of either are searched in the other's graph, so every vector queries every
 shard, and a link found from one end counts for both.  No vector is shuffled more than once.
 
@@ -369,6 +369,7 @@ def near_duplicates(
     label: str = "label",
     threshold: float = 0.93,
     capacity: int = 32_768,
+    most_values: int = 1 << 24,
     least_shards: int = 4,
     beam: int = 32,
     audited: int = 64,
@@ -393,7 +394,9 @@ def near_duplicates(
     #: Vectors of one kin (label and length) may link.
     distinct = checkpointed(distinct.withColumn("kin", F.xxhash64("label", F.size("embedding"))))
     few = F.least(F.lit(least_shards), F.ceil(F.col("count") / audited))
-    sizes = distinct.groupBy("kin").count().select("kin", F.greatest(few, F.ceil(F.col("count") / capacity)).cast("int").alias("shards"))
+    sizes = distinct.groupBy("kin").agg(F.count("*").alias("count"), F.first(F.size("embedding")).alias("dim"))
+    full = F.greatest(few, F.ceil(F.col("count") / capacity), F.ceil(F.col("count") * F.col("dim") / most_values))
+    sizes = sizes.select("kin", full.cast("int").alias("shards"))
     placed = distinct.join(sizes, "kin").select("kin", "rep", "hash", "copies", "embedding", F.pmod(F.xxhash64("hash", "rep"), "shards").cast("int").alias("shard"))
     spark = vectors.sparkSession
     folder, kind = fresh_path(spark, "hnsw"), placed.schema["rep"].dataType.simpleString()

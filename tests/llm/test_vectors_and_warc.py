@@ -121,12 +121,12 @@ def test_links_count_for_both_ends(own):
     assert (parent == label).all()
 
 
-@pytest.mark.parametrize("least_shards,capacity", [(1, 100_000), (4, 150)])
-def test_hnsw_recall(spark, least_shards, capacity):
+@pytest.mark.parametrize("least_shards,capacity,most_values", [(1, 100_000, 1 << 24), (4, 150, 1 << 24), (1, 100_000, 16 * 100)])
+def test_hnsw_recall(spark, least_shards, capacity, most_values):
     x = clustered(900)
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df, least_shards=least_shards, capacity=capacity, task_vectors=200).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df, least_shards=least_shards, capacity=capacity, most_values=most_values, task_vectors=200).collect()}
     want = brute([(i, [float(c) for c in v], la) for i, v, la in rows])
     links = sum(n for n, _ in want.values())
     assert sum(n for n, _ in got.values()) <= links and sum(n for n, _ in got.values()) >= 0.999 * links
