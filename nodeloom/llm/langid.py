@@ -110,7 +110,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Centroids from rows whose ``lang`` and ``key`` are not null.
 
     ``per_lang`` bounds the sample of each language (the first keys in the order of their hash) and ``max_langs`` the
-    languages (the most frequent; ties by name).  Texts without letters are passed over.
+    languages (the most frequent; ties by name).  Rows that repeat a key and language count once (with the least of their
+    texts).  Texts without letters are passed over.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.col(lang) != "und"))
     if allowed is not None:
@@ -118,10 +119,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_at", F.xxhash64("_key"))
     # Of a language's hash range so much that about 4 * per_lang rows remain: what is ranked stays small at any size.
     sizes = checkpointed(keys.groupBy("_lang").agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "_lang").limit(max_langs))
-    few = keys.join(F.broadcast(sizes), "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size"))
+    few = keys.join(F.broadcast(sizes), "_lang").where(F.col("_at") / 2.0**64 + 0.5 <= 4.0 * per_lang / F.col("_size")).select("_key", "_lang", "_at").distinct()
     first = Window.partitionBy("_lang").orderBy("_at", "_key")
     sample = few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("_key", "_lang")
     texts = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_l"), F.col(text).alias("_text")).join(small_side(checkpointed(sample)), "_key").where("_l = _lang")
+    texts = texts.groupBy("_key", "_lang").agg(F.min("_text").alias("_text"))  # a key that many rows share counts once
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,7 +61,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """(coordinates, weights) that are not zero.
 
     ``allowed`` is a condition on ``labels``.  Rows with a null key or a label other than 0 and
-    1 are not learned from; a key labelled more than once counts once (its largest label).
+    1 are not learned from; a key labelled more than once counts once (its largest label), and
+    so does a key that several rows share (the least of their texts).
     ``max_rows`` bounds the sample: the first keys in the order of their hash.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
@@ -72,6 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = 2.0 * max_rows / max(known.count(), 1)
     sample = rows.where(F.col("_at") / 2.0**64 + 0.5 <= share).orderBy("_at", "_key").limit(max_rows).select("_key", "_label")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    texts = texts.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))  # a key that many rows share counts once
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

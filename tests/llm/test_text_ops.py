@@ -352,6 +352,19 @@ def test_centroids_equal_a_plain_computation(spark):
         assert r.score == pytest.approx(min(1, best[0]), abs=1e-5) and r.lang_pred == best[1] == r.lang
 
 
+def test_a_hot_key_is_learned_from_once(spark):
+    """A third of all rows share one doc_id: the sample stays a sample, and the models are those of distinct rows."""
+    from pyspark.sql import functions as F
+
+    base = spark.createDataFrame([(i, f"words of text number {i} stand here", "en" if i % 2 else "de") for i in range(40)], "doc_id bigint, text string, lang string")
+    hot = base.unionByName(spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("words of text number 7 stand here").alias("text"), F.lit("en").alias("lang")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    a, b = toxicity.train(base, labels), toxicity.train(hot, labels)
+    assert a[0].tolist() == b[0].tolist() and np.allclose(a[1], b[1])
+    a, b = langid.train(base), langid.train(hot)
+    assert a.langs == b.langs and np.allclose(a.centroids, b.centroids) and a.limits == pytest.approx(b.limits)
+
+
 def test_language_bounds(spark):
     rows = [(i, "some words of a text", f"dirty{i}") for i in range(40)] + [(100 + i, "some words of a text", "en") for i in range(5)]
     model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_langs=3)
