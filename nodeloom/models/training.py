@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.functions.columns import sigmoid
 from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
 from nodeloom.operators.markers import marker_baseline, relative_mse_across_graphs, residualize
 from nodeloom.sources.builders import with_minibatch
@@ -549,7 +550,7 @@ def train(
 def predict_markers(model: Sage, nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``nodes`` with ``prob`` (per output) and ``pred`` (prob >= threshold)."""
     scored = model.transform(nodes, edges)
-    prob = F.transform("yhat", lambda z: 1 / (1 + F.exp(-z)))
+    prob = F.transform("yhat", sigmoid)
     return scored.withColumn("prob", prob).withColumn("pred", F.transform("prob", lambda p: (p >= threshold).cast("int")))
 
 
