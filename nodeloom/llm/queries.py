@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import bytebpe, hnsw, langid, ngram_lm, sharding, simhash, tokencount, toxicity, warc
+from nodeloom.llm import bytebpe, hnsw, infill, langid, ngram_lm, runs, sharding, simhash, tokencount, toxicity, urlfilter, warc
 from nodeloom.llm.decontam import benchmark_matches
 from nodeloom.llm.storage import bounded_batches, held_out
 
@@ -70,6 +70,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES).drop("url")
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in the texts whose crc32 h of the doc_id ends in 0, the words from a on repeat the p words there.
+
+    Of n words, a = g % n and p = 1 + floor((n - a) / (3 + g % 8)), with g = floor(h / 10).  A null doc_id has no h.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    origin = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", origin(i).cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.periodic_runs(planted_repeats(table(spark, sf_dir, "documents")))
+    denser = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    rows = rows.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), denser))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("told", infill.digests(F.col("output"), F.col("form"))).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "told.output_sha256", "told.restored_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +122,9 @@ QUERIES = {
         op8_decontamination,
         op9_token_counts,
         op10_warc,
+        op11_url_filters,
+        op12_periodic_runs,
+        op13_fill_in_middle,
     )
 }
 
