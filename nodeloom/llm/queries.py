@@ -71,7 +71,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES).drop("url")
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 4).alias("score"))
 
 
 def planted_repeats(docs: DataFrame) -> DataFrame:
@@ -147,4 +148,44 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op11_url_filters": """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url,
+  translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE WHEN suffix('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN suffix('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN suffix('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN suffix('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN suffix('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM r),
+u AS (SELECT DISTINCT url, said FROM v),
+g AS (SELECT url, said, unnest(list_transform(range(0, 5 * (length(url) + 2)), lambda k: CASE WHEN k // 5 + k % 5 < length(url) + 2
+  THEN substr(chr(2) || url || chr(3), k // 5 + 1, k % 5 + 1) END)) AS gram FROM u),
+c AS (SELECT gram, length(gram) AS m, left(gram, length(gram) - 1) AS context, count_if(said = 'allow') AS n1, count_if(said = 'block') AS n0 FROM g
+  WHERE said IS NOT NULL AND gram <> chr(2) AND left(md5(url), 1) NOT IN ('0', '4', '8', 'c') GROUP BY gram HAVING count(*) >= 3),
+x AS (SELECT context, sum(n1)::BIGINT AS t1, count_if(n1 > 0) AS k1, sum(n0)::BIGINT AS t0, count_if(n0 > 0) AS k0 FROM c GROUP BY context),
+s AS (SELECT * FROM c JOIN x USING (context)),
+p1 AS (SELECT s.*, 1.0::DOUBLE / 65536 AS a1, 1.0::DOUBLE / 65536 AS a0, CASE WHEN t1 > 0 THEN (n1 + k1 * (1.0::DOUBLE / 65536)) / (t1 + k1) ELSE 1.0::DOUBLE / 65536 END AS b1,
+  CASE WHEN t0 > 0 THEN (n0 + k0 * (1.0::DOUBLE / 65536)) / (t0 + k0) ELSE 1.0::DOUBLE / 65536 END AS b0 FROM s WHERE m = 1),
+p2 AS (SELECT s.*, q.b1 AS a1, q.b0 AS a0, CASE WHEN s.t1 > 0 THEN (s.n1 + s.k1 * q.b1) / (s.t1 + s.k1) ELSE q.b1 END AS b1,
+  CASE WHEN s.t0 > 0 THEN (s.n0 + s.k0 * q.b0) / (s.t0 + s.k0) ELSE q.b0 END AS b0 FROM s JOIN p1 q ON q.gram = right(s.gram, 1) WHERE s.m = 2),
+p3 AS (SELECT s.*, q.b1 AS a1, q.b0 AS a0, CASE WHEN s.t1 > 0 THEN (s.n1 + s.k1 * q.b1) / (s.t1 + s.k1) ELSE q.b1 END AS b1,
+  CASE WHEN s.t0 > 0 THEN (s.n0 + s.k0 * q.b0) / (s.t0 + s.k0) ELSE q.b0 END AS b0 FROM s JOIN p2 q ON q.gram = right(s.gram, 2) WHERE s.m = 3),
+p4 AS (SELECT s.*, q.b1 AS a1, q.b0 AS a0, CASE WHEN s.t1 > 0 THEN (s.n1 + s.k1 * q.b1) / (s.t1 + s.k1) ELSE q.b1 END AS b1,
+  CASE WHEN s.t0 > 0 THEN (s.n0 + s.k0 * q.b0) / (s.t0 + s.k0) ELSE q.b0 END AS b0 FROM s JOIN p3 q ON q.gram = right(s.gram, 3) WHERE s.m = 4),
+p5 AS (SELECT s.*, q.b1 AS a1, q.b0 AS a0, CASE WHEN s.t1 > 0 THEN (s.n1 + s.k1 * q.b1) / (s.t1 + s.k1) ELSE q.b1 END AS b1,
+  CASE WHEN s.t0 > 0 THEN (s.n0 + s.k0 * q.b0) / (s.t0 + s.k0) ELSE q.b0 END AS b0 FROM s JOIN p4 q ON q.gram = right(s.gram, 4) WHERE s.m = 5),
+e AS (SELECT context, ln(CASE WHEN t1 > 0 THEN k1 / (t1 + k1) ELSE 1.0 END::DOUBLE) - ln(CASE WHEN t0 > 0 THEN k0 / (t0 + k0) ELSE 1.0 END::DOUBLE) AS w FROM x),
+q AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5),
+w AS (SELECT gram, sum(w)::BIGINT AS w FROM (SELECT gram, round(((ln(b1) - ln(b0)) - (ln(a1) - ln(a0)) - e.w) * 1000000)::BIGINT AS w FROM q JOIN e USING (context)
+  UNION ALL SELECT context, round(w * 1000000)::BIGINT FROM e) GROUP BY gram),
+z AS (SELECT url, any_value(said) AS said, (coalesce(sum(w.w), 0)::BIGINT + (length(url) + 1) * coalesce((SELECT w FROM w WHERE gram = ''), 0)) / (length(url) + 1) / 1000000 AS score
+  FROM g LEFT JOIN w USING (gram) GROUP BY url),
+h AS (SELECT greatest(-2000, least(2000, floor(score * 100)))::INT AS cell, count_if(said = 'allow') AS good, count_if(said = 'block') AS bad FROM z
+  WHERE said IS NOT NULL AND left(md5(url), 1) IN ('0', '4', '8', 'c') GROUP BY cell),
+k AS (SELECT cell, coalesce((lag(cell) OVER (ORDER BY cell) + 1 + cell) / 2, cell) AS middle, coalesce(sum(bad) OVER up, 0) * sum(good) OVER () - coalesce(sum(good) OVER up, 0) * sum(bad) OVER () AS gain FROM h
+  WHERE (SELECT sum(good) > 0 AND sum(bad) > 0 FROM h) WINDOW up AS (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT middle / 100 AS least FROM k ORDER BY gain DESC, cell LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(v.said, CASE WHEN score < (SELECT least FROM best) THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN rule IS NULL AND (SELECT least FROM best) IS NOT NULL THEN round(score, 4) END AS score
+FROM v JOIN z USING (url)""",
 }
