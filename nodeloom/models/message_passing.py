@@ -1,7 +1,7 @@
 """Message passing over nodes and edges tables: neighbour aggregates and scoring of SAGE and GIN regressors.
 
 Neighbour sums are one join and one aggregate with a column for each feature (partial sums on
-the map side); dense layers are applied to Arrow batches with NumPy.  Weights are a dict of
+the map side), over edges that are laid out once for all layers (``wiring``); dense layers are applied to Arrow batches with NumPy.  Weights are a dict of
 arrays, as small as the model, and travel with the task.
 """
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.models.wiring import Wiring
+
 
 def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, features: str, width: int, how: str = "mean", column: str = "agg") -> DataFrame:
     """``nodes`` with the mean or sum of the in-neighbours' ``features`` (zeros without any)."""
@@ -74,15 +76,12 @@ class Sage:
             out = out + (h @ w["project"] if k == 0 and "project" in w else h)
         return out
 
-    def transform(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        """``nodes`` with ``yhat`` (a number, or an array of logits for several outputs)."""
-        now, width = nodes.withColumn("_h", F.transform("x", lambda v: v.cast("double"))), self.n_markers
-        for k in range(self.layers):
-            step = _dense(lambda h, near, k=k: self.layer(k, h, near))
-            now = neighbor_aggregate(now, edges, "_h", width, "mean", "_near").withColumn("_h", step("_h", "_near")).drop("_near")
-            width = self.hidden
-        head = _dense(lambda h, _: h @ self.weights["head"] + self.weights["head.bias"])
-        scored = now.withColumn("yhat", head("_h", "_h")).drop("_h")
+    def transform(self, nodes: DataFrame, edges: DataFrame, wiring: Wiring | None = None) -> DataFrame:
+        """``nodes`` with ``yhat`` (a number, or an array of logits for several outputs); null for rows with a null graph_id.
+
+        ``wiring`` is the layout of the edges, made here unless the caller has it from before.
+        """
+        scored = _scored(self, nodes, wiring or Wiring.of(nodes, edges), "mean")
         return scored.withColumn("yhat", F.get("yhat", F.lit(0))) if self.outputs == 1 else scored
 
 
@@ -115,14 +114,20 @@ class Gin:
         z = np.maximum(((1 + self.eps) * h + near) @ w[f"l{k}.a"] + w[f"l{k}.a.bias"], 0)
         return np.maximum(z @ w[f"l{k}.b"] + w[f"l{k}.b.bias"], 0)
 
-    def transform(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        now, width = nodes.withColumn("_h", F.transform("x", lambda v: v.cast("double"))), self.n_markers
-        for k in range(self.layers):
-            step = _dense(lambda h, near, k=k: self.layer(k, h, near))
-            now = neighbor_aggregate(now, edges, "_h", width, "sum", "_near").withColumn("_h", step("_h", "_near")).drop("_near")
-            width = self.hidden
-        head = _dense(lambda h, _: h @ self.weights["head"] + self.weights["head.bias"])
-        return now.withColumn("yhat", F.get(head("_h", "_h"), F.lit(0))).drop("_h")
+    def transform(self, nodes: DataFrame, edges: DataFrame, wiring: Wiring | None = None) -> DataFrame:
+        """``nodes`` with ``yhat``; null for rows with a null graph_id."""
+        return _scored(self, nodes, wiring or Wiring.of(nodes, edges), "sum").withColumn("yhat", F.get("yhat", F.lit(0)))
+
+
+def _scored(model: Sage | Gin, nodes: DataFrame, wiring: Wiring, how: str) -> DataFrame:
+    """``nodes`` with the head's outputs as ``yhat``: a layer is one pass over the wiring and one dense step."""
+    now, width = nodes.select("graph_id", "node_id", F.transform("x", lambda v: v.cast("double")).alias("_h")), model.n_markers
+    for k in range(model.layers):
+        step = _dense(lambda h, near, k=k: model.layer(k, h, near))
+        now = wiring.passed(now, "_h", width, how).select("graph_id", "node_id", step("own", "near").alias("_h"))
+        width = model.hidden
+    head = _dense(lambda h, _: h @ model.weights["head"] + model.weights["head.bias"])
+    return nodes.drop("yhat").join(now.select("graph_id", "node_id", head("_h", "_h").alias("yhat")), ["graph_id", "node_id"], "left")
 
 
 def _dense(apply):

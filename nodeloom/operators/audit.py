@@ -16,6 +16,7 @@ from nodeloom.functions.columns import is_positive
 from nodeloom.operators import losses
 from nodeloom.operators.components import connected_components
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
+from nodeloom.operators.reach import two_hop_reach
 from nodeloom.storage import checkpointed
 
 
@@ -101,17 +102,6 @@ def homophily_by_marker(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(stats, ["graph_id", "marker_id"], "left")
 
 
-def two_hop_reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mean over nodes of the share of the graph within two undirected hops, the node itself included."""
-    both = edges.select("graph_id", "src", "dst").unionByName(edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    onward = both.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("far"))
-    two = both.join(onward, ["graph_id", "dst"]).select("graph_id", "src", F.col("far").alias("dst"))
-    reach = both.unionByName(two).where("src <> dst").distinct().groupBy("graph_id").agg(F.count("*").alias("reached"))
-    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    # Each node reaches itself as well: (n + pairs) / n nodes / n.
-    return n.join(reach, "graph_id", "left").select("graph_id", ((F.col("n") + F.coalesce("reached", F.lit(0))) / (F.col("n") * F.col("n"))).alias("two_hop_frac"))
-
-
 def moran_like_i(nodes: DataFrame, edges: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Sum over directed edges of z_u z_v, times N, over (sum z^2 + eps) * max(W, 1); z = y - graph mean."""
     mean = nodes.groupBy("graph_id").agg(F.avg("y").alias("m"), F.count("*").alias("n"))

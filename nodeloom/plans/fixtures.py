@@ -86,3 +86,10 @@ def copurchase_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     bought = lines.select(F.col("o_custkey").cast("string").alias("graph_id"), F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("node_id")).distinct()
     raw = bought.join(bought.withColumnRenamed("node_id", "v"), ["graph_id", "order"]).where("node_id < v").select("graph_id", F.col("node_id").alias("u"), "v")
     return bought.select("graph_id", "node_id").distinct(), graphs.normalise_edges(raw)
+
+
+def part_hubs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a graph for each return flag; the parts, and a hub (its id below 0) for each line number that orders them."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("graph_id"), (-F.col("l_linenumber")).cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
+    ends = [edges.select("graph_id", F.col(c).alias("node_id")) for c in ("src", "dst")]
+    return ends[0].unionByName(ends[1]).distinct(), edges

@@ -12,7 +12,7 @@ from nodeloom import schema
 from nodeloom.functions.columns import inverse_transform
 from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
 from nodeloom.models.training import TrainConfig, depth_scan, epoch_sweep, lbfgs, packed_graphs, train
-from nodeloom.operators import audit, bins, graphs, losses, markers, prep
+from nodeloom.operators import audit, bins, graphs, losses, markers, prep, reach
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
 from nodeloom.sources import npz, sidecars
@@ -526,6 +526,20 @@ def two_hop_reach(spark, d):
     return audit.two_hop_reach(*_graph(spark, d))
 
 
+@query(f"""{EDGED}, reach AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, node_id, node_id FROM nodes UNION SELECT a.graph_id, a.src, b.dst FROM edges a JOIN edges b ON a.graph_id = b.graph_id AND a.dst = b.src)
+SELECT graph_id, src AS node_id, count(*) AS reached FROM reach GROUP BY ALL""")
+def two_hop_sizes(spark, d):
+    return reach.two_hop_sizes(*_graph(spark, d))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_returnflag AS graph_id, -l_linenumber::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem),
+b AS (SELECT * FROM e UNION SELECT graph_id, dst, src FROM e UNION SELECT graph_id, src, src FROM e UNION SELECT graph_id, dst, dst FROM e)
+SELECT a.graph_id, a.src AS node_id, count(DISTINCT b.dst) AS reached FROM b a JOIN b ON b.graph_id = a.graph_id AND b.src = a.dst GROUP BY ALL""")
+def two_hop_sizes_hubs(spark, d):
+    """Parts around the line numbers that they are ordered under: seven hubs a graph, each next to most of its nodes."""
+    return reach.two_hop_sizes(*fx.part_hubs(spark, d))
+
+
 @query(f"""{EDGED}, z AS (SELECT graph_id, node_id, y - avg(y) OVER (PARTITION BY graph_id) AS z FROM nodes), o AS (SELECT graph_id, sum(z * z) AS zz, count(*) AS n FROM z GROUP BY graph_id),
 c AS (SELECT e.graph_id, sum(u.z * w.z) AS zz2, count(*) AS w FROM edges e JOIN z u ON u.graph_id = e.graph_id AND u.node_id = e.src JOIN z w ON w.graph_id = e.graph_id AND w.node_id = e.dst GROUP BY e.graph_id)
 SELECT graph_id, round(coalesce(zz2, 0) * n / ((zz + 1e-12) * greatest(coalesce(w, 0), 1)), 6) + 0.0 AS moran_i FROM o LEFT JOIN c USING (graph_id)""")

@@ -30,6 +30,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def laid_out(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """``df`` (checkpointed) dealt out and sorted by ``keys`` once, and checkpointed so that Spark knows it: joins and groups on these keys move only the other side.
+
+    Spark forgets a checkpoint's partitioning where the job may be planned anew while it runs, so that is off for this job.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(partitions, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bytes_of(name: str, kind: T.DataType) -> Column:
     """About how many bytes a column's value takes."""
     c = F.col(f"`{name}`")
