@@ -1,33 +1,47 @@
-"""Training of SAGE and GIN regressors (and multi-marker classifiers) as Spark jobs per step.
+"""Training of SAGE and GIN regressors (and multi-marker classifiers) on Spark.
 
-Graphs are packed, one row a graph, and dealt into minibatches by hash; a step's job sums loss and
-gradient over partitions on the executors, position by position, so the driver sees one vector as large
-as the model.  It takes an AdamW step with a clipped norm.  The state with the best validation
-error is kept; training stops after ``patience`` epochs without improvement.
+Minibatches are dealt anew each epoch, by hash or, with ``batch_size``, to the exact size by a keyed permutation.  A step sums loss and
+gradient over the minibatch and takes an AdamW step with a clipped norm.  The state with the best validation error (without a
+validation set, training error) is kept; training stops after ``patience`` epochs without improvement.
+
+``by`` chooses how a step's sums are made:
+
+* 'graph': graphs are packed, one row a graph; a step is a job, and executors add its vectors position by position, so the driver sees one vector as large as the model.
+* 'barrier': packed as well; an epoch is one job whose tasks run at the same time, hand each other their sums and take the same steps.  Spark looks
+  for such a hand-over once a second, so this pays where a step takes longer than that or jobs queue; many small steps are faster by 'graph'.
+* 'joins': by joins over nodes and edges, so that a graph may be of any size; the edges are laid out once, before the first step.
+
+With ``state_path``, every epoch's weights, moments, history and patience are written to that folder, and a later call goes on from the last one written.
 
 Batch norm uses the whole minibatch's statistics, whatever the partitions: a job for each layer sums the moments
 on the way forward, another what its derivative needs on the way back.  The calibration penalty is defined on the whole
 minibatch too; a job sums its moments.
 
 Packed, a training graph is one row and one task: at 6 markers, hidden width 128 and three layers a task holds about 10 KB a node, so a
-graph of 100,000 nodes takes 1 GB.  For larger graphs ``train(.., by="joins")`` takes the same steps by joins over nodes and edges.
+graph of 100,000 nodes takes 1 GB.  For larger graphs take ``by="joins"``.
 """
 
 from __future__ import annotations
 
+import json
+from base64 import b64decode, b64encode
 from collections.abc import Callable, Iterator
 from copy import deepcopy
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import sigmoid
-from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
+from nodeloom.models.message_passing import Gin, Sage
+from nodeloom.models.wiring import Wiring
 from nodeloom.operators.markers import marker_baseline, relative_mse_across_graphs, residualize
-from nodeloom.sources.builders import with_minibatch
+from nodeloom.operators.prep import hash_rank
+from nodeloom.sources.builders import minibatch_of_size, with_minibatch
 from nodeloom.storage import checkpointed
 
 #: Added to variances before the root, and the weight of a step's statistics in the stored ones.
@@ -37,14 +51,16 @@ EPS, MOMENTUM = 1e-5, 0.1
 @dataclass(frozen=True)
 class TrainConfig:
     epochs: int = 80
-    batches: int = 1  # minibatches an epoch
+    batches: int = 1  # minibatches an epoch, of about equal size
+    batch_size: int | None = None  # graphs a minibatch, exactly (the last one may be smaller); in place of ``batches``
     lr: float = 2e-3
     weight_decay: float = 1e-4
     patience: int = 12
+    loss: str = "huber"  # or "mse", the mean squared error
     huber_delta: float = 1.0
     calibration_weight: float = 0.0
     calibration_mode: str = "corr"
-    clip_norm: float = 2.0
+    clip_norm: float | None = 2.0
     dropout: float = 0.0
     seed: int = 0
 
@@ -227,12 +243,14 @@ def union_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def loss_and_slope(out: np.ndarray, y: np.ndarray, cfg: TrainConfig, pos_weight: np.ndarray | None) -> tuple[float, np.ndarray]:
-    """Summed loss and its derivative: Huber, or logistic with positive weights (y are 0 or 1)."""
+    """Summed loss and its derivative: Huber or squared, or logistic with positive weights (y are 0 or 1)."""
     if pos_weight is not None:
         p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
         loss = -(pos_weight * y * np.log(p + 1e-15) + (1 - y) * np.log(1 - p + 1e-15))
         return float(loss.mean(1).sum()), (p * (1 - y) - pos_weight * y * (1 - p)) / y.shape[1]
     e = out - y
+    if cfg.loss == "mse":
+        return float((e * e).sum()), 2 * e
     if cfg.huber_delta == 0:
         return float((0.5 * e * e).sum()), e
     near = np.minimum(np.abs(e), cfg.huber_delta)
@@ -272,10 +290,15 @@ def _summed(packed: DataFrame, per_batch: Callable[[pd.DataFrame], np.ndarray],
 
 
 def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False) -> tuple:
-    """(mean loss, mean absolute error or micro error rate, nodes, gradient of the mean loss, moments by layer) of one batch.
+    """(mean loss, mean absolute error or micro error rate, nodes, gradient of the mean loss, moments by layer) of one batch of packed graphs.
 
     ``moments`` are those of batch norm while learning; ``frozen`` learns without dropout and with the stored ones.
     """
+    return sums_by(lambda per_batch, width: _summed(packed, per_batch, width), model, cfg, learn, epoch, pos_weight, frozen)
+
+
+def sums_by(summed: Callable[[Callable[[pd.DataFrame], np.ndarray], int], np.ndarray], model: Sage | Gin, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False) -> tuple:
+    """``step_sums`` for any way of adding up vectors: ``summed`` gives the sum of a function of packed graphs (and its width) over the minibatch."""
     names = trainable(model)
     width = 3 + (sum(model.weights[k].size for k in names) if learn else 0)
     drop = cfg.dropout if learn and not frozen else 0.0
@@ -295,7 +318,7 @@ def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: boo
             z = tape_of(batch, upto=k)[0].z
             return np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
 
-        v = _summed(packed, of_layer, 1 + 2 * model.hidden)
+        v = summed(of_layer, 1 + 2 * model.hidden)
         mean, square = np.split(v[1:] / max(v[0], 1), 2)
         moments.append((mean, np.maximum(square - mean * mean, 0)))
 
@@ -307,7 +330,7 @@ def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: boo
             r = tape.output - y
             return np.array([r.size, r.sum(), y.sum(), (r * y).sum(), (r * r).sum(), (y * y).sum()])
 
-        m = _summed(packed, of_penalty, 6)
+        m = summed(of_penalty, 6)
         if rows := m[0]:
             penalty, slope = penalty_and_slope(m, cfg.calibration_mode)
 
@@ -326,7 +349,7 @@ def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: boo
             tape, y = tape_of(batch)
             return np.append(tape.gradient(sloped(tape, y)[1], means, upto=k), len(y))
 
-        v = _summed(packed, of_back, 2 * model.hidden + 1)
+        v = summed(of_back, 2 * model.hidden + 1)
         means[k] = tuple(np.split(v[:-1] / max(v[-1], 1), 2))
 
     def sums(batch: pd.DataFrame) -> np.ndarray:
@@ -339,7 +362,7 @@ def step_sums(model: Sage | Gin, packed: DataFrame, cfg: TrainConfig, learn: boo
         parts = tape.gradient(d, means) if moments is not None else tape.gradient(d)
         return np.concatenate([head, *(parts[k].ravel() for k in names)])
 
-    v = _summed(packed, sums, width)
+    v = summed(sums, width)
     n = max(int(v[2]), 1)
     gradient = None
     if learn:
@@ -365,32 +388,59 @@ def _array_udf(apply: Callable[..., np.ndarray]):
     return run
 
 
-def joined_sums(model: Sage | Gin, nodes: DataFrame, edges: DataFrame, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False) -> tuple:
+@dataclass
+class Joined:
+    """A set for training by joins: nodes (with ``batch``, where they are dealt), edges laid out along and against their direction."""
+
+    nodes: DataFrame
+    forward: Wiring
+    back: Wiring | None = None
+
+    @classmethod
+    def of(cls, nodes: DataFrame, edges: DataFrame, learn: bool = True) -> Joined:
+        against = edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return cls(nodes, Wiring.of(nodes, edges), Wiring.of(nodes, against) if learn else None)
+
+
+def drop_masks(keys: np.ndarray, width: int, share: float, *salt: int) -> np.ndarray:
+    """Rows of 0 and 1 / (1 - share) by hash of each node's key, so that a step's way forward and back agree."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for n in salt:
+            h = (h ^ (h >> np.uint64(30)) ^ np.uint64(n & 0xFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h >> np.uint64(11)) * 2.0**-53 >= share) / (1 - share)
+
+
+def joined_sums(model: Sage | Gin, data: Joined, cfg: TrainConfig, learn: bool, epoch: int, pos_weight: np.ndarray | None = None, frozen: bool = False, batch: int | None = None) -> tuple:
     """What ``step_sums`` gives, by joins over nodes and edges in place of a row for each graph.
 
-    A layer's neighbour sums are a join and an aggregate by (graph, node), and slopes go back along the edges the same way; so a graph
+    A layer's neighbour sums are a pass over the edges' layout, and slopes go back over the reverse one; so a graph
     may have any number of nodes.  Each layer is written to the shared folder on the way forward and on the way back.
-    Dropout isn't supported here.
+    ``batch`` takes the nodes of one minibatch.
     """
-    if cfg.dropout and learn and not frozen:
-        raise ValueError("training by joins has no dropout")
     is_gin, names = isinstance(model, Gin), trainable(model)
     batched = learn and not frozen and getattr(model, "norm", None) == "batch"
+    drop = cfg.dropout if learn and not frozen else 0.0
     moments: list | None = [] if batched else None
+    nodes = data.nodes if batch is None else data.nodes.where(F.col("batch") == batch)
     y = F.col("y") if dict(nodes.dtypes)["y"].startswith("array") else F.array(F.col("y").cast("double"))
     cast = lambda c: F.transform(c, lambda v: v.cast("double"))
-    into = edges.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("_deg"))
-    rows = nodes.where("graph_id is not null").select("graph_id", "node_id", cast("x").alias("_h"), cast(y).alias("_y"))
-    rows = rows.join(into, ["graph_id", "node_id"], "left").withColumn("_deg", F.array(F.greatest(F.coalesce("_deg", F.lit(1)), F.lit(1)).cast("double")))
+    key = F.array(F.xxhash64("graph_id", "node_id"))
+    rows = nodes.where("graph_id is not null").select("graph_id", "node_id", cast("x").alias("_h"))
 
     def output(k: int, h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, tuple]:
         if is_gin:
             return gin_out(model, k, h, near)
         return sage_out(model, k, h, sage_sums(model, k, h, near), moments[k] if batched else None)
 
+    def mask(k: int, keys: np.ndarray, width: int) -> np.ndarray | float:
+        return drop_masks(keys[:, 0], width, drop, cfg.seed, epoch, k) if drop else 1.0
+
     layers, width = [], model.n_markers
     for k in range(model.layers):
-        met = checkpointed(neighbor_aggregate(rows, edges, "_h", width, "sum" if is_gin else "mean", "_near"))
+        passed = data.forward.passed(rows, "_h", width, "sum" if is_gin else "mean", degree=True)
+        met = checkpointed(passed.select("graph_id", "node_id", F.col("own").alias("_h"), F.col("near").alias("_near"), F.array(F.greatest("degree", F.lit(1)).cast("double")).alias("_deg"), key.alias("_key")))
         layers.append(met)
         if batched:
 
@@ -401,8 +451,9 @@ def joined_sums(model: Sage | Gin, nodes: DataFrame, edges: DataFrame, cfg: Trai
             v = _summed(met, of_layer, 1 + 2 * model.hidden)
             mean, square = np.split(v[1:] / max(v[0], 1), 2)
             moments.append((mean, np.maximum(square - mean * mean, 0)))
-        rows, width = met.withColumn("_h", _array_udf(lambda h, near, k=k: output(k, h, near)[0])("_h", "_near")).drop("_near"), model.hidden
-    last = checkpointed(rows)
+        step = _array_udf(lambda h, near, keys, k=k: output(k, h, near)[0] * mask(k, keys, model.hidden))
+        rows, width = met.select("graph_id", "node_id", step("_h", "_near", "_key").alias("_h")), model.hidden
+    last = checkpointed(rows.join(nodes.select("graph_id", "node_id", cast(y).alias("_y")), ["graph_id", "node_id"]))
 
     def scored(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, y = _arrays(batch, "_h", "_y")
@@ -442,29 +493,32 @@ def joined_sums(model: Sage | Gin, nodes: DataFrame, edges: DataFrame, cfg: Trai
     gradient = {"head": v[3 : 3 + head.size].reshape(head.shape), "head.bias": v[3 + head.size :]}
     d_head = _array_udf(lambda h, y: sloped(h @ head + model.weights["head.bias"], y)[1] @ head.T)
     back = last.select("graph_id", "node_id", d_head("_h", "_y").alias("_d"))
-    reverse = edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     for k in reversed(range(model.layers)):
         met = checkpointed(layers[k].join(back, ["graph_id", "node_id"]))
         means = None
+
+        def masked(d: np.ndarray, keys: np.ndarray, k=k) -> np.ndarray:
+            return d * mask(k, keys, model.hidden)
+
         if batched:
 
-            def of_means(batch: pd.DataFrame, k=k) -> np.ndarray:
-                h, near, d = _arrays(batch, "_h", "_near", "_d")
+            def of_means(batch: pd.DataFrame, k=k, masked=masked) -> np.ndarray:
+                h, near, d, keys = _arrays(batch, "_h", "_near", "_d", "_key")
                 kept = output(k, h, near)[1]
-                du = sage_unit_slope(model, k, kept, d)
+                du = sage_unit_slope(model, k, kept, masked(d, keys))
                 return np.concatenate([[len(d)], du.sum(0), (du * kept[0]).sum(0)])
 
             v = _summed(met, of_means, 1 + 2 * model.hidden)
             means = tuple(np.split(v[1:] / max(v[0], 1), 2))
 
-        def through(h: np.ndarray, near: np.ndarray, d: np.ndarray, k=k, means=means) -> tuple[dict, np.ndarray, np.ndarray]:
-            kept = output(k, h, near)[1]
+        def through(h: np.ndarray, near: np.ndarray, d: np.ndarray, keys: np.ndarray, k=k, means=means, masked=masked) -> tuple[dict, np.ndarray, np.ndarray]:
+            kept, d = output(k, h, near)[1], masked(d, keys)
             return gin_back(model, k, kept, d) if is_gin else sage_back(model, k, h, near, kept, d, means)
 
         mine = [name for name in names if name.startswith(f"l{k}.") or (k == 0 and name == "project")]
 
         def of_weights(batch: pd.DataFrame, through=through, mine=mine) -> np.ndarray:
-            g = through(*_arrays(batch, "_h", "_near", "_d"))[0]
+            g = through(*_arrays(batch, "_h", "_near", "_d", "_key"))[0]
             return np.concatenate([g[name].ravel() for name in mine])
 
         v, at = _summed(met, of_weights, sum(model.weights[name].size for name in mine)), 0
@@ -473,23 +527,24 @@ def joined_sums(model: Sage | Gin, nodes: DataFrame, edges: DataFrame, cfg: Trai
             gradient[name] = v[at : at + size].reshape(model.weights[name].shape)
             at += size
         if k:
-            own = _array_udf(lambda h, near, d, through=through: through(h, near, d)[1])
-            sent = _array_udf(lambda h, near, d, deg, through=through: through(h, near, d)[2] / (1.0 if is_gin else deg))
-            moved = met.select("graph_id", "node_id", own("_h", "_near", "_d").alias("_own"), sent("_h", "_near", "_d", "_deg").alias("_sent"))
-            got = neighbor_aggregate(checkpointed(moved), reverse, "_sent", model.hidden, "sum", "_got")
-            back = got.select("graph_id", "node_id", F.zip_with("_own", "_got", lambda a, b: a + b).alias("_d"))
+            own = _array_udf(lambda h, near, d, keys, through=through: through(h, near, d, keys)[1])
+            sent = _array_udf(lambda h, near, d, keys, deg, through=through: through(h, near, d, keys)[2] / (1.0 if is_gin else deg))
+            moved = checkpointed(met.select("graph_id", "node_id", own("_h", "_near", "_d", "_key").alias("_own"), sent("_h", "_near", "_d", "_key", "_deg").alias("_sent")))
+            got = data.back.passed(moved, "_sent", model.hidden, "sum").join(moved.drop("_sent"), ["graph_id", "node_id"])
+            back = got.select("graph_id", "node_id", F.zip_with("_own", "near", lambda a, b: a + b).alias("_d"))
     return *result, {name: gradient[name] / n for name in names}, moments
 
 
 class AdamW:
-    """Decoupled weight decay, moments 0.9 and 0.999, gradients clipped to a global norm."""
+    """Decoupled weight decay, moments 0.9 and 0.999, gradients clipped to a global norm if there is one."""
 
     def __init__(self, cfg: TrainConfig):
         self.cfg, self.t, self.m, self.v = cfg, 0, {}, {}
 
     def step(self, weights: dict[str, np.ndarray], gradient: dict[str, np.ndarray]) -> None:
-        norm = np.sqrt(sum((g * g).sum() for g in gradient.values()))
-        scale = min(1.0, self.cfg.clip_norm / (norm + 1e-6))
+        scale = 1.0
+        if self.cfg.clip_norm is not None:
+            scale = min(1.0, self.cfg.clip_norm / (np.sqrt(sum((g * g).sum() for g in gradient.values())) + 1e-6))
         self.t += 1
         for k, g in gradient.items():
             g = g * scale
@@ -506,45 +561,182 @@ def _remember(model: Sage | Gin, moments: list | None, n: int) -> None:
             model.weights[name] = (1 - MOMENTUM) * model.weights[name] + MOMENTUM * value
 
 
+@dataclass
+class TrainState:
+    """What a run goes on from: weights and moments after an epoch, the best weights, and the history."""
+
+    weights: dict[str, np.ndarray]
+    best: dict[str, np.ndarray]
+    m: dict[str, np.ndarray] = field(default_factory=dict)
+    v: dict[str, np.ndarray] = field(default_factory=dict)
+    steps: int = 0
+    best_error: float = float("inf")
+    waited: int = 0
+    history: list[dict] = field(default_factory=list)
+
+    def rows(self) -> list[tuple]:
+        """(kind, name, shape, values) of everything, as large as four models."""
+        out = [(kind, k, list(w.shape), w.ravel().tolist()) for kind in ("weights", "best", "m", "v") for k, w in getattr(self, kind).items()]
+        told = {"steps": self.steps, "best_error": self.best_error, "waited": self.waited, "history": self.history}
+        return [*out, ("told", json.dumps(told), [], [])]
+
+    @classmethod
+    def of_rows(cls, rows: list) -> TrainState:
+        parts: dict[str, dict] = {"weights": {}, "best": {}, "m": {}, "v": {}}
+        told = {}
+        for kind, name, shape, values in rows:
+            if kind == "told":
+                told = json.loads(name)
+            else:
+                parts[kind][name] = np.array(values, float).reshape(shape)
+        return cls(**parts, **told)
+
+
+STATE = "kind string, name string, shape array<int>, v array<double>"
+
+
+def save_state(spark: SparkSession, path: str, state: TrainState) -> None:
+    """Append the state after its last epoch as one file: it is there as a whole or not at all."""
+    rows = spark.createDataFrame(state.rows(), STATE).withColumn("epoch", F.lit(state.history[-1]["epoch"]))
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> TrainState | None:
+    """The last state in the folder, None if there is none."""
+    try:
+        every = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    last = every.agg(F.max("epoch")).first()[0]
+    # A step written twice (a job run again) gives equal rows.
+    return TrainState.of_rows(every.where(F.col("epoch") == last).select("kind", "name", "shape", "v").distinct().collect()) if last is not None else None
+
+
+def barrier_epoch(model: Sage | Gin, adam: AdamW, dealt: DataFrame, cfg: TrainConfig, epoch: int, batches: int, pos_weight: np.ndarray | None = None, tasks: int = 4) -> np.ndarray:
+    """One epoch over packed graphs with ``batch`` as a single job; returns the sums of loss and error by nodes, and the nodes.
+
+    ``tasks`` tasks run at the same time.  Each holds its graphs of one minibatch at a time; the tasks hand each other their sums (batch
+    norm's moments, the penalty's, loss and gradient), so all take the same step on weights of their own.  The first one returns
+    weights and moments.  A sum goes to every task as a text of 11 bytes a number, so tasks are meant to be some dozens.  If a task
+    is lost, Spark runs all of them again from the epoch's start.
+    """
+    weights, moments = deepcopy(model.weights), (adam.t, dict(adam.m), dict(adam.v))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context, mine, own = BarrierTaskContext.get(), deepcopy(model), AdamW(cfg)
+        mine.weights, (own.t, own.m, own.v) = dict(weights), moments
+        waiting, totals = next(frames, None), np.zeros(3)
+
+        def of_batch(b: int) -> pd.DataFrame | None:
+            """Rows of a minibatch; the partition is sorted by it."""
+            nonlocal waiting
+            parts = []
+            while waiting is not None:
+                parts.append(waiting[waiting["batch"] == b])
+                if len(rest := waiting[waiting["batch"] > b]):
+                    waiting = rest
+                    break
+                waiting = next(frames, None)
+            parts = [p for p in parts if len(p)]
+            return pd.concat(parts) if parts else None
+
+        for b in range(batches):
+            part = of_batch(b)
+
+            def summed(per_batch: Callable[[pd.DataFrame], np.ndarray], width: int, part=part) -> np.ndarray:
+                v = np.zeros(width) if part is None else per_batch(part)
+                return sum(np.frombuffer(b64decode(t)) for t in context.allGather(b64encode(v.tobytes()).decode()))
+
+            loss, error, n, gradient, of_layers = sums_by(summed, mine, cfg, True, epoch, pos_weight)
+            if n:
+                own.step(mine.weights, gradient)
+                _remember(mine, of_layers, n)
+                totals += np.array([loss * n, error * n, n])
+        if context.partitionId() == 0:
+            state = TrainState(mine.weights, {}, own.m, own.v, own.t)
+            yield pd.DataFrame([*state.rows(), ("totals", "", [3], totals.tolist())], columns=["kind", "name", "shape", "v"])
+
+    # The partitions are the tasks: all must fit in the cluster at once.
+    rows = dealt.repartition(tasks, "graph_id").sortWithinPartitions("batch").mapInPandas(run, STATE, barrier=True).collect()
+    state = TrainState.of_rows([r for r in rows if r["kind"] != "totals"])
+    model.weights, adam.t, adam.m, adam.v = state.weights, state.steps, state.m, state.v
+    return np.array(next(r["v"] for r in rows if r["kind"] == "totals"))
+
+
 def train(
-    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], cfg: TrainConfig = TrainConfig(), pos_weight: np.ndarray | None = None, by: str = "graph"
+    model: Sage | Gin,
+    train_set: tuple[DataFrame, DataFrame],
+    val_set: tuple[DataFrame, DataFrame] | None,
+    cfg: TrainConfig = TrainConfig(),
+    pos_weight: np.ndarray | None = None,
+    by: str = "graph",
+    state_path: str | None = None,
+    tasks: int | None = None,
 ) -> tuple[Sage | Gin, dict, list[dict]]:
-    """(model with the best validation state, {'val_mae'}, history rows); sets are (nodes, edges).
+    """(model with the best state, {'val_mae'}, history rows); sets are (nodes, edges).
 
-    ``by`` 'graph' packs each graph into a row (few jobs a step; a graph must fit in a task), 'joins' works on graphs of any size.
+    Without ``val_set`` the best state is the one after the epoch of the least training error, ``val_mae`` is that error, and the history's validation columns are None.
+    ``by``, ``state_path``: see the module.  ``tasks`` are those of a barrier job (at most 32 and the cluster's cores by default).
     """
-    if by == "joins":
-        learn, val = (tuple(map(checkpointed, s)) for s in (train_set, val_set))
-    else:
-        learn, val = checkpointed(packed_graphs(*train_set)), checkpointed(packed_graphs(*val_set))
-
-    def sums_of(data, batch: int | None, epoch: int) -> tuple:
-        learning = batch is not None
-        nodes = with_minibatch(data[0] if by == "joins" else data, cfg.batches, epoch, cfg.seed).where(F.col("batch") == batch) if learning else data
-        if by == "joins":
-            return joined_sums(model, nodes if learning else data[0], data[1], cfg, learning, epoch, pos_weight)
-        return step_sums(model, nodes, cfg, learning, epoch, pos_weight)
-
-    if (learn[0] if by == "joins" else learn).isEmpty():
+    if by not in ("graph", "joins", "barrier"):
+        raise ValueError(f"unknown way to train: {by}")
+    spark, joined = train_set[0].sparkSession, by == "joins"
+    learn = checkpointed(train_set[0] if joined else packed_graphs(*train_set))
+    if learn.isEmpty():
         raise ValueError("the training set is empty")
-    adam, history, waited = AdamW(cfg), [], 0
-    best, best_error = deepcopy(model.weights), float("inf")
-    for epoch in range(cfg.epochs):
-        sums = np.zeros(3)
-        for b in range(cfg.batches):
-            loss, error, n, gradient, moments = sums_of(learn, b, epoch)
+    batches = cfg.batches
+    if cfg.batch_size:
+        ranked = checkpointed(hash_rank(learn.select("graph_id").where("graph_id is not null").distinct(), "graph_id", cfg.seed).select("graph_id", (F.col("rank") - 1).alias("_index")))
+        n_graphs = ranked.count()
+        batches, learn = -(-n_graphs // cfg.batch_size), checkpointed(learn.join(ranked, "graph_id"))
+    learn_set = Joined.of(learn, checkpointed(train_set[1])) if joined else None
+    val = None
+    if val_set is not None:
+        val = Joined.of(*map(checkpointed, val_set), learn=False) if joined else checkpointed(packed_graphs(*val_set))
+
+    def dealt(epoch: int) -> DataFrame:
+        if cfg.batch_size:
+            return learn.withColumn("batch", minibatch_of_size(F.col("_index"), n_graphs, cfg.batch_size, epoch, cfg.seed)).drop("_index")
+        return with_minibatch(learn, batches, epoch, cfg.seed)
+
+    adam = AdamW(cfg)
+    state = load_state(spark, state_path) if state_path else None
+    if state is None:
+        state = TrainState(model.weights, deepcopy(model.weights))
+    else:
+        model.weights, adam.t, adam.m, adam.v = state.weights, state.steps, state.m, state.v
+    for epoch in range(len(state.history), cfg.epochs):
+        if state.waited >= cfg.patience:
+            break
+        sums, rows = np.zeros(3), dealt(epoch)
+        if by == "barrier":
+            sums = barrier_epoch(model, adam, rows, cfg, epoch, batches, pos_weight, tasks or min(32, spark.sparkContext.defaultParallelism))
+        for b in range(0 if by == "barrier" else batches):
+            if joined:
+                loss, error, n, gradient, moments = joined_sums(model, Joined(rows, learn_set.forward, learn_set.back), cfg, True, epoch, pos_weight, batch=b)
+            else:
+                loss, error, n, gradient, moments = step_sums(model, rows.where(F.col("batch") == b), cfg, True, epoch, pos_weight)
             if n:
                 adam.step(model.weights, gradient)
                 _remember(model, moments, n)
                 sums += np.array([loss * n, error * n, n])
-        val_loss, val_error = sums_of(val, None, epoch)[:2]
-        history.append({"epoch": epoch, "train_loss": sums[0] / max(sums[2], 1), "train_mae": sums[1] / max(sums[2], 1), "val_loss": val_loss, "val_mae": val_error})
-        if val_error < best_error - 1e-7:
-            best, best_error, waited = deepcopy(model.weights), val_error, 0
-        elif (waited := waited + 1) >= cfg.patience:
-            break
-    model.weights = best
-    return model, {"val_mae": best_error}, history
+        train_loss, error = float(sums[0] / max(sums[2], 1)), float(sums[1] / max(sums[2], 1))
+        row = {"epoch": epoch, "train_loss": train_loss, "train_mae": error, "val_loss": None, "val_mae": None}
+        if val is not None:
+            loss, error = (joined_sums if joined else step_sums)(model, val, cfg, False, epoch, pos_weight)[:2]
+            row |= {"val_loss": float(loss), "val_mae": float(error)}
+        state.history.append(row)
+        if error < state.best_error - 1e-7:
+            state.best, state.best_error, state.waited = deepcopy(model.weights), float(error), 0
+        else:
+            state.waited += 1
+        state.weights, state.m, state.v, state.steps = model.weights, adam.m, adam.v, adam.t
+        if state_path:
+            save_state(spark, state_path, state)
+    model.weights = state.best
+    return model, {"val_mae": state.best_error}, state.history
 
 
 def predict_markers(model: Sage, nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -578,14 +770,17 @@ def strong_wolfe(at: Callable[[float], tuple], loss: float, slope: float, t: flo
 
 
 def lbfgs(
-    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], steps: int = 60, memory: int = 100, inner: int = 20, lr: float = 0.5, cfg: TrainConfig = TrainConfig(huber_delta=0.0), tolerance: float = 1e-12
+    model: Sage | Gin, train_set: tuple[DataFrame, DataFrame], steps: int = 60, memory: int = 100, inner: int = 20, lr: float = 0.5, cfg: TrainConfig = TrainConfig(loss="mse"), tolerance: float = 1e-12, by: str = "graph"
 ) -> tuple[Sage | Gin, list[dict]]:
-    """Full-batch quasi-Newton training without dropout and with stored batch statistics; each loss and gradient is one Spark job.
+    """Full-batch quasi-Newton training on the mean squared error, without dropout and with stored batch statistics.
+
+    Each loss and gradient is one Spark job on packed graphs, or with ``by`` 'joins' a few over nodes and edges, for graphs of any size.
 
     A step makes at most ``inner`` iterations, each with a line search from ``lr`` that meets the strong Wolfe conditions; it all
     stops when the loss changes by less than ``tolerance``.  Returns the model of the least mean absolute error and a row per step.
     """
-    packed, names = checkpointed(packed_graphs(*train_set)), trainable(model)
+    names = trainable(model)
+    data = Joined.of(*map(checkpointed, train_set)) if by == "joins" else checkpointed(packed_graphs(*train_set))
     shapes = [model.weights[k].shape for k in names]
 
     def put(flat: np.ndarray) -> None:
@@ -597,7 +792,7 @@ def lbfgs(
 
     def at_point(flat: np.ndarray) -> tuple[float, float, np.ndarray]:
         put(flat)
-        loss, error, _, g, _ = step_sums(model, packed, cfg, True, 0, frozen=True)
+        loss, error, _, g, _ = (joined_sums if by == "joins" else step_sums)(model, data, cfg, True, 0, frozen=True)
         return loss, error, np.concatenate([g[k].ravel() for k in names])
 
     x = np.concatenate([model.weights[k].ravel() for k in names])
@@ -638,19 +833,31 @@ def lbfgs(
     return model, history
 
 
-def epoch_sweep(budgets: list[int], data: tuple[DataFrame, DataFrame], n_markers: int, hidden: int = 16, layers: int = 2, cfg: TrainConfig = TrainConfig(), seed: int = 0) -> list[dict]:
-    """One model per epoch budget, fitted to and scored on the same graphs: rows of epochs, mse, mae."""
+def epoch_sweep(
+    budgets: list[int], data: tuple[DataFrame, DataFrame], n_markers: int, hidden: int = 16, layers: int = 2, optimizer: str = "lbfgs", steps: int = 60, cfg: TrainConfig | None = None, seed: int = 0, by: str = "graph"
+) -> list[dict]:
+    """One model per budget, fitted to and scored on the same graphs (usually one): rows of epochs, mse, mae.
+
+    With 'lbfgs' the budget is the iterations that each of ``steps`` steps may make; with 'adamw' it is the epochs of a full-batch
+    run on the mean squared error that keeps the state of the least training error.
+    """
     rows = []
-    for epochs in budgets:
-        model, _, _ = train(Sage(n_markers, hidden, layers).init(seed), data, data, replace(cfg, epochs=epochs, patience=epochs))
+    for budget in budgets:
+        model = Sage(n_markers, hidden, layers).init(seed)
+        if optimizer == "lbfgs":
+            model, _ = lbfgs(model, data, steps, inner=budget, by=by, **({"cfg": cfg} if cfg else {}))
+        elif optimizer == "adamw":
+            model, _, _ = train(model, data, None, replace(cfg or TrainConfig(loss="mse", lr=3e-3, weight_decay=0.0, clip_norm=None), epochs=budget, patience=budget), by=by)
+        else:
+            raise ValueError(f"unknown optimizer: {optimizer}")
         e = F.col("yhat") - F.col("y")
         mse, mae = model.transform(*data).agg(F.avg(e * e), F.avg(F.abs(e))).first()
-        rows.append({"epochs": epochs, "mse": mse, "mae": mae})
+        rows.append({"epochs": budget, "mse": mse, "mae": mae})
     return rows
 
 
 def depth_scan(
-    depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], markers: DataFrame, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0, min_pos: int = 10
+    depths: list[int], train_set: tuple[DataFrame, DataFrame], val_set: tuple[DataFrame, DataFrame], markers: DataFrame, hidden: int = 16, cfg: TrainConfig = TrainConfig(), seed: int = 0, min_pos: int = 10, by: str = "graph"
 ) -> DataFrame:
     """Relative MSE per marker over graphs, for models of several depths fitted to the raw and to the residual target.
 
@@ -674,8 +881,8 @@ def depth_scan(
     for split, (nodes, _) in raw.items():
         add("baseline", split, 0, nodes.withColumn("yhat", F.col("y")), "baseline")
     for depth in depths:
-        of_raw, _, _ = train(Sage(n_markers, hidden, depth).init(seed), raw["train"], raw["val"], cfg)
-        of_rest, _, _ = train(Sage(n_markers, hidden, depth).init(seed), based["train"], based["val"], cfg)
+        of_raw, _, _ = train(Sage(n_markers, hidden, depth).init(seed), raw["train"], raw["val"], cfg, by=by)
+        of_rest, _, _ = train(Sage(n_markers, hidden, depth).init(seed), based["train"], based["val"], cfg, by=by)
         for split in raw:
             add("raw", split, depth, of_raw.transform(*raw[split]))
             rest = of_rest.transform(*based[split])

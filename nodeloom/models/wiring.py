@@ -43,10 +43,10 @@ class Wiring:
         rows = rows.join(small_side(hubs), ["graph_id", "node_id"], "left").withColumn("salt", salt).drop("shares")
         return cls(laid_out(rows, n, "graph_id", "node_id", "salt"), hubs)
 
-    def passed(self, states: DataFrame, column: str, width: int, how: str = "mean") -> DataFrame:
+    def passed(self, states: DataFrame, column: str, width: int, how: str = "mean", degree: bool = False) -> DataFrame:
         """``graph_id``, ``node_id``, ``own`` (the node's ``column``) and ``near`` (the mean or sum of its in-neighbours', zeros without any).
 
-        ``states`` has a row a node; nodes that it lacks neither send nor receive.
+        ``states`` has a row a node; nodes that it lacks neither send nor receive.  ``degree`` adds the number of in-edges that count.
         """
         rows, keys = states.select("graph_id", "node_id", F.col(column).alias("_f")), ["graph_id", "node_id"]
         if self.shares is not None:
@@ -57,6 +57,6 @@ class Wiring:
         value = lambda i: F.get("_f", F.lit(i)).cast("double")
         own = [F.max(F.when(F.col("own"), value(i))).alias(f"_o{i}") for i in range(width)]
         near = [fn(F.when(~F.col("own"), value(i))).alias(f"_n{i}") for i in range(width)]
-        sums = met.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.max("own").alias("_own"), *own, *near)
+        sums = met.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.max("own").alias("_own"), F.count_if(~F.col("own")).alias("degree"), *own, *near)
         array = lambda c: F.array(*[F.coalesce(f"_{c}{i}", F.lit(0.0)) for i in range(width)])
-        return sums.where("_own").select("graph_id", "node_id", array("o").alias("own"), array("n").alias("near"))
+        return sums.where("_own").select("graph_id", "node_id", array("o").alias("own"), array("n").alias("near"), *(["degree"] if degree else []))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from nodeloom import schema
 from nodeloom.functions.columns import inverse_transform
 from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
-from nodeloom.models.training import TrainConfig, depth_scan, epoch_sweep, lbfgs, packed_graphs, train
+from nodeloom.models.training import Joined, TrainConfig, depth_scan, epoch_sweep, joined_sums, lbfgs, packed_graphs, train
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep, reach
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
 from nodeloom.sources import npz, sidecars
+from nodeloom.sources.builders import minibatch_of_size
 from nodeloom.sources.files import write_files
 from nodeloom.storage import checkpointed, shared_dir
 
@@ -813,6 +815,15 @@ def history_file(spark, d):
     return spark.read.parquet(f"{path}-rows")
 
 
+@query(f"WITH {NODES}, n AS (SELECT count(DISTINCT graph_id) AS n FROM nodes) SELECT i AS batch, least(8, n - 8 * i) AS n_graphs FROM n, range(0, (n + 7) // 8) r(i)")
+def minibatch_sizes(spark, d):
+    """Graphs dealt into minibatches of eight by a keyed permutation."""
+    ranked = prep.hash_rank(fx.event_graphs(fx.event_nodes(spark, d)), "graph_id", 1)
+    n = ranked.count()
+    dealt = ranked.select(minibatch_of_size(F.col("rank") - 1, n, 8, 3).cast("long").alias("batch"))
+    return dealt.groupBy("batch").agg(F.count("*").alias("n_graphs"))
+
+
 # --- models (scores by SQL with the weights in it; tests hold gradients against finite differences) --
 
 RING = """WITH n0 AS (SELECT CAST(label AS VARCHAR) AS graph_id, vec_id AS node_id, list_transform(embedding, lambda v: CAST(v > 0 AS DOUBLE)) AS h FROM embeddings),
@@ -834,12 +845,17 @@ def _near_sql(k: int, width: int, how: str) -> str:
 m{k} AS (SELECT n.graph_id, n.node_id, n.h, coalesce(s.near, list_transform(range({width}), lambda i: 0.0::DOUBLE)) AS near FROM n{k} n LEFT JOIN (SELECT graph_id, node_id, list(v ORDER BY i) AS near FROM a{k} GROUP BY ALL) s ON s.graph_id = n.graph_id AND s.node_id = n.node_id)"""
 
 
+def _head_sql(w: dict) -> str:
+    return _dot({"h": w["head"][:, 0]}, w["head.bias"][0])
+
+
 def _scored_sql(k: int, w: dict) -> str:
-    return f" SELECT graph_id, node_id, round({_dot({'h': w['head'][:, 0]}, w['head.bias'][0])}, 6) + 0.0 AS yhat FROM n{k}"
+    return f" SELECT graph_id, node_id, round({_head_sql(w)}, 6) + 0.0 AS yhat FROM n{k}"
 
 
-def _sage_sql(model) -> str:
-    w, sql, width = model.weights, RING, model.n_markers
+def _sage_layers(model, source: str) -> str:
+    """CTEs up to n{layers}, the last layer's outputs h; ``source`` ends with n0 and edges."""
+    w, sql, width = model.weights, source, model.n_markers
     for k in range(model.layers):
         each = range(model.hidden)
         z = ", ".join(_dot({"near": w[f"l{k}.near"][:, j], "h": w[f"l{k}.own"][:, j]}, w[f"l{k}.bias"][j]) for j in each)
@@ -847,7 +863,11 @@ def _sage_sql(model) -> str:
         out_of = ", ".join(f"greatest((z[{j + 1}] - list_avg(z)) / sqrt(list_var_pop(z) + 1e-5) * {w[f'l{k}.gain'][j]!r} + {w[f'l{k}.shift'][j]!r}, 0) + {kept[j]}".replace("np.float64", "") for j in each)
         sql += f", {_near_sql(k, width, 'avg')}, z{k} AS (SELECT *, [{z}] AS z FROM m{k}), n{k + 1} AS (SELECT graph_id, node_id, [{out_of}] AS h FROM z{k})"
         width = model.hidden
-    return sql + _scored_sql(model.layers, w)
+    return sql
+
+
+def _sage_sql(model) -> str:
+    return _sage_layers(model, RING) + _scored_sql(model.layers, model.weights)
 
 
 def _gin_sql(model) -> str:
@@ -891,16 +911,37 @@ def _event_sets(spark, d):
     return part("train"), part("val")
 
 
+_FIRST, _AT_FIRST = Sage(6, 8, 2).init(0), TrainConfig()
+_E = "abs(p.yhat - n.y)"
+
+
+@query(f"""{_sage_layers(_FIRST, f"{EDGED}, n0 AS (SELECT graph_id, node_id, x AS h FROM nodes)")}, p AS (SELECT graph_id, node_id, {_head_sql(_FIRST.weights)} AS yhat FROM n2)
+SELECT round(avg(0.5 * pow(least({_E}, 1), 2) + ({_E} - least({_E}, 1))), 6) AS loss, round(avg({_E}), 6) AS mae, count(*) AS n FROM p JOIN nodes n USING (graph_id, node_id)""")
+def training_loss(spark, d):
+    """Huber loss and error of a seeded model before its first step, by joins."""
+    loss, mae, n = joined_sums(_FIRST, Joined.of(*_graph(spark, d), learn=False), _AT_FIRST, False, 0)[:3]
+    return spark.createDataFrame([(float(loss), float(mae), n)], "loss double, mae double, n bigint")
+
+
 @query()
 def training_history(spark, d):
-    """Loss and error of three epochs on standardised targets (layer norm)."""
-    _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=3))
+    """Loss and error of three full-batch epochs on standardised targets (layer norm), each a barrier job."""
+    _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=3), by="barrier")
+    return _history(spark, history)
+
+
+@query()
+def training_history_minibatches(spark, d):
+    """Two epochs of minibatches of 32 graphs exactly, each a barrier job; stopped after the first and gone on with from the folder."""
+    sets, cfg, path = _event_sets(spark, d), TrainConfig(epochs=2, batch_size=32), _folder(spark, "state")
+    train(Sage(6, 8, 2).init(0), *sets, replace(cfg, epochs=1), by="barrier", state_path=path)
+    _, _, history = train(Sage(6, 8, 2).init(0), *sets, cfg, by="barrier", state_path=path)
     return _history(spark, history)
 
 
 @query()
 def training_history_joins(spark, d):
-    """The first epoch of the same, by joins in place of packed graphs."""
+    """One full-batch epoch, by joins in place of packed graphs."""
     _, _, history = train(Sage(6, 8, 2).init(0), *_event_sets(spark, d), TrainConfig(epochs=1), by="joins")
     return _history(spark, history)
 
@@ -919,8 +960,8 @@ def training_history_gin(spark, d):
 
 @query()
 def lbfgs_history(spark, d):
-    """Quasi-Newton steps on the training graphs."""
-    _, history = lbfgs(Sage(6, 8, 1, norm=None).init(0), _event_sets(spark, d)[0], steps=2, inner=2)
+    """Quasi-Newton steps on the training graphs, by joins."""
+    _, history = lbfgs(Sage(6, 8, 1, norm=None).init(0), _event_sets(spark, d)[0], steps=2, inner=2, by="joins")
     return spark.createDataFrame([(h["epoch"], float(h["train_loss"]), float(h["train_mae"])) for h in history], "epoch int, train_loss double, train_mae double")
 
 
@@ -936,6 +977,8 @@ def depth_comparison(spark, d):
 
 @query()
 def epoch_budgets(spark, d):
-    """Errors of one model per epoch budget on the training graphs."""
-    rows = epoch_sweep([1, 2], _event_sets(spark, d)[0], 6, 8, 2)
+    """Errors of one model per budget of quasi-Newton iterations on one training graph (the first by its id)."""
+    nodes, edges = _event_sets(spark, d)[0]
+    one = nodes.agg(F.min("graph_id")).first()[0]
+    rows = epoch_sweep([2, 8], (nodes.where(F.col("graph_id") == one), edges.where(F.col("graph_id") == one)), 6, 8, 2, steps=2)
     return spark.createDataFrame([(r["epochs"], float(r["mse"]), float(r["mae"])) for r in rows], "epochs int, mse double, mae double")
