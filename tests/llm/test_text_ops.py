@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from nodeloom.llm import bytebpe, decontam, langid, ngram_lm, queries, sharding, simhash, tokencount, toxicity
@@ -188,6 +189,24 @@ def test_pieces_avoid_shared_phrases_and_miss_nothing():
     assert decontam.pieces_of(items, 0.2) is decontam.pieces_of(items, 0.2)
 
 
+def test_a_benchmark_too_large_to_broadcast(spark, docs, odd):
+    """Joins over pieces give what the broadcast gives, from one pass over the texts."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "item_id", "first_word", "end_word", "edits").collect()), key=repr)
+    want = key(decontam.benchmark_matches(both, bench))
+    kept = sorted((r.doc_id, r.text) for r in decontam.without_benchmark(both.where("doc_id is not null and text is not null"), bench).collect())
+    large = decontam.benchmark_matches(both, bench, block_words=50)
+    assert key(large) == want and len(want) > 2
+    assert sorted((r.doc_id, r.text) for r in decontam.without_benchmark(both.where("doc_id is not null and text is not null"), bench, block_words=50).collect()) == kept
+    clash = odd.withColumn("_text", F.lit("c"))
+    assert set(decontam.without_benchmark(clash, bench, block_words=50).columns) == set(clash.columns) and decontam.without_benchmark(clash, bench, block_words=50).count() == 12
+    assert decontam.benchmark_matches(both.where("false"), bench, block_words=50).count() == 0
+    ties = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (2, "seven eight nine ten eleven"), (None, "six five four three two one"), (3, None), (4, "!")], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten eleven"), (1, "one two three four five six one two three four five six"), (None, "six five four x two one"), (5, "nothing")], "doc_id bigint, text string")
+    assert key(decontam.benchmark_matches(texts, ties, block_words=1)) == key(decontam.benchmark_matches(texts, ties))
+
+
 def test_decontamination_of_edited_passages_and_odd_rows(spark, odd):
     item = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "..."), (1, item)], "item_id int, text string")
@@ -365,10 +384,41 @@ def test_a_hot_key_is_learned_from_once(spark):
     assert a.langs == b.langs and np.allclose(a.centroids, b.centroids) and a.limits == pytest.approx(b.limits)
 
 
-def test_language_bounds(spark):
-    rows = [(i, "some words of a text", f"dirty{i}") for i in range(40)] + [(100 + i, "some words of a text", "en") for i in range(5)]
-    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_langs=3)
-    assert set(model.langs) == set(model.limits) == {"dirty0", "dirty1", "en"}
+def test_every_language_is_learned(spark):
+    """However many there are: in blocks of a few centroids they give what one broadcast gives."""
+    rng = random.Random(8)
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    kinds = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "xyzä", "öüßé"]
+    rows = [(i, words(kinds[i % 8]), f"l{i % 8}") for i in range(80)] + [(100 + i, words("abcd"), f"rare{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one, many = langid.train(df), langid.train(df, most_centroids=9)
+    assert isinstance(many, langid.CentroidBlocks) and many.blocks > 2
+    assert {la for i in range(many.blocks) for la in many.block(i).langs} == set(one.langs) == {r[2] for r in rows}
+    odd = spark.createDataFrame([(i, t, "c") for i, t in enumerate([r[1] for r in rows] + [None, "", "12 ½", "ж ж ж"])], "doc_id bigint, text string, _said string")
+    key = lambda m: sorted((r.doc_id, r.lang_pred, round(r.score, 5), r.rejected, r._said) for r in langid.identify(odd, m).collect())
+    assert key(one) == key(many)
+    kept = lambda m: sorted(r.doc_id for r in langid.without_unknown(odd, m).collect())
+    assert kept(one) == kept(many) and len(kept(one)) > 70
+
+
+@pytest.mark.parametrize("text", ["½", "²³ ①②", "Ⅷ", "12 ½ _", "٣٤", "!?", "\u0301"])
+def test_numbers_have_no_letter(spark, text):
+    """Categories No, Nl, Nd, punctuation and marks."""
+    assert langid.ngram_counts(text) is None and langid.ngram_counts(text + "ж") is not None
+    known = spark.createDataFrame([(1, "some words of a language", "en")], "doc_id bigint, text string, lang string")
+    got = langid.identify(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), langid.train(known)).first()
+    assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
+
+
+def test_letters_by_category():
+    """The line of letters against the Unicode categories of each character."""
+    import unicodedata
+
+    rng = random.Random(9)
+    for _ in range(300):
+        t = "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x2FF), rng.randint(0x300, 0x3500), rng.randint(0xAC00, 0xD7A3)])) for _ in range(40))
+        want = "".join(c if unicodedata.category(c).startswith("L") else " " for c in t.lower())
+        assert langid.letter_line(t) == " ".join(want.split())
 
 
 def test_language_odd_rows(spark, odd):
