@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import is_positive
 from nodeloom.operators import losses
-from nodeloom.operators.components import connected_components
+from nodeloom.operators.components import connected_components, contracted
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.operators.reach import two_hop_reach
 from nodeloom.storage import checkpointed
@@ -67,7 +67,7 @@ def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph_id``, ``node_id``, ``root`` (least node of its component)."""
-    links = edges.select(F.struct("graph_id", F.col("src").alias("id")).alias("a"), F.struct("graph_id", F.col("dst").alias("id")).alias("b"))
+    links = contracted(edges).select(F.struct("graph_id", F.col("src").alias("id")).alias("a"), F.struct("graph_id", F.col("dst").alias("id")).alias("b"))
     found = connected_components(links).select(F.col("node.graph_id").alias("graph_id"), F.col("node.id").alias("node_id"), F.col("component.id").alias("root"))
     return nodes.select("graph_id", "node_id").join(found, ["graph_id", "node_id"], "left").withColumn("root", F.coalesce("root", "node_id"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.operators.quantiles import GROUP_ROWS, row_ranks
+from nodeloom.storage import checkpointed, small_side
+
 
 def normalise_edges(raw: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Both directions of each pair, without loops and repeats."""
@@ -42,22 +45,31 @@ def connect_by_time(nodes: DataFrame, ts: str = "ts", hours: int = 6, order: str
     return left.join(right, ["graph_id", "bucket"]).where(near).select("graph_id", "u", "v")
 
 
-def ego_nodes(nodes: DataFrame, edges: DataFrame, num_hops: int = 2, max_centers: int | None = None, seed: int = 0) -> DataFrame:
+def ego_nodes(nodes: DataFrame, edges: DataFrame, num_hops: int = 2, max_centers: int | None = None, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``graph_id``, ``center``, ``node_id``, ``hop`` and ``local_id`` (0.. in the order of node_id): nodes within ``num_hops``.
 
-    At most ``max_centers`` centres a graph, the first in the order of md5(node_id:seed).
+    A hop starts from the nodes that the last one reached first, and drops those that any hop has reached: an edge is followed once an ego.
+    At most ``max_centers`` centres a graph, the first in the order of md5(node_id:seed).  Egos of more than ``group_rows`` nodes are numbered in
+    chunks, so that no task holds a hub's.
     """
-    centers = nodes.select("graph_id", F.col("node_id").alias("center"))
+    centers = nodes.where("graph_id is not null").select("graph_id", F.col("node_id").alias("center")).distinct()
     if max_centers is not None:
         order = Window.partitionBy("graph_id").orderBy(F.md5(F.concat_ws(":", F.col("center").cast("string"), F.lit(str(seed)))), "center")
         centers = centers.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_centers).drop("_r")
-    reached = frontier = centers.select("graph_id", "center", F.col("center").alias("node_id"), F.lit(0).alias("hop"))
+    reached = frontier = checkpointed(centers.select("graph_id", "center", F.col("center").alias("node_id"), F.lit(0).alias("hop")))
+    onward = edges.select("graph_id", F.col("src").alias("node_id"), "dst")
     for hop in range(1, num_hops + 1):
-        step = frontier.join(edges.withColumnRenamed("src", "node_id"), ["graph_id", "node_id"]).select("graph_id", "center", F.col("dst").alias("node_id")).distinct()
-        frontier = step.withColumn("hop", F.lit(hop))
+        step = frontier.join(onward, ["graph_id", "node_id"]).select("graph_id", "center", F.col("dst").alias("node_id")).distinct()
+        frontier = checkpointed(step.join(reached.select("graph_id", "center", "node_id"), ["graph_id", "center", "node_id"], "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(frontier)
-    least = reached.groupBy("graph_id", "center", "node_id").agg(F.min("hop").alias("hop"))
-    return least.withColumn("local_id", F.row_number().over(Window.partitionBy("graph_id", "center").orderBy("node_id")) - 1)
+    large = checkpointed(reached.groupBy("graph_id", "center").agg(F.count("*").alias("_n")).where(F.col("_n") > group_rows).select("graph_id", "center"))
+    inside = F.row_number().over(Window.partitionBy("graph_id", "center").orderBy("node_id")) - 1
+    if large.isEmpty():
+        return reached.withColumn("local_id", inside)
+    side, ego = small_side(large), F.struct("graph_id", "center")
+    few = reached.join(side, ["graph_id", "center"], "left_anti").withColumn("local_id", inside)
+    many = row_ranks(reached.join(side, ["graph_id", "center"], "left_semi").withColumn("_ego", ego), "_ego", F.col("node_id"), ["node_id"], "local_id")
+    return few.unionByName(many.drop("_ego").withColumn("local_id", (F.col("local_id") - 1).cast("int")))
 
 
 def ego_edges(egos: DataFrame, edges: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def filter_by_metadata(graphs: DataFrame, key: str = "complexity", least: float
     return graphs.where(F.coalesce(finite(v) & (v >= least), F.lit(False)))
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, chunk_digits: int = 2) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int, chunk_digits: int = 4) -> DataFrame:
     """``df`` (a row for each key) with ``rank`` from 1 in the order of md5(key:seed), key.
 
     Ranks are counted within chunks of equal leading hex digits and offset by the chunks before, so no task sees all rows.

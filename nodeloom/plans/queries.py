@@ -706,7 +706,11 @@ def ego_nodes_all(spark, d):
     return graphs.ego_nodes(*_graph(spark, d), 2)
 
 
-@query(ORACLE_SQL["ego_edges"].replace(" WHERE r <= 3", ""))
+_EGOS = ORACLE_SQL["ego_nodes_all"].removesuffix("SELECT * FROM ego").replace("ego AS (", "ego AS MATERIALIZED (").replace("edges AS (", "edges AS MATERIALIZED (").replace("pairs AS (", "pairs AS MATERIALIZED (")
+
+
+@query(f"""{_EGOS}, a AS MATERIALIZED (SELECT a.graph_id, a.center, a.local_id AS src_local, e.src, e.dst FROM ego a JOIN edges e ON e.graph_id = a.graph_id AND e.src = a.node_id)
+SELECT a.graph_id, a.center, a.src, a.dst, a.src_local, b.local_id AS dst_local FROM a JOIN ego b ON b.graph_id = a.graph_id AND b.center = a.center AND b.node_id = a.dst""")
 def ego_edges_all(spark, d):
     nodes, edges = _graph(spark, d)
     return graphs.ego_edges(checkpointed(graphs.ego_nodes(nodes, edges, 2)), edges)
@@ -718,6 +722,15 @@ def ego_dataset_all(spark, d):
     return graphs.ego_dataset(nodes, edges, 2)[0].select("graph_id", "center", "node_id", "hop", "local_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
 
 
+THREE_HOPS = ORACLE_SQL["ego_nodes_all"].replace("ego AS (SELECT", """h3 AS (SELECT * FROM h UNION ALL SELECT h.graph_id, h.center, e.dst, 3 FROM (SELECT DISTINCT graph_id, center, node_id FROM h) h JOIN edges e ON e.graph_id = h.graph_id AND e.src = h.node_id),
+ego AS (SELECT""").replace("FROM h GROUP BY", "FROM h3 GROUP BY")
+
+
+@query(THREE_HOPS)
+def ego_nodes_three_hops(spark, d):
+    return graphs.ego_nodes(*_graph(spark, d), 3)
+
+
 @query(f"{SMALL} SELECT w.ordinal, w.name, CAST(m.marker_id AS INTEGER) AS marker_id FROM (VALUES (0, 'night'), (1, 'absent'), (2, 'click')) w(ordinal, name) LEFT JOIN markers m USING (name)")
 def wanted_markers(spark, d):
     return markers.wanted_markers(fx.event_markers(spark), ["night", "absent", "click"])
