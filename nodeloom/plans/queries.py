@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from nodeloom.models.training import Joined, TrainConfig, depth_scan, epoch_swee
 from nodeloom.operators import audit, bins, graphs, losses, markers, prep, reach
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
-from nodeloom.sources import npz, sidecars
+from nodeloom.sources import npz, npz_source, sidecars
 from nodeloom.sources.builders import minibatch_of_size
 from nodeloom.sources.files import write_files
 from nodeloom.storage import checkpointed, shared_dir
@@ -799,6 +800,24 @@ def npz_folder(spark, d):
     return sizes.select("graph_id", "n_nodes").join(edges.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id", "left").fillna(0, subset=["n_edges"])
 
 
+def _npz_source(spark, d, table):
+    """A folder of one NPZ file a graph, read by the data source, files beyond 8 KB in chunks."""
+    path = _folder(spark, "npz")
+    write_files(npz.pack(packed_graphs(*_graph(spark, d))).select(F.concat("graph_id", F.lit(".npz")).alias("name"), "content"), path)
+    npz_source.register(spark)
+    return spark.read.format("npz").option("path", path).option("table", table).option("partBytes", 8 << 10).load()
+
+
+@query(ORACLE_SQL["npz_nodes"] + " WHERE graph_id IN (SELECT graph_id FROM nodes GROUP BY graph_id HAVING count(*) > 1)")
+def npz_source_nodes(spark, d):
+    return _npz_source(spark, d, "nodes").select("graph_id", "node_id", "y", F.size(F.filter("x", lambda v: v > 0.5)).cast("long").alias("n_positive"))
+
+
+@query(ORACLE_SQL["npz_edges"])
+def npz_source_edges(spark, d):
+    return _npz_source(spark, d, "edges")
+
+
 @query(f"WITH {NODES}, g AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY graph_id) SELECT 'organoid_' || graph_id AS graph_id, CASE WHEN n % 2 = 0 THEN 'u' || graph_id ELSE graph_id END AS organoid_id, round(n / 50.0::DOUBLE - 2.3, 6) + 0.0 AS complexity, n * 2.0::DOUBLE AS total_volume, 2::BIGINT AS n_keys FROM g")
 def sidecar_metadata(spark, d):
     """Metadata files, one a graph: numbers, lists of one number, and text that isn't kept."""
@@ -809,14 +828,34 @@ def sidecar_metadata(spark, d):
     return sidecars.read_metadata(spark, path).select("graph_id", "organoid_id", get("complexity"), get("total_volume"), F.size("meta").cast("long").alias("n_keys"))
 
 
-@query("SELECT * FROM (VALUES (0, 'click'), (1, 'purchase'), (2, 'signup'), (3, 'view'), (4, 'k50'), (5, 'night')) t(marker_id, name)")
+@query("SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS marker_id, event_type AS name FROM (SELECT DISTINCT event_type FROM events)")
 def sidecar_marker_names(spark, d):
-    """The first of two files of marker names."""
-    path, names = _folder(spark, "names"), ", ".join(f'"{n}"' for n in fx.MARKER_NAMES)
-    write_files(spark.createDataFrame([("a_markers.json", f"[{names}]"), ("b_markers.json", '["other"]')], "name string, content string"), path)
+    """The first of two files of marker names: the types of the events, and another list."""
+    path, events = _folder(spark, "names"), fx.table(spark, d, "events")
+    names = events.agg(F.to_json(F.array_sort(F.collect_set("event_type"))).alias("content"))
+    write_files(names.select(F.lit("a_markers.json").alias("name"), "content").unionByName(spark.sql("SELECT 'b_markers.json' AS name, '[\"other\"]' AS content")), path)
     return sidecars.read_marker_names(spark, path)
 
 
+_MODES = "modes AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS i, m FROM (SELECT DISTINCT event_type AS m FROM events))"
+
+
+@query(f"WITH {_MODES} SELECT a.m AS name_i, b.m AS name_j, a.i, b.i AS j FROM modes a JOIN modes b ON a.i < b.i ORDER BY 3, 4 LIMIT 5")
+def marker_pairs_of_types(spark, d):
+    """The first pairs of the event types, taken as markers."""
+    types = [r[0] for r in fx.table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    return prep.marker_pairs(markers.marker_dimension(spark, types), 5)
+
+
+@query(f"""WITH {_MODES}, w(policy, width) AS (VALUES ('pad', 6), ('fit', 2), ('replace', 7), ('strict', (SELECT count(*) FROM modes))), r AS (SELECT policy, width, unnest(range(width::BIGINT)) AS k FROM w)
+SELECT policy, CAST(k AS INTEGER) AS marker_id, CASE WHEN policy = 'replace' THEN 'm' || k ELSE coalesce(m, 'm' || k) END AS name FROM r LEFT JOIN modes ON i = k""")
+def marker_name_policies_of_types(spark, d):
+    """The event types as names of more markers (pad), fewer (fit), another number (replace) and as many (strict)."""
+    types = [r[0] for r in fx.table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    rows = [markers.marker_dimension(spark, types, width, policy).select(F.lit(policy).alias("policy"), "marker_id", "name") for policy, width in (("pad", 6), ("fit", 2), ("replace", 7), ("strict", len(types)))]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS epoch, n_nationkey::DOUBLE AS train_loss, n_nationkey / 4.0::DOUBLE AS train_mae, n_regionkey::DOUBLE AS val_loss, n_regionkey / 8.0::DOUBLE AS val_mae FROM nation")
 def history_file(spark, d):
     """Training curves from a JSON object of four arrays, through the Parquet history and back."""

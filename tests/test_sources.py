@@ -5,7 +5,9 @@ import json
 import numpy as np
 import pytest
 
-from nodeloom.sources import npz, sidecars
+from pyspark.sql import functions as F
+
+from nodeloom.sources import npz, npz_source, sidecars
 
 
 def put(folder, name, **arrays):
@@ -66,3 +68,63 @@ def test_history(spark, tmp_path):
     assert [tuple(r) for r in back.orderBy("epoch").collect()] == [(0, 2.0, 1.0, 3.0, 2.0), (1, 1.0, 0.5, 2.0, 1.0)]
     sidecars.write_history(back, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def source(spark, path, table="nodes", **options):
+    npz_source.register(spark)
+    reader = spark.read.format("npz").option("path", str(path)).option("table", table)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load()
+
+
+def test_source_equals_decoding(spark, folder):
+    """The same tables and reasons as whole-file decoding, one malformed file a rule."""
+    put(folder, "l_strings", x=np.array([["a"], ["b"]]), y=np.zeros(2))
+    put(folder, "m_fortran", x=np.asfortranarray(np.arange(6.0).reshape(3, 2)), y=np.arange(3), edges=np.zeros((0, 2), int))
+    graphs, nodes, edges, skipped = npz.tables_of(npz.read_npz(spark, str(folder)))
+    # Which error an unreadable file raises depends on the reader.
+    key = lambda df: sorted(repr(tuple(r)).split("unreadable")[0] for r in df.collect())
+    for table, want in (("graphs", graphs), ("nodes", nodes), ("edges", edges), ("skipped", skipped)):
+        for part_bytes in (1, 32 << 20):
+            assert key(source(spark, folder, table, partBytes=part_bytes)) == key(want.select(*source(spark, folder, table).columns))
+    assert {r.graph_id: r.reason for r in skipped.collect()}["l_strings"] == "not numbers"
+    assert source(spark, folder, x="false").where("x is not null").count() == 0
+    with pytest.raises(Exception, match="ValueError"):
+        source(spark, folder, strict="true").collect()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_a_large_graph_is_read_by_several_tasks(spark, tmp_path, save):
+    rng = np.random.default_rng(0)
+    n = 150_000
+    x, y, edges = (rng.random((n, 3)) > 0.5).astype(np.float32), rng.random((n, 1)), rng.integers(0, n, (2 * n, 2))
+    save(tmp_path / "big.npz", x=x, y=y, edges=edges)
+    put(tmp_path, "small", x=x[:5], y=y[:5])
+    size = (tmp_path / "big.npz").stat().st_size
+    nodes, pairs = source(spark, tmp_path, partBytes=size // 7), source(spark, tmp_path, "edges", partBytes=size // 7)
+    by_task = nodes.where("graph_id = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 7 and max(r["count"] for r in by_task) < n / 5
+    rows = nodes.where("graph_id = 'big'").orderBy("node_id").toPandas()
+    np.testing.assert_array_equal(np.stack(rows["x"]), x)
+    np.testing.assert_array_equal(rows["y"], y.astype(np.float32).astype(float)[:, 0])
+    assert rows["node_id"].tolist() == list(range(n)) and nodes.count() == n + 5
+    got = pairs.toPandas()
+    assert sorted(zip(got["u"], got["v"])) == sorted(map(tuple, edges.tolist()))
+
+
+def test_edges_do_not_touch_x(spark, tmp_path):
+    """The bytes of x are damaged behind their header: only a read of x can tell."""
+    put(tmp_path, "a", x=np.ones((4000, 4), np.float32), y=np.arange(4000.0), edges=np.array([[0, 1]]))
+    raw = bytearray((tmp_path / "a.npz").read_bytes())
+    at = raw.index(np.ones(400, np.float32).tobytes())
+    raw[at + 64 : at + 80] = bytes(16)
+    (tmp_path / "a.npz").write_bytes(raw)
+    assert [tuple(r) for r in source(spark, tmp_path, "edges").collect()] == [("a", 0, 1)] and source(spark, tmp_path, "graphs").count() == 1
+    assert source(spark, tmp_path, x="false").count() == 4000
+    with pytest.raises(Exception, match="CRC"):
+        source(spark, tmp_path).collect()
+
+
+def test_an_empty_folder(spark, tmp_path):
+    assert all(source(spark, tmp_path, t).count() == 0 for t in npz_source.TABLES)
