@@ -17,7 +17,7 @@ a benchmark of any size needs one pass and bounded memory.  Items without words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.storage import checkpointed, small_side, unused_name
-from nodeloom.llm.wordhash import joined, text_words, words_of
+from nodeloom.llm.wordhash import JOIN, joined, mixed, text_words, words_of
 
 #: Bits of the table that most windows are dismissed by.
 TABLE_BITS = 20
@@ -42,6 +42,20 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def windows_of(words: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """``window_hashes`` of each of some widths that the text has, shortest first: a wider window's hash is made of the next narrower one's."""
+    wanted, h = sorted(w for w in widths if w <= len(words)), words
+    if not wanted:
+        return
+    each = mixed(words)
+    for width in range(1, wanted[-1] + 1):
+        if width > 1:
+            with np.errstate(over="ignore"):
+                h = mixed(h[:-1] * JOIN + each[width - 1 :])
+        if width in wanted:
+            yield width, h
+
+
 def best_match(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Least edits between the whole item and a run of the window, and that run's last index.
 
@@ -121,10 +135,8 @@ class Pieces:
         words = text_words(text)
         best: dict[int, tuple[int, int, int]] = {}
         tried = set()
-        for width, table in self.tables.items():
-            if len(words) < width:
-                continue
-            h = window_hashes(words, width)
+        for width, h in windows_of(words, self.tables):
+            table = self.tables[width]
             for i in np.flatnonzero(table[h & np.uint64((1 << TABLE_BITS) - 1)]).tolist():
                 for item, start in self.by_width[width].get(int(h[i]), ()):
                     diagonal = i - start
@@ -268,12 +280,10 @@ def _joined_matches(rows: DataFrame, benchmark: DataFrame, error: float) -> Data
             keys, words_out, hits = [], [], []
             for i, t in enumerate(batch.column(1)):
                 words, of_text = text_words(t.as_py()), []
-                for width in widths:
-                    if len(words) >= width:
-                        h = window_hashes(words, width)
-                        low = h & np.uint64((1 << FILTER_BITS) - 1)
-                        passed = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                        of_text.extend({"width": width, "hash": v, "at": p} for v, p in zip(h[passed].view(np.int64).tolist(), passed.tolist()))
+                for width, h in windows_of(words, widths):
+                    low = h & np.uint64((1 << FILTER_BITS) - 1)
+                    passed = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                    of_text.extend({"width": width, "hash": v, "at": p} for v, p in zip(h[passed].view(np.int64).tolist(), passed.tolist()))
                 if of_text:
                     keys.append(i)
                     words_out.append(words.view(np.int64))

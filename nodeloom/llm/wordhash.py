@@ -7,6 +7,8 @@ import re
 import numpy as np
 from xxhash import xxh64_intdigest
 
+#: Odd factor of the left hash in a joined one.
+JOIN = np.uint64(0x9E3779B97F4A7C15)
 words_of = re.compile(r"\w+").findall
 
 
@@ -31,7 +33,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def joined(first: np.ndarray, second: np.ndarray, salt: int = 0) -> np.ndarray:
     """Hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):
-        return mixed(first * np.uint64(0x9E3779B97F4A7C15) + mixed(second + np.uint64(salt)))
+        return mixed(first * JOIN + mixed(second + np.uint64(salt)))
 
 
 def text_words(text: str | None) -> np.ndarray:

@@ -189,6 +189,16 @@ def test_pieces_avoid_shared_phrases_and_miss_nothing():
     assert decontam.pieces_of(items, 0.2) is decontam.pieces_of(items, 0.2)
 
 
+def test_windows_of_several_widths():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 40):
+        words = rng.integers(0, 2**63, n).astype(np.uint64)
+        got = dict(decontam.windows_of(words, [5, 1, 4]))
+        assert got.keys() == {w for w in (1, 4, 5) if w <= n}
+        for w, h in got.items():
+            np.testing.assert_array_equal(h, decontam.window_hashes(words, w))
+
+
 def test_a_benchmark_too_large_to_broadcast(spark, docs, odd):
     """Joins over pieces give what the broadcast gives, from one pass over the texts."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
