@@ -14,7 +14,7 @@ from nodeloom import schema
 from nodeloom.functions.columns import inverse_transform
 from nodeloom.models.message_passing import Gin, Sage, neighbor_aggregate
 from nodeloom.models.training import Joined, TrainConfig, depth_scan, epoch_sweep, joined_sums, lbfgs, packed_graphs, train
-from nodeloom.operators import audit, bins, graphs, losses, markers, prep, reach
+from nodeloom.operators import audit, bins, graphs, losses, markers, prep, reach, sketches
 from nodeloom.operators.quantiles import exact_quantiles, row_ranks
 from nodeloom.plans import fixtures as fx
 from nodeloom.sources import npz, npz_source, sidecars
@@ -781,6 +781,20 @@ def npz_edges(spark, d):
     return npz.tables_of(npz.decode_contents(npz.pack(packed_graphs(*_graph(spark, d)))))[2]
 
 
+@query(f"WITH {NODES} SELECT CAST(graph_id AS INTEGER) % 3 AS series, count(*) AS n, round(min(y), 6) AS lowest, round(max(y), 6) AS highest, 13 AS n_edges, 0::BIGINT AS n_beyond FROM nodes GROUP BY 1")
+def sketched_edges_error(spark, d):
+    """Quantile edges of three series from sketches of two halves, added one after the other: how many are beyond the stated rank error."""
+    nodes, path = fx.event_nodes(spark, d).withColumn("series", F.col("graph_id").cast("int") % 3), _folder(spark, "sketches")
+    for half in (0, 1):
+        merged = sketches.add_sketches(nodes.where(F.pmod("node_id", F.lit(2)) == half), path, by=["series"])
+    edges = checkpointed(sketches.sketched_edges(merged, by=["series"]))
+    each = edges.select("series", "n", F.size("edges").alias("n_edges"), F.posexplode("edges").alias("i", "edge"))
+    below = nodes.select("series", "y").join(F.broadcast(each), "series").groupBy("series", "n", "n_edges", "i", "edge").agg(F.count_if(F.col("y") < F.col("edge")).alias("below"), F.count_if(F.col("y") <= F.col("edge")).alias("upto"))  # 39 edges
+    error, rank = F.lit(sketches.rank_error()), F.col("i") / 12
+    beyond = (F.col("below") / F.col("n") > rank + error) | (F.col("upto") / F.col("n") < rank - error)
+    return below.groupBy("series", "n", "n_edges").agg(F.min("edge").alias("lowest"), F.max("edge").alias("highest"), F.count_if(beyond).alias("n_beyond"))
+
+
 # --- files ----------------------------------------------------------------------------------------
 
 
@@ -837,6 +851,19 @@ def sidecar_marker_names(spark, d):
     return sidecars.read_marker_names(spark, path)
 
 
+@query(f"""WITH {NODES}, g AS (SELECT CAST(user_id AS VARCHAR) AS graph_id, count(*) AS n, arg_min(props, event_id) AS props FROM events GROUP BY ALL)
+SELECT 'organoid_' || graph_id AS graph_id, CASE WHEN n % 2 = 0 THEN 'u' || graph_id ELSE graph_id END AS organoid_id, round(n / 50.0::DOUBLE - 2.3, 6) + 0.0 AS complexity, n * 2.0::DOUBLE AS total_volume,
+  'from ' || graph_id AS note, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM g""")
+def metadata_values(spark, d):
+    """Metadata files kept whole: numbers, lists of one number, text, and the nested properties of each user's first event."""
+    path, events, n = _folder(spark, "meta"), fx.table(spark, d, "events"), F.col("n")
+    g = events.groupBy(F.col("user_id").cast("string").alias("graph_id")).agg(F.count("*").alias("n"), F.min_by("props", "event_id").alias("props"))
+    raw = F.to_json(F.struct((n / 50 - 2.3).alias("complexity"), F.array(n * 2).alias("total_volume"), F.concat(F.lit("from "), "graph_id").alias("note"), F.from_json("props", "map<string,bigint>").alias("props"), F.when(n % 2 == 0, F.concat(F.lit("u"), "graph_id")).alias("organoid_id")))
+    write_files(g.select(F.concat(F.lit("organoid_"), "graph_id", F.lit("_aux.json")).alias("name"), raw.alias("content")), path)
+    values = sidecars.promoted(sidecars.read_metadata_values(spark, path), complexity="double", total_volume="double", note="string", k="bigint $.props.k")
+    return values.drop("meta")
+
+
 _MODES = "modes AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS i, m FROM (SELECT DISTINCT event_type AS m FROM events))"
 
 

@@ -37,6 +37,38 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("graph_id", F.coalesce(F.try_element_at("raw", F.lit("organoid_id")), default).alias("organoid_id"), meta.alias("meta"))
 
 
+def read_metadata_values(spark: SparkSession, path: str) -> DataFrame:
+    """``graph_id``, ``organoid_id``, ``meta`` (VARIANT: the whole object, nested values and text too) of every ``organoid_*_aux.json``.
+
+    Files that aren't JSON objects are skipped.  ``organoid_id`` defaults to the stem less ``organoid_``.
+    """
+    rows = _texts(spark, path, "organoid_*_aux.json").select(F.regexp_extract("file", r"^(.*)_aux\.json$", 1).alias("graph_id"), F.try_parse_json("value").alias("meta"))
+    rows = rows.where(F.schema_of_variant("meta").startswith("OBJECT"))
+    default = F.replace("graph_id", F.lit("organoid_"), F.lit(""))
+    return rows.select("graph_id", F.coalesce(F.try_variant_get("meta", "$.organoid_id", "string"), default).alias("organoid_id"), "meta")
+
+
+def metadata_schema(values: DataFrame) -> str:
+    """The merged schema of all objects in ``meta``, as Spark spells it for a VARIANT: what keys there are, and of what types."""
+    return values.agg(F.schema_of_variant_agg("meta")).first()[0]
+
+
+def promoted(values: DataFrame, **keys: str) -> DataFrame:
+    """``values`` with a column for each key: ``name="type"``, or ``name="type $.path"`` for a nested one.
+
+    Lists of one element are unwrapped; what is missing, longer or of another type is null.
+    """
+
+    def column(name: str, spelled: str):
+        kind, _, at = spelled.partition(" ")
+        at = at or f"$.{name}"
+        whole = F.try_variant_get("meta", at, "variant")
+        only = F.when(F.try_variant_get("meta", f"{at}[1]", "variant").isNull(), F.try_variant_get("meta", f"{at}[0]", kind))
+        return F.when(F.schema_of_variant(whole).startswith("ARRAY"), only).otherwise(F.try_variant_get("meta", at, kind)).alias(name)
+
+    return values.select("*", *[column(name, spelled) for name, spelled in keys.items()])
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Training curves (an object of four arrays) as one row per epoch from 0."""
     names = ["train_loss", "train_mae", "val_loss", "val_mae"]
