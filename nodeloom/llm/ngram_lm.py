@@ -24,7 +24,11 @@ words is 1 - ``share`` * (c(v) - sum of read counts of v's bigrams) / c(v): at l
 
 Words are identified by XXH64 (two of a million distinct words share one with odds of 3e-8), bigrams
 by their shard and 32 bits (in a shard of four million, one of a thousand shares them with another).
-Equal texts have equal scores.
+Equal texts have equal scores.  Rows that are scored are told apart by 64 bits of key and text: of n rows, n^2 / 3.7e19 pairs are expected to share
+them and then to come back as copies of one of the two (none at 1e8 rows, some 270 pairs at 1e11).
+
+Shards hold ``SHARD_TOKENS`` training tokens until there are ``GROWN_FROM`` of them; in a larger corpus they grow with it up to ``MOST_SHARD_TOKENS``,
+so that a flush still has several probes for each.  A Spark partition holds one shard, or several one after another where there are more than ``MOST_PARTITIONS``.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ END = np.uint64(0x454E44)
 PROBES, BITS_PER_KEY = 5, 12
 #: Tokens gathered before they are counted or looked up.
 FLUSH = 1 << 20
+SHARD_TOKENS, GROWN_FROM, MOST_SHARD_TOKENS = 1 << 22, 1 << 12, 1 << 26
+MOST_PARTITIONS = 1 << 14
 LOW = np.uint64(0xFFFFFFFF)
 #: Steps of a factor's natural logarithm in a request (16 bits, to 0.1 %).
 STEPS = 512
@@ -327,20 +333,31 @@ def _shard(h: str | Column, shards: int) -> Column:
     return (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)) % shards).cast("int")
 
 
-def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base: float = 1.5, share: float = 0.2, shard_tokens: int = 1 << 22) -> Model:
-    """The model of all texts of ``docs``; an empty table gives N = V = 0."""
+def grown_shard(n: int) -> int:
+    """Training tokens of a shard, of ``n`` in all."""
+    return min(MOST_SHARD_TOKENS, max(SHARD_TOKENS, n // GROWN_FROM))
+
+
+def by_shards(df: DataFrame, shards: int, most: int = MOST_PARTITIONS) -> DataFrame:
+    """Rows dealt out so that a partition holds whole shards."""
+    partitions = min(shards, most)
+    return df.repartitionById(partitions, F.col("shard") % partitions)
+
+
+def train(docs: DataFrame, text: str = "text", max_entries: int = 1 << 21, base: float = 1.5, share: float = 0.2, shard_tokens: int | None = None) -> Model:
+    """The model of all texts of ``docs``; an empty table gives N = V = 0.  ``shard_tokens`` fixes the size of a shard."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     words = checkpointed(texts.mapInArrow(_word_counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, shards = max(1, ceil(n / max_entries)), max(1, ceil(n / shard_tokens))
+    least, shards = max(1, ceil(n / max_entries)), max(1, ceil(n / (shard_tokens or grown_shard(n))))
     top = words.where(F.col("c") >= least).toPandas().sort_values("h")  # at most max_entries rows
     frequent = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     rare = words.where(F.col("c") < least).select(_shard("h", shards).alias("shard"), "h", "c")
     shared = spark.sparkContext.broadcast(frequent)
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+        return by_shards(df, shards).sortWithinPartitions("shard")
 
     packed = texts.mapInArrow(_packed_pairs(shared, shards), "shard int, fp binary, c binary, v binary")
     made = checkpointed(dealt(packed).mapInArrow(_segments(least, base), SEGMENT_DDL))
@@ -506,7 +523,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("id"), F.col(text).alias("text"))
     requests = rows.mapInArrow(asked, f"{packed_ddl}, {own_ddl}")
-    by_shard = requests.unionByName(model.segments, allowMissingColumns=True).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+    by_shard = requests.unionByName(model.segments, allowMissingColumns=True)
+    by_shard = by_shards(by_shard, shards).sortWithinPartitions("shard", "kind")
     by_tag = by_shard.mapInArrow(answered, f"{packed_ddl}, {own_ddl}").repartition("tag").sortWithinPartitions("tag", "kind")
     parts = by_tag.mapInArrow(summed, own_ddl)
     sums = parts.groupBy("id").agg(F.first("key", ignorenulls=True).alias("key"), *[F.sum(c).alias(c) for c in OWN[2:]])

@@ -189,6 +189,17 @@ def test_pieces_avoid_shared_phrases_and_miss_nothing():
     assert decontam.pieces_of(items, 0.2) is decontam.pieces_of(items, 0.2)
 
 
+def test_partitions_of_several_shards(spark, docs, monkeypatch):
+    """More shards than partitions give the same scores; shards grow with the corpus between their bounds."""
+    some = docs.where("doc_id < 60")
+    key = lambda rows: sorted((r.doc_id, round(r.score, 6), r.n_known) for r in rows.collect())
+    make = lambda: key(ngram_lm.score(some, ngram_lm.train(some, max_entries=50, shard_tokens=2000)))
+    want = make()
+    monkeypatch.setattr(ngram_lm, "by_shards", lambda df, shards, deal=ngram_lm.by_shards: deal(df, shards, 3))
+    assert make() == want and len(want) == 60
+    assert [ngram_lm.grown_shard(n) for n in (1, 5 * 10**9, 10**11, 2 * 10**13)] == [1 << 22, 1 << 22, 10**11 >> 12, 1 << 26]
+
+
 def test_windows_of_several_widths():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 40):
