@@ -6,7 +6,7 @@ label opens both: the vectors of either are searched in the other's graph, so ev
 shard, and a link found from one end counts for both.  No vector is shuffled more than once.
 
 A search takes a block of queries at a time: it descends the layers, fills a beam, and then floods over
-neighbours at or above the threshold, so its answer isn't capped by the beam.  Each search of a shard audits itself against
+neighbours at or little below the threshold, so its answer isn't capped by the beam.  Each search of a shard audits itself against
 brute force: on queries planted at random angles within the threshold around the shard's own vectors, and on a
 sample of its real queries.  The beam doubles until recall, query by query and for few and many
 links alike, passes; past twice the shard's size it is brute force.  Candidates are verified by cosine in double precision.
@@ -34,6 +34,8 @@ from nodeloom.operators.components import connected_components
 
 #: Candidates within this of the threshold in single precision are verified in double.
 SLACK = 1e-4
+#: A flood goes on through vectors within this below the threshold: one at the rim of a group may be a neighbour of such ones only.
+MARGIN = 0.05
 #: Queries searched together.
 BLOCK = 256
 
@@ -58,6 +60,7 @@ class Hnsw:
         self.entry, self.seen, self.mark = 0, np.zeros(n, np.int32), 0
         for i in range(n):
             self._insert(i, int(heights[i]), beam)
+        self._adopt()
         #: Each upper layer as its sorted nodes and a row of neighbours for each.
         self.layers = []
         for layer in self.upper:
@@ -137,6 +140,20 @@ class Hnsw:
                 ids = np.array(mine)
                 self.upper[layer - 1][j] = self._diverse(list(zip((self.x[ids] @ self.x[j]).tolist(), mine, strict=True)), self.degree - 2)
 
+    def _adopt(self) -> None:
+        """On layer 0, a link to each node that choosing diverse sets has left without one: from the neighbour of its own with most room."""
+        led_to = np.zeros(len(self.x), bool)
+        led_to[self.base[self.base >= 0]] = True
+        for i in np.flatnonzero(~led_to).tolist():
+            near = self.base[i, : self.used[i]]
+            if not len(near):
+                continue
+            j = near[self.used[near].argmin()]
+            if self.used[j] == self.base.shape[1]:
+                self.base = np.concatenate([self.base, np.full((len(self.x), 1), -1, np.int32)], 1)
+            self.base[j, self.used[j]] = i
+            self.used[j] += 1
+
     def search_layer(self, q: np.ndarray, starts: list[tuple[float, int]], beam: int, layer: int) -> list[tuple[float, int]]:
         """The nearest nodes found on a layer: (cosine, node), at most ``beam`` (used while building)."""
         self.mark += 1
@@ -225,22 +242,22 @@ class Hnsw:
         """For each query (unit, single precision) and node, whether it was found with cosine >= ``floor``."""
         n = len(self.x)
         ids, sims = self._beams(q, beam)
-        found = np.zeros(len(q) * n, bool)
-        row, c = np.nonzero(sims >= floor)
+        found, tried = np.zeros(len(q) * n, bool), np.zeros(len(q) * n, bool)
+        row, c = np.nonzero(sims >= floor - MARGIN)
         at = row * n + ids[row, c]
-        found[at] = True
-        tried = found.copy()
-        # Flood: all neighbours of what is linked, until nothing new is linked.
+        found[at], tried[at] = sims[row, c] >= floor, True
+        # Flood: all neighbours of what is linked or nearly so, until nothing new is.
         while len(at):
-            linked = []
+            onward = []
             for some in np.array_split(at, len(at) // (1 << 14) + 1):
                 near = self.base[some % n].astype(np.int64)
                 around = np.where(near >= 0, near + (some // n * n)[:, None], some[:, None]).ravel()
                 around = np.unique(around[~tried[around]])
                 tried[around] = True
-                linked.append(around[np.einsum("kd,kd->k", self.x[around % n], q[around // n]) >= floor])
-            at = np.concatenate(linked)
-            found[at] = True
+                cosines = np.einsum("kd,kd->k", self.x[around % n], q[around // n])
+                found[around[cosines >= floor]] = True
+                onward.append(around[cosines >= floor - MARGIN])
+            at = np.concatenate(onward)
         return found.reshape(len(q), n)
 
 
