@@ -258,3 +258,19 @@ def test_cut_off_archives_raise(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(whole[:-30])
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("warc").option("path", f"file://{tmp_path}").load().collect()
+
+
+def test_every_vector_is_led_to():
+    """Choosing diverse neighbours leaves some vectors without an in-link; each gets one, so a narrow beam finds whole groups."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(1, 24))
+    x = hnsw.unit(np.concatenate([centre + 0.04 * rng.normal(size=(420, 24)), rng.normal(size=(300, 24))])[rng.permutation(720)])
+    index = hnsw.Hnsw(x.astype(np.float32))
+    led_to = np.unique(index.base[index.base >= 0])
+    assert len(led_to) == len(x)
+    again = hnsw.Hnsw.of(x.astype(np.float32), index.parts())
+    bits, beam = hnsw.linked_in_shard(again, x, x, 0.93, own=True)
+    found = np.unpackbits(bits, axis=1, count=len(x)).astype(bool)
+    assert beam is not None and beam <= 64 and not (found & (x @ x.T < 0.93)).any() and found.sum() >= 0.999 * (x @ x.T >= 0.93).sum()
+    one = hnsw.Hnsw(x[:1].astype(np.float32))
+    assert one.base.max() == -1
