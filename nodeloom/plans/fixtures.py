@@ -92,7 +92,6 @@ def copurchase_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def part_hubs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): a graph for each return flag; the parts, and a hub (its id below 0) for each line number that orders them."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("graph_id"), (-F.col("l_linenumber")).cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
-    ends = [edges.select("graph_id", F.col(c).alias("node_id")) for c in ("src", "dst")]
-    return ends[0].unionByName(ends[1]).distinct(), edges
+    """(nodes, edges): a graph for each return flag; the parts, and a hub (its id below 0) for each line number that orders them; an edge for each line, so edges repeat."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("graph_id"), (-F.col("l_linenumber")).cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+    return edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct(), edges

@@ -39,6 +39,40 @@ def test_two_hop_sets_equal_plain_sets(random_graphs, heavy_from):
     assert {(r.graph_id, r.node_id): r.reached for r in reach.two_hop_sizes(nodes, edges, heavy_from).collect()} == want
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_two_hop_sets_in_shares_and_lanes(random_graphs, monkeypatch, broadcast):
+    """So few rows and sets to a task that every key is dealt in shares, bitmaps hold some 7 nodes, and a class's hubs are merged in lanes."""
+    nodes, edges, want = random_graphs
+    for name, value in {"TASK_ROWS": 40, "TASK_SETS": 64, "SET_NODES": 7, "MOST_PARTITIONS": 5}.items():
+        monkeypatch.setattr(reach, name, value)
+    if not broadcast:
+        monkeypatch.setattr(reach, "small_side", lambda df: df)
+    assert {(r.graph_id, r.node_id): r.reached for r in reach.two_hop_sizes(nodes, edges, 6).collect()} == want
+
+
+def test_a_task_takes_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    """Three hubs with 10,000 leaves: links were dealt in as many parts as Spark found fit, and all of a class's pairs to one of them."""
+    most = {}
+
+    def seen(f):
+        def made(df, *more):
+            out = f(df, *more)
+            key = tuple(sorted(out.columns))
+            most[key] = max(most.get(key, 0), out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0)
+            return out
+
+        return made
+
+    monkeypatch.setattr(reach, "TASK_ROWS", 1000, raising=False)
+    for name in ("checkpointed", "laid_out"):
+        monkeypatch.setattr(reach, name, seen(getattr(reach, name, None)), raising=False)
+    edges = spark.range(3 * 10_000).selectExpr("'g' AS graph_id", "-1 - id % 3 AS src", "id div 3 AS dst")
+    nodes = edges.selectExpr("graph_id", "explode(array(src, dst)) AS node_id").distinct()
+    got = reach.two_hop_sizes(nodes, edges).groupBy("reached").count().collect()
+    assert [tuple(r) for r in got] == [(10_003, 10_003)]
+    assert most["graph_id", "hub", "node_id"] < 2000
+
+
 def test_a_hub_of_100_000_neighbours(spark):
     """The squares of such a hub are 10^10 pairs; a chain through its leaves and a tail beside it are light."""
     d = 100_000
